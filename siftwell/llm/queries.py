@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import secrets
+from siftwell.llm import rules, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.report(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op10_secret_scan,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_quality_rules, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
