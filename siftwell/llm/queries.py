@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import rules, secrets
+from siftwell.llm import packing, rules, secrets, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,9 +20,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def tokenizer() -> str:
+    """The path of the public tokenizer that the queries use; it must be installed on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read(tokens.write(table(spark, sf_dir, "documents"), tokenizer()))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_quality_rules, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_token_files, op7_quality_rules, op9_packing, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
