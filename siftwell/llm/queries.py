@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import packing, rules, secrets, tokens
+from siftwell.llm import mixing, packing, rules, secrets, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(tokens.write(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -39,5 +43,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_token_files, op7_quality_rules, op9_packing, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_token_files, op7_quality_rules, op8_mixing, op9_packing, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
