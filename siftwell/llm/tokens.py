@@ -9,7 +9,11 @@ reader of some documents fetches the table and then only their frames.
 from __future__ import annotations
 
 import io
+import json
+import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -26,7 +30,9 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import scratch, slices, spread, stored
 
 #: Words whose ids a Python worker remembers (some 200 bytes each), and the longest such word.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 300_000, 64
+#: ASCII punctuation between an ASCII letter or digit and a blank is a piece of its own, unless an apostrophe is in it.
+AFTER_WORD = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=[\x20\x09-\x0d]|\Z)")
 TABLE_MAGIC, INDEX_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 NO_ID = -(1 << 63)
 
@@ -37,13 +43,21 @@ class Encoder:
     """Ids of a tokenizer whose pieces never reach across blanks; each word is encoded once and then remembered.
 
     The tokenizer lower-cases and normalises within words only, so the ids of a text are those of its words, in
-    order.  A-Z may be lowered beforehand unless the text could spell a special token.
+    order.  A-Z may be lowered, and punctuation after a word set apart, unless the text could spell a special token.
+    New words of letters alone, already lower and composed, go to a copy of the tokenizer that cuts at blanks only.
     """
 
     def __init__(self, path: str, end: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        plain = json.loads(self.tokenizer.to_str())
+        levels = [p for p in plain["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel"]
+        plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *levels]}}
+        self.letters = Tokenizer.from_str(json.dumps(plain))
+        suffix = plain["model"]["end_of_word_suffix"]
+        self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith(suffix) for k in range(self.tokenizer.get_vocab_size())])
         self.end = struct.pack("<I", end)
         self.known: dict[bytes, bytes] = {}
 
@@ -56,24 +70,42 @@ class Encoder:
 
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian unsigned 32-bit integers; a null text is empty."""
-        split = []
+        words, ends = [], [0]
         for text in texts:
             data = (text or "").encode()
-            split.append((data if b"<|" in data else data.lower()).split())
-        get, fresh = self.known.get, {}
-        found = [list(map(get, words)) for words in split]
-        for words, ids in zip(split, found, strict=True):
-            if None in ids:
-                fresh |= {w: b"" for w, i in zip(words, ids, strict=True) if i is None}
-        if fresh:
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            fresh = {w: struct.pack(f"<{len(i)}I", *i) for w, e in zip(fresh, coded, strict=True) for i in (e.ids,)}
-            for words, ids in zip(split, found, strict=True):
-                if None in ids:
-                    ids[:] = [fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+            words += data.split() if b"<|" in data else AFTER_WORD.sub(rb" \1", data.lower()).split()
+            ends.append(len(words))
+        ids = list(map(self.known.get, words))
+        gaps, at = [], -1
+        try:
+            while True:
+                gaps.append(at := ids.index(None, at + 1))
+        except ValueError:
+            pass
+        if gaps:
+            fresh = self._coded(dict.fromkeys(map(words.__getitem__, gaps)))
+            for k in gaps:
+                ids[k] = fresh[words[k]]
             if len(self.known) < REMEMBERED:
                 self.known |= {w: i for w, i in fresh.items() if len(w) <= LONGEST}
-        return [b"".join((*ids, self.end)) for ids in found]
+        return [b"".join((*ids[a:b], self.end)) for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _coded(self, fresh: dict[bytes, None]) -> dict[bytes, bytes]:
+        letters, rest = {}, []
+        for word in fresh:
+            text = word.decode()
+            if text.isalpha() and text == text.lower() and (word.isascii() or unicodedata.is_normalized("NFC", text)):
+                letters[word] = text
+            else:
+                rest.append(word)
+        out = {}
+        if letters:
+            ids = np.array(self.letters.encode_batch_fast([" ".join(letters.values())], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])).tolist()
+            ids = ids.tobytes()
+            out = {w: ids[a:b] for w, a, b in zip(letters, cuts[:-1], cuts[1:], strict=True)}
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        return out | {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(rest, coded, strict=True)}
 
 
 class Writer:
