@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import mixing, neardup, packing, rules, secrets, tokens
+from siftwell.llm import mixing, neardup, packing, rules, secrets, substring, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.linked(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.report(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -47,5 +51,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_token_files, op4_near_duplicates, op7_quality_rules, op8_mixing, op9_packing, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_token_files, op4_near_duplicates, op6_repeated_passages, op7_quality_rules, op8_mixing, op9_packing, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
