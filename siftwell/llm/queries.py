@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwell.llm import mixing, neardup, packing, rules, secrets, substring, tokens
+from siftwell.llm import mixing, neardup, packing, rules, secrets, substring, tokens, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.linked(table(spark, sf_dir, "documents"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(table(spark, sf_dir, "documents"))
 
@@ -51,5 +56,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_token_files, op4_near_duplicates, op6_repeated_passages, op7_quality_rules, op8_mixing, op9_packing, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_token_files, op4_near_duplicates, op5_top_k, op6_repeated_passages, op7_quality_rules, op8_mixing, op9_packing, op10_secret_scan)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS c
+            FROM embeddings WHERE embedding IS NOT NULL
+        ), s AS (
+            SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_inner_product(q.c, v.c) AS BIGINT) AS score
+            FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s
+        )
+        SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10""",
+}
