@@ -70,7 +70,7 @@ class Lines:
     """Counts of some texts, and features of their lines that hold a word."""
 
     def __init__(self, texts: pa.Array):
-        w = Words(texts)
+        self.words = w = Words(texts)
         data, docs = w.data, len(w.borders) - 1
         new = data == 10
         begins = np.zeros(len(data) + 1, bool)
