@@ -4,15 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import secrets
+from siftwell.llm import mixing, neardup, packing, rules, secrets
 from siftwell.llm.common import scratch
+from siftwell.llm.queries import tokenizer
 
 
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose lines are mostly content; the field is fitted on labels of the input's documents."""
+    return rules.kept(docs, rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return neardup.representatives(docs, width=5, percent=80)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret replaced by a mark."""
     return secrets.redacted(docs)
 
 
-STAGES = [("secret scans", secret_scan)]
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes: a document has a row for each pass that takes some of it."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the rows, placed in sequences."""
+    return packing.pack(docs, tokenizer())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_dedup),
+    ("secret scans", secret_scans),
+    ("mixing", mixing_sources),
+    ("packing", packing_sequences),
+]
 #: The stages train models, hash and tokenise, which SQL doesn't express; tests hold them against brute force.
 ORACLE_SQL = None
 
