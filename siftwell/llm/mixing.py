@@ -147,7 +147,7 @@ class Mix:
         some = self.placed.filter("size > 0")
         reach = some.select("source_no", "at", "size", F.explode(F.sequence(F.expr(f"at div {b}"), F.expr(f"(at + size - 1) div {b}"))).alias("block"))
         begin, end = F.greatest(F.col("block") * b - F.col("at"), F.lit(0)), F.least((F.col("block") + 1) * b - F.col("at"), F.col("size"))
-        parts = reach.join(times, ["source_no", "block"]).select("source_no", "at", F.struct(begin.alias("begin"), end.alias("end"), "times").alias("part"))
+        parts = reach.join(times.hint("merge"), ["source_no", "block"]).select("source_no", "at", F.struct(begin.alias("begin"), end.alias("end"), "times").alias("part"))
         # of the rows with words, source_no and at name one
         summed = parts.groupBy("source_no", "at").agg(F.sum(F.expr("(part.end - part.begin) * part.times")).alias("taken"), F.array_sort(F.collect_list("part")).alias("parts"))
         key = F.when(F.col("size") > 0, F.col("at"))
