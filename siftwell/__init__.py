@@ -1,0 +1 @@
+"""Retrieval analytics on Spark: every operator takes DataFrames and returns a DataFrame."""
