@@ -21,8 +21,7 @@ def split_front_matter(text: Column) -> tuple[Column, Column]:
     return F.when(has, yaml), F.when(has, F.regexp_replace(text, _FRONT, "")).otherwise(text)
 
 
-@F.pandas_udf(META)
-def parse_yaml(texts: pd.Series) -> pd.DataFrame:
+def _parsed(texts: pd.Series) -> pd.DataFrame:
     """Front matter to raw metadata, values as text, `access` as a list; what isn't a mapping counts as empty."""
     import yaml
 
@@ -41,6 +40,10 @@ def parse_yaml(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[*KEYS, "extra"])
 
 
+def parse_yaml(yaml: Column) -> Column:
+    return F.pandas_udf(_parsed, META)(yaml)
+
+
 def normalised(meta: Callable[[str], Column], fallback: Column) -> dict[str, Column]:
     """Defaults of missing metadata: id and title from the file's stem, public access, current, unknown department."""
     access = meta("access")
