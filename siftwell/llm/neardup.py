@@ -4,10 +4,11 @@ A document's signature is two small collections of sub-keys, each made of a few
 one sub-key from either collection, so SIDE sub-keys a side give SIDE * SIDE tables, while minhashes grow with SIDE
 only.  Documents with equal sets are one node.  Sub-keys that no other node has are dropped before pairs are formed.
 
-Nodes that share a bucket are candidates.  A bucket of any size is settled without all its pairs: its nodes are
-compared with one of them, components are formed, and only what then still lies in different components is compared
-again; when that no longer joins much, each remaining pair of a bucket across components is compared.  So every
-candidate pair is either confirmed, or rejected, or already connected.
+Nodes that share a bucket are candidates.  A bucket of any size is settled without all its pairs.  In rounds, nodes
+are compared with a few of their buckets' nodes, components are formed, and buckets that lie in one component are
+done.  Then nodes go that share too few shingles with all other components together to be linked to any, and what is
+left is compared across components.  So every candidate pair is confirmed, rejected, ruled out by that bound, or
+connected already.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import Words, mixed, rolled, slices, stored
@@ -26,8 +27,11 @@ from siftwell.llm.graph import components
 #: Sub-keys in either collection, minhashes in a sub-key.  A pair at similarity 0.8 is missed with a chance of
 #: 2 * (1 - 0.8 ** ROWS) ** SIDE = 0.0015, at 0.85 of 0.00015; at 0.2 it is a candidate with a chance of 0.6 %.
 SIDE, ROWS = 10, 3
-#: Rounds against one node a bucket, before all that is left is compared.
-PIVOT_ROUNDS = 2
+#: Rounds against a few nodes of other components, at most, and nodes that a node meets in a round; rounds end
+#: early when less than this share of pairs is a link.
+PIVOT_ROUNDS, PIVOTS, LEAST_GAIN = 4, 3, 0.05
+#: Bits of a node's sketch.  It bounds, never decides: longer sets fill it, and then more pairs are compared.
+SKETCH = 1024
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -114,15 +118,105 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(node, n, keys) to (key, node, n, first): table keys that several nodes have, with the smallest node of each."""
+    """(node, n, keys) to (node, key, n, near): table keys that several nodes have.
+
+    `near` counts the nodes met in all of a node's buckets: those at the centre of a group meet most.
+    """
     subs = nodes.select("node", "n", F.posexplode("keys").alias("at", "value"))
     shared = subs.groupBy("at", "value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     kept = subs.join(shared, ["at", "value"]).groupBy("node", "n").agg(F.collect_list(F.struct("at", "value")).alias("subs"))
     left, right = F.filter("subs", lambda s: s["at"] < SIDE), F.filter("subs", lambda s: s["at"] >= SIDE)
     pairs = F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.xxhash64(x["at"], x["value"], y["at"], y["value"]))))
     rows = stored(kept.select(F.explode(pairs).alias("key"), "node", "n"), "table_keys")
-    several = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("_last")).filter("first < _last").drop("_last")
-    return rows.join(several, "key")
+    several = rows.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.count(F.lit(1)).alias("size")).filter("_a < _b").select("key", "size")
+    rows = stored(rows.join(several, "key"), "shared_keys")
+    return rows.drop("size").join(rows.groupBy("node").agg(F.sum("size").alias("near")), "node")
+
+
+def _merged(owner: DataFrame, links: DataFrame) -> DataFrame:
+    """owner (node, component) after more links (a, b): components that a link joins get the smaller one's name."""
+    a, b = (owner.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    joined = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    found = components(joined)
+    return stored(_renamed(owner, found), "owners")
+
+
+def _renamed(owner: DataFrame, found: DataFrame) -> DataFrame:
+    new = found.select(F.col("node").alias("component"), F.col("component").alias("new"))
+    inside = owner.join(new, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    # ids that are in links only
+    return inside.unionByName(found.join(owner.select("node"), "node", "left_anti").select("node", "component"))
+
+
+def _open(buckets: DataFrame, owner: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with the node's component c."""
+    held = buckets.join(owner, "node").select("key", "node", "n", "near", F.col("component").alias("c"))
+    mixed_ = held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
+    return held.join(mixed_, "key")
+
+
+def _fits(n: str, m: str, percent: int) -> Column:
+    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
+
+
+def _pivot_pairs(held: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each node with at most PIVOTS nodes of other components: those that its buckets put first.
+
+    On the first turn central nodes are first, later it is by a hash of the turn.
+    """
+    order = F.xxhash64("node", F.lit(turn)) if turn else -F.col("near")
+    first = held.groupBy("key").agg(F.min(F.struct(order.alias("h"), "node", "n", "c")).alias("p"))
+    met = held.join(first, "key").filter("c <> p.c").filter(_fits("n", "p.n", percent))
+    chosen = met.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("p.h", "p.node"))), 1, PIVOTS).alias("ps"))
+    pairs = chosen.select("node", F.explode("ps.node").alias("other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _all_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes of one bucket across components that may be linked.
+
+    Their sizes, counts m of shingles shared abroad, and bitmaps of their shingles bound what they can share.
+    """
+    other = held.select("key", F.col("node").alias("o"), F.col("n").alias("on"), F.col("m").alias("om"), F.col("c").alias("d"), *(F.col(f"s{k}").alias(f"o{k}") for k in range(SKETCH // 64)))
+    # each bit that only one side has is a shingle, at least, that the other side lacks
+    lacks = lambda x, y: " + ".join(f"bit_count({x}{k} & ~{y}{k})" for k in range(SKETCH // 64))
+    enough = F.lit(True)
+    for most in ("least(m, om)", f"(n - ({lacks('s', 'o')}))", f"(on - ({lacks('o', 's')}))"):
+        enough &= F.expr(f"{100 + percent} * {most} >= {percent} * (n + on)")
+    pairs = held.join(other, (held["key"] == other["key"]) & (F.col("d") < F.col("c")) & _fits("n", "on", percent) & enough)
+    return pairs.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+
+
+def _reachable(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, m, s0, s1, ...) of the nodes that can be linked to another component at all: m of their shingles occur in others, which is enough.
+
+    A link needs at least `percent` of a node's shingles in the other one; shingles that only the node's own
+    component has are in none.  s0, s1, ... mark the remainders
+    of the shingles' hashes by SKETCH.
+    """
+    nodes = held.select("node", "n", "c").distinct()
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, n, c, hashes in zip(*(batch.column(k) for k in range(4)), strict=True):
+                h = np.frombuffer(hashes.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x.as_py())) for x in (node, n, c)] + [pa.array(h)], ["node", "n", "c", "h"])
+
+    rows = nodes.join(sets, "node").select("node", "n", "c", "hashes").mapInArrow(spelled, "node long, n long, c long, h long")
+    abroad = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("h")
+    shared = rows.join(abroad.hint("merge"), "h", "left_semi").groupBy("node", "n").agg(F.count_distinct("h").alias("m"))
+    some = shared.filter(F.expr(f"100 * m >= {percent} * n")).select("node", "m")
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for hashes in batch.column(2):
+                bits = np.zeros(SKETCH, np.uint8)
+                bits[np.frombuffer(hashes.as_buffer(), np.uint64) % np.uint64(SKETCH)] = 1
+                rows.append(np.packbits(bits).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, np.array(rows, np.int64).reshape(-1, SKETCH // 64).T)], ["node", "m", *(f"s{k}" for k in range(SKETCH // 64))])
+
+    return some.join(sets, "node").select("node", "m", "hashes").mapInArrow(sketched, "node long, m long, " + ", ".join(f"s{k} long" for k in range(SKETCH // 64)))
 
 
 def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -146,24 +240,22 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
     sets = stored(full_sets(rows.join(wanted, "doc_id", "left_semi"), width).distinct(), "sets")
 
-    fits = lambda n, m: F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
-    tested = None
-    owner = stored(components(links), "owners")
-    for turn in range(PIVOT_ROUNDS + 1):
-        held = buckets.join(owner, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-        open_ = held.groupBy("key").agg(F.min(F.struct("c", "node", "n")).alias("p"), F.max("c").alias("top")).filter("p.c < top")
-        if turn < PIVOT_ROUNDS:
-            pairs = held.join(open_, "key").filter("c <> p.c").filter(fits("n", "p.n")).groupBy("node").agg(F.min("p.node").alias("a")).select("a", F.col("node").alias("b"))
-        else:
-            some = held.join(open_.select("key"), "key")
-            other = some.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = some.join(other, "key").filter("d < c").filter(fits("n", "m")).select("a", F.col("node").alias("b")).distinct()
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    owner = stored(wanted.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")), "owners")
+    owner = _merged(owner, links)
+    tested, turn, open_nodes = None, 0, None
+    while True:
+        held = _open(buckets, owner)
+        pairs = _pivot_pairs(held, percent, turn) if open_nodes is None else _all_pairs(held.join(open_nodes, "node"), percent)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        found = confirmed(pairs, sets, percent)
-        links = stored(links.union(found), "links")
-        owner = stored(components(links), "owners")
+        found = stored(confirmed(pairs, sets, percent), "links")
+        links = links.union(found)
+        owner = _merged(owner, found)
+        if open_nodes is not None:
+            break
+        turn += 1
+        if turn == PIVOT_ROUNDS or found.count() < LEAST_GAIN * pairs.count() + 1:
+            open_nodes = stored(_reachable(_open(buckets, owner), sets, percent), "open_nodes")
     of = members.join(owner, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
     of = of.groupBy("doc_id").agg(F.min("c").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(of, "doc_id", "left")
@@ -173,7 +265,9 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay if each component keeps its smallest doc_id; of rows with that doc_id, one each."""
-    kept = linked(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.withColumn("_copy", F.row_number().over(order)).filter("_copy = 1 or doc_id is null").select(*docs.columns)
+    kept = linked(docs, width, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    copy = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row")))
+    named = rows.filter("id is not null").withColumn("copy", copy).filter("copy = 1").select("row.*")
+    return named.union(rows.filter("id is null").select("row.*"))
