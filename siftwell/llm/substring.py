@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Words, mixed, rolled, slices, spread, stored
+from siftwell.llm.common import Words, mixed, rolled, slices, spread, stored, unused
 
 WINDOW, GRAM = 50, 8
 #: Windows that a packed string holds at most; longer runs go as several strings.
@@ -77,7 +77,7 @@ class Runs:
     def text_keys(self) -> np.ndarray:
         """A hash of each text's words, which tells rows with one doc_id apart."""
         w = self.words
-        h = np.concatenate([[0], np.cumsum(mixed(w.hashes() + np.arange(len(w), dtype=np.uint64) - np.repeat(w.first[:-1], w.counts).astype(np.uint64)))]).astype(np.uint64)
+        h = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(w.hashes() + np.arange(len(w), dtype=np.uint64) - np.repeat(w.first[:-1], w.counts).astype(np.uint64)))])
         return mixed(h[w.first[1:]] - h[w.first[:-1]]).view(np.int64)
 
 
@@ -240,8 +240,10 @@ def flags(docs: DataFrame) -> DataFrame:
 
 
 def _with_flags(docs: DataFrame) -> DataFrame:
-    gathered = flags(docs).groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "first", "n")).alias("_flags")).withColumnRenamed("doc_id", "_flagged")
-    return docs.join(gathered, F.col("doc_id").cast("long") == F.col("_flagged"), "left").drop("_flagged")
+    (name,) = unused(docs, "flags")
+    gathered = flags(docs).groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "first", "n")).alias("flags")).select(F.col("doc_id").alias("flagged"), "flags")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id")).join(gathered, F.col("id") == F.col("flagged"), "left")
+    return rows.select("row.*", F.col("flags").alias(name))
 
 
 def _kept_words(texts: pa.Array, flags: list) -> list[tuple[int, int, bytes]]:
