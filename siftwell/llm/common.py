@@ -151,6 +151,17 @@ def ranked(df: DataFrame, key: str, order: list[str | Column], per_group: int =
     return df.join(sums, [key, "_group"]).withColumn(name, (F.col("_run") + F.col("_base")).cast("long")).drop("_group", "_run", "_base")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, not even in other letters' case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def spread(spark: SparkSession) -> int:
     """The number of partitions for data that a step deals out itself."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

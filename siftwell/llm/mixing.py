@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from siftwell.llm.common import Words, mixed, ranked, slices, spread, stored
+from siftwell.llm.common import Words, mixed, ranked, slices, spread, stored, unused
 
 #: Weights of sources in code-point order, repeating, and how often a source may be taken whole.
 WEIGHTS = (5, 2, 1)
@@ -206,20 +206,22 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
                     columns[names.index("n_chars")] = pa.array([len(t) for t in texts]).cast(part.schema.field(names.index("n_chars")).type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    sized = _with_size(docs)
-    order = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
-    sized = sized.withColumn("_turn", F.row_number().over(order))
-    fate = fate.select(F.col("doc_id").alias("_doc"), "_source", F.col("size").alias("_words"), "parts", F.col("_turn").alias("_t"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words")) & (F.col("_turn") == F.col("_t"))
-    return sized.join(fate, on).select(*names, "parts", "_size").mapInArrow(run, docs.schema)
+    id_, source, size, turn, hash_ = unused(docs, "id", "from", "words", "turn", "hash")
+    keys = docs.select("*", F.col("doc_id").cast("long").alias(id_), F.col("source").cast("string").alias(source), F.xxhash64("text").alias(hash_))
+    sized = _with_size(keys, size)
+    sized = sized.withColumn(turn, F.row_number().over(Window.partitionBy(id_, source, size).orderBy(hash_)))
+    fate = fate.select(F.col("doc_id").alias("f_id"), F.col("_source").alias("f_source"), F.col("size").alias("f_words"), "parts", F.col("_turn").alias("f_turn"))
+    left = sized.select(F.struct(*names).alias("f_row"), F.col(id_).alias("f_i"), F.col(source).alias("f_s"), F.col(size).alias("f_w"), F.col(turn).alias("f_t"))
+    on = F.col("f_i").eqNullSafe(F.col("f_id")) & F.col("f_s").eqNullSafe(F.col("f_source")) & (F.col("f_w") == F.col("f_words")) & (F.col("f_t") == F.col("f_turn"))
+    return left.join(fate, on).select(*(F.col("f_row").getField(c).alias(c) for c in names), F.col("parts").alias(unused(docs, "parts")[0]), F.col("f_w").alias(size)).mapInArrow(run, docs.schema)
 
 
-def _with_size(docs: DataFrame) -> DataFrame:
+def _with_size(docs: DataFrame, name: str) -> DataFrame:
     column = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(Words(part.column(column)).counts.astype(np.int64))], [*part.schema.names, "_size"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(Words(part.column(column)).counts.astype(np.int64))], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_size", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))

@@ -104,10 +104,10 @@ def update(ledger: str, texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> Da
 
 
 def find(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns of docs and `_blob`, `_found`.  Null text counts as empty; every row stays, repeated ones too."""
-    findings = update(ledger or scratch(docs.sparkSession, "ledger"), docs, rules).filter("size(found) > 0")
-    findings = findings.select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
-    return docs.withColumn("_blob", blob_of(F.col("text"))).join(findings, "_blob", "left")
+    """(row, found): every row of docs as a struct, and its findings; null if none.  Null text counts as empty."""
+    texts = docs.select("text")
+    findings = update(ledger or scratch(docs.sparkSession, "ledger"), texts, rules).filter("size(found) > 0")
+    return docs.select(F.struct("*").alias("row"), blob_of(F.col("text")).alias("blob")).join(findings, "blob", "left").select("row", "found")
 
 
 def report(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -117,19 +117,19 @@ def report(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     order), spans (all findings, joined likewise).  Null and empty texts have none; an empty table gives no rows.
     """
     kinds = F.array(*(F.lit(r.kind) for r in rules))
-    found = F.coalesce(F.col("_found"), F.array().cast(FOUND))
+    found = F.coalesce("found", F.array().cast(FOUND))
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter(found, lambda s: s["kind"] == k)).cast("long")
     rows = find(docs.select("doc_id", "text"), ledger, rules)
     return rows.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        "row.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(shown(F.filter(found, lambda s: s["kind"] < len(BASE))), 256).alias("base_sha256"), shown(found).alias("spans"),
     )
 
 
 def redacted(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with each stretch of findings in `text` replaced by `mark`, and n_chars (if there) brought up to date."""
-    text = F.col("text")
+    text, found = F.col("row.text"), F.col("found")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, span: Column) -> Column:
@@ -137,8 +137,7 @@ def redacted(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
         fresh = F.concat(done["out"], gap, F.when(span["start"] >= done["at"], F.lit(mark)).otherwise(F.lit("")))
         return F.struct(F.greatest(done["at"], span["end"]).alias("at"), fresh.alias("out"))
 
-    cut = F.aggregate(F.col("_found"), start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    rows = find(docs, ledger, rules).withColumn("text", F.when(F.col("_found").isNull(), text).otherwise(cut))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    cut = F.aggregate(found, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    rows = find(docs, ledger, rules).withColumn("cut", F.when(found.isNotNull(), cut))
+    changed = {"text": F.coalesce("cut", text), "n_chars": F.when(F.col("cut").isNull(), F.col("row.n_chars")).otherwise(F.length("cut")) if "n_chars" in docs.columns else None}
+    return rows.select(*(changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns))
