@@ -64,10 +64,10 @@ def cache_key(model: str, text: Column) -> Column:
 
 
 def dense_scores(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """(qid, item_id, score): exact cosine, the k best of each Arrow batch, for a bounded set of queries (qid, vector).
+    """(qid, item_id, score): exact cosine, the k best of each task, for a bounded set of queries (qid, vector).
 
     The queries (at most QUERIES) go to all tasks; items (item_id, vector) are scanned once, by matrix products.  Each
-    batch hands on at most k rows a query, so the ranking after it sees few rows.
+    task hands on at most k rows a query, so the ranking after it sees few rows.
     """
     asked = queries.select("qid", "vector").limit(QUERIES + 1).toPandas()
     if len(asked) > QUERIES:
@@ -79,6 +79,7 @@ def dense_scores(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, q = sent.value
+        held = [(np.zeros(0), np.zeros(0, object))] * len(names)
         for batch in batches:
             batch = batch[batch["vector"].notna()]
             if not len(batch) or not len(names):
@@ -86,9 +87,15 @@ def dense_scores(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
             x = np.stack(batch["vector"]).astype(float)
             x = x / np.where((n := np.linalg.norm(x, axis=1)) == 0, 1, n)[:, None]
             scores, ids = (x @ q.T).round(6), batch["item_id"].to_numpy()
-            for j, name in enumerate(names):
-                best = np.lexsort((ids, -scores[:, j]))[:k]
-                yield pd.DataFrame({"qid": name, "item_id": ids[best], "score": scores[best, j]})
+            deep = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(len(names), -np.inf)
+            for j, (best, own) in enumerate(held):
+                some = scores[:, j] >= max(deep[j], best[-1] if len(best) == k else -np.inf)
+                best, own = np.concatenate([best, scores[some, j]]), np.concatenate([own, ids[some]])
+                order = np.lexsort((own.astype(ids.dtype), -best))[:k]
+                held[j] = best[order], own[order]
+        for name, (best, own) in zip(names, held, strict=True):
+            if len(best):
+                yield pd.DataFrame({"qid": name, "item_id": own, "score": best})
 
     kinds = dict(queries.dtypes), dict(items.dtypes)
     return items.select("item_id", "vector").mapInPandas(run, f"qid {kinds[0]['qid']}, item_id {kinds[1]['item_id']}, score double")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import tokenize
@@ -53,19 +55,54 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
 
 
+def scores(asked: DataFrame, posted: DataFrame, spread: DataFrame, stats: DataFrame) -> DataFrame:
+    """(qid, chunk_id, score) from query terms, postings, document frequencies and the one row of statistics."""
+    rows = posted.join(asked, "term").join(spread, "term").crossJoin(F.broadcast(stats))  # one row
+    s = weight(F.col("tf"), F.col("dl"), F.col("avgdl")) * idf(F.col("n"), F.col("df"))
+    return rows.groupBy("qid", "chunk_id").agg(F.round(F.sum(s), 6).alias("score"))
+
+
+def ranked(sums: DataFrame, k: int) -> DataFrame:
+    return top(sums, k, "qid", F.desc("score"), "chunk_id").select("qid", "chunk_id", "score", "rank", F.lit("sparse").alias("source"))
+
+
 def search(queries: DataFrame, chunks: DataFrame, k: int, where: Filter | None = None) -> DataFrame:
     """hits: the k best chunks of each query (qid, query) by BM25; chunks without a query term are no hits.
 
-    Statistics are those of all chunks; the filter bears on candidates only, before the ranking.
+    Statistics are those of all chunks; the filter bears on candidates only, before the ranking.  Chunks are tokenised
+    on the fly; for many batches of queries over one corpus, see LexicalIndex.
     """
     asked = query_terms(queries)
     tokenized = tokens(chunks)
-    stats = corpus_stats(tokenized)
     posted = postings(tokenized, asked)
-    spread = term_stats(posted)
-    if where is not None:
-        posted = posted.join(where(chunks).select("chunk_id"), "chunk_id", "left_semi")
-    scored = posted.join(spread, "term").crossJoin(F.broadcast(stats))  # one row
-    scored = scored.select("chunk_id", "term", (weight(F.col("tf"), F.col("dl"), F.col("avgdl")) * idf(F.col("n"), F.col("df"))).alias("s"))
-    sums = scored.join(asked, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum("s"), 6).alias("score"))
-    return top(sums, k, "qid", F.desc("score"), "chunk_id").select("qid", "chunk_id", "score", "rank", F.lit("sparse").alias("source"))
+    allowed = posted if where is None else posted.join(where(chunks).select("chunk_id"), "chunk_id", "left_semi")
+    return ranked(scores(asked, allowed, term_stats(posted), corpus_stats(tokenized)), k)
+
+
+@dataclass
+class LexicalIndex:
+    """Stored postings, document frequencies and statistics: a search reads the postings of its terms only."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str) -> LexicalIndex:
+        """Writes the index as three tables; postings lie in order of their terms, so files skip by their statistics."""
+        tokenized = tokens(chunks)
+        corpus_stats(tokenized).write.mode("overwrite").parquet(f"{path}/stats")
+        posted = postings(tokenized)
+        posted.repartitionByRange("term", "chunk_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        spark = chunks.sparkSession
+        term_stats(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+        return cls.load(spark, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")))
+
+    def search(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        """hits, of the chunks in `allowed` (chunk_id) only if given."""
+        posted = self.postings if allowed is None else self.postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+        return ranked(scores(query_terms(queries), posted, self.terms, self.stats), k)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as tx
 from siftwell.functions import vectors as vec
-from siftwell.operators import chunking, context, evaluate, fusion, monitor, rerank, security, transform
+from siftwell.operators import chunking, context, evaluate, fusion, lexical, monitor, rerank, security, transform
 from siftwell.operators.filters import Filter
 from siftwell.plans.pipeline import Index, PipelineConfig, retrieve, run
 from siftwell.sources import corpus
@@ -281,6 +281,29 @@ def test_index_round_trip(spark, tmp_path):
     assert spark.table("live_chunks").count() == 3
 
 
+def test_stored_index_searches_alike(spark, tmp_path):
+    asked = spark.createDataFrame([(1, "Reisekosten und Urlaub"), (2, "Monate")], "qid int, query string")
+    index = lexical.LexicalIndex.build(chunks(spark), f"file://{tmp_path}/ix")
+    assert index.search(asked, 2).orderBy("qid", "rank").collect() == lexical.search(asked, chunks(spark), 2).orderBy("qid", "rank").collect()
+    only = index.search(asked, 2, Filter(roles=())(chunks(spark)))
+    assert only.orderBy("qid", "rank").collect() == lexical.search(asked, chunks(spark), 2, Filter(roles=())).orderBy("qid", "rank").collect()
+
+
+def test_dense_scan_keeps_the_best_over_batches(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(500, 4)).round(1)
+    items = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "item_id long, vector array<double>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = vec.dense_scores(items.filter("item_id < 3").withColumnRenamed("item_id", "qid"), items, 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    for q in range(3):
+        s = (u @ u[q]).round(6)
+        assert [(r["item_id"], r["score"]) for r in got if r["qid"] == q] == [(k, s[k]) for k in np.lexsort((np.arange(500), -s))[:5]]
+
+
 def test_cosine_of_zero(spark):
     assert one(spark, vec.cosine(F.array(F.lit(0.0)), F.array(F.lit(2.0))), x=1) == 0
     assert math.isclose(one(spark, vec.cosine(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(2.0), F.lit(2.0))), x=1), 1)
