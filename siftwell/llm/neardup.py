@@ -25,8 +25,8 @@ from siftwell.llm.common import Words, mixed, rolled, slices, stored
 from siftwell.llm.graph import components
 
 #: Sub-keys in either collection, minhashes in a sub-key.  A pair at similarity 0.8 is missed with a chance of
-#: 2 * (1 - 0.8 ** ROWS) ** SIDE = 0.0015, at 0.85 of 0.00015; at 0.2 it is a candidate with a chance of 0.6 %.
-SIDE, ROWS = 10, 3
+#: 2 * (1 - 0.8 ** ROWS) ** SIDE = 0.0002, at 0.85 below 0.00001; at 0.2 it is a candidate with a chance of 1 %.
+SIDE, ROWS = 13, 3
 #: Rounds against a few nodes of other components, at most, and nodes that a node meets in a round; rounds end
 #: early when less than this share of pairs is a link.
 PIVOT_ROUNDS, PIVOTS, LEAST_GAIN = 4, 3, 0.05
