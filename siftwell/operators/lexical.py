@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import tokenize
@@ -46,6 +46,12 @@ def doc_weights(tokenized: DataFrame, stats: DataFrame | None = None) -> DataFra
     return rows.select("chunk_id", "term", "tf", weight(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("w"))
 
 
+def explain(tokenized: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """doc_weights with three digits, numbered by falling weight within each chunk."""
+    rows = doc_weights(tokenized, stats).select("chunk_id", "term", F.round("w", 3).alias("w"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("w"), "term")))
+
+
 def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 

@@ -58,9 +58,10 @@ def daily_cost(avg_in: Column, avg_out: Column, requests: int = 10_000, cache_hi
     return requests * (avg_in / 1e6 * PRICE_IN + avg_out / 1e6 * PRICE_OUT + QUERY_TOKENS / 1e6 * PRICE_EMBED) * (1 - cache_hit)
 
 
-def reranker_capacity(log: DataFrame, requests: int = 10_000, peak_rps: float = 1.0) -> DataFrame:
-    """CPU seconds a day, and workers at peak load, from rerank times."""
-    return log.agg(F.round(F.avg("t_rerank_ms") / 1000 * requests, 4).alias("cpu_s_per_day"), F.ceil(F.percentile("t_rerank_ms", 0.95) / 1000 * peak_rps).alias("workers"))
+def reranker_capacity(log: DataFrame, requests: int = 10_000, hours: int = 8, peak: float = 3.0) -> DataFrame:
+    """CPU seconds a day, and workers at the peak (a multiple of the mean rate over a day's hours), from rerank times."""
+    busy = F.percentile("t_rerank_ms", 0.95) / 1000 * (requests / (hours * 3600) * peak)
+    return log.agg(F.round(F.avg("t_rerank_ms") / 1000 * requests, 4).alias("cpu_s_per_day"), F.greatest(F.lit(1), F.bround(busy)).cast("long").alias("workers"))
 
 
 def histogram(log: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

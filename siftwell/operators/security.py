@@ -73,10 +73,12 @@ def leak_matrix(hits: DataFrame, docs: DataFrame, roles: DataFrame) -> DataFrame
 def audit(requests: DataFrame) -> DataFrame:
     """Rows without clear text: short SHA-256 sums of user and query, sorted roles, the first ten candidates.
 
-    requests (ts, user, query, roles, candidates).
+    requests (ts, user, query, roles, candidates); what else they have (times, tokens, citations) is kept, so hand in
+    no other texts.
     """
     short = lambda c: F.substring(F.sha2(c, 256), 1, 16)
-    return requests.select("ts", short("user").alias("user_sum"), short("query").alias("query_sum"), F.array_join(F.array_sort("roles"), ",").alias("roles"), F.array_join(F.slice("candidates", 1, 10), ",").alias("candidates"))
+    rest = [c for c in requests.columns if c not in ("ts", "user", "query", "roles", "candidates")]
+    return requests.select("ts", short("user").alias("user_sum"), short("query").alias("query_sum"), F.length("query").alias("query_len"), *rest, F.array_join(F.array_sort("roles"), ",").alias("roles"), F.array_join(F.slice("candidates", 1, 10), ",").alias("candidates"))
 
 
 def tally(answers: DataFrame, by: str, outcomes: dict[str, str]) -> DataFrame:

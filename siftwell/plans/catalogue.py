@@ -176,6 +176,11 @@ def bm25_doc_weights(spark, sf_dir):
     return lexical.doc_weights(lexical.tokens(docs_meta(spark, sf_dir))).withColumn("w", F.round("w", 6))
 
 
+@query(f"WITH {bm25(1)}, w AS (SELECT chunk_id, term, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 3) AS w FROM posted, stats) SELECT *, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY w DESC, term) AS INTEGER) AS place FROM w")
+def bm25_explain(spark, sf_dir):
+    return lexical.explain(lexical.tokens(docs_meta(spark, sf_dir)))
+
+
 @query(f"WITH {bm25(1)} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs, stats")
 def bm25_idf(spark, sf_dir):
     tokenized = lexical.tokens(docs_meta(spark, sf_dir))
@@ -646,13 +651,13 @@ def post_filter_loss_report(spark, sf_dir):
     return post_filter_loss(sparse_hits(spark, sf_dir, 5), docs_meta(spark, sf_dir), ("sales",))
 
 
-@query("""SELECT conv_id, turn, left(sha256(concat('u', conv_id)), 16) AS user_sum, left(sha256(text), 16) AS query_sum, CASE WHEN turn % 2 = 0 THEN 'employee,hr' ELSE 'sales' END AS roles, '1,2,3,4,5,6,7,8,9,10' AS candidates FROM conversations WHERE role = 'user'""")
+@query("""SELECT conv_id, turn, left(sha256(concat('u', conv_id)), 16) AS user_sum, left(sha256(text), 16) AS query_sum, CAST(length(text) AS INTEGER) AS query_len, CASE WHEN turn % 2 = 0 THEN 'employee,hr' ELSE 'sales' END AS roles, '1,2,3,4,5,6,7,8,9,10' AS candidates FROM conversations WHERE role = 'user'""")
 def audit_record(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").filter("role = 'user'").select(
         F.struct("conv_id", "turn").alias("ts"), F.concat(F.lit("u"), "conv_id").alias("user"), F.col("text").alias("query"),
         F.expr("CASE WHEN turn % 2 = 0 THEN array('hr', 'employee') ELSE array('sales') END").alias("roles"), F.sequence(F.lit(1), F.lit(12)).cast("array<string>").alias("candidates"),
     )
-    return security.audit(rows).select("ts.conv_id", "ts.turn", "user_sum", "query_sum", "roles", "candidates")
+    return security.audit(rows).select("ts.conv_id", "ts.turn", "user_sum", "query_sum", "query_len", "roles", "candidates")
 
 
 @query("SELECT role AS variant, count(*) FILTER (WHERE contains(text, 'the')) AS en, count(*) FILTER (WHERE contains(text, ' de ')) AS es FROM conversations GROUP BY role")
@@ -756,7 +761,7 @@ def daily_cost(spark, sf_dir):
     return rows.select("event_type", F.round(monitor.daily_cost(F.col("i"), F.col("o")), 6).alias("usd"), F.round(monitor.daily_cost(F.col("i"), F.col("o"), cache_hit=0.3), 6).alias("usd_cached"))
 
 
-@query(f"WITH {LOG} SELECT round(avg(t_rerank_ms) / 1000 * 10000, 4) AS cpu_s_per_day, CAST(ceil(quantile_cont(t_rerank_ms, 0.95) / 1000 * 1.0) AS BIGINT) AS workers FROM log")
+@query(f"WITH {LOG} SELECT round(avg(t_rerank_ms) / 1000 * 10000, 4) AS cpu_s_per_day, CAST(greatest(1, round_even(quantile_cont(t_rerank_ms, 0.95) / 1000 * (10000 / (8 * 3600.0) * 3), 0)) AS BIGINT) AS workers FROM log")
 def reranker_capacity(spark, sf_dir):
     return monitor.reranker_capacity(request_log(spark, sf_dir))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Metadata that every document has after normalising; other keys go to `extra`.
@@ -130,12 +130,15 @@ def write_golden(items: DataFrame, path: str, append: bool = False) -> None:
     items.write.mode("append" if append else "overwrite").json(path)
 
 
-def feedback_candidates(questions: DataFrame, stamp: int) -> DataFrame:
-    """Questions (question) as golden items to review, with ids `c<stamp><n>`."""
-    from pyspark.sql import Window
+def feedback_candidates(feedback: DataFrame, stamp: int) -> DataFrame:
+    """Feedback (question, expected, source_docs) as golden items to review, with ids `c<stamp><n>`, n from 1."""
+    n = F.row_number().over(Window.orderBy("question"))  # a day's feedback: few rows
+    return feedback.select(F.concat(F.lit(f"c{stamp}"), n).alias("id"), F.lit("feedback").alias("type"), "question", F.col("expected").alias("ground_truth"), "source_docs", F.lit(True).alias("answerable"), F.lit(False).alias("reviewed"))
 
-    n = F.row_number().over(Window.orderBy("question")) - 1  # a day's feedback: few rows
-    return questions.select(F.concat(F.lit(f"c{stamp}"), n).alias("id"), F.lit("feedback").alias("type"), "question", F.lit("").alias("ground_truth"), F.array().cast("array<string>").alias("source_docs"), F.lit(True).alias("answerable"), F.lit(False).alias("reviewed"))
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """An embedding cache: (k, v), keys by model and text."""
+    return spark.read.schema("k string, v array<float>").parquet(path)
 
 
 def append_cache(fresh: DataFrame, path: str) -> None:

@@ -196,8 +196,8 @@ def test_unknown_format(spark):
 def test_golden_round_trip(spark, tmp_path):
     items = spark.createDataFrame([("g1", "t", "q", "a", ["d"], None, None, None)], corpus.GOLDEN)
     corpus.write_golden(items, f"file://{tmp_path}/g")
-    corpus.write_golden(corpus.feedback_candidates(spark.createDataFrame([("why?",)], "question string"), 7), f"file://{tmp_path}/g", append=True)
-    assert {r["id"] for r in corpus.read_golden(spark, f"file://{tmp_path}/g").collect()} == {"g1", "c70"}
+    corpus.write_golden(corpus.feedback_candidates(spark.createDataFrame([("why?", "so", ["d"])], "question string, expected string, source_docs array<string>"), 7), f"file://{tmp_path}/g", append=True)
+    assert {r["id"] for r in corpus.read_golden(spark, f"file://{tmp_path}/g").collect()} == {"g1", "c71"}
 
 
 def test_listwise_and_paired_rerank(spark):
