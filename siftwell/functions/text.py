@@ -29,8 +29,7 @@ def stem(token: Column) -> Column:
 def tokenize(text: Column) -> Column:
     """Lower-cased tokens without stop words and single characters, stemmed; null text has none."""
     found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.transform(F.filter(found, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t)), stem)
+    return F.transform(F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS)), stem)
 
 
 def token_id(token: Column) -> Column:

@@ -29,7 +29,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hash_embed(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, vector): each word adds 1 or -1 to one of HASH_DIM buckets, by its MD5; vectors have length 1 (or are zero)."""
-    words = rows.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))).alias("word"))
+    # explode would have the planner add a filter that finds all words once more
+    words = rows.select(key, F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))).alias("word")).filter("word is not null")
     bucket = F.conv(F.substring(F.md5("word"), 31, 2), 16, 10).cast("int")
     sign = F.when(F.conv(F.substring(F.md5("word"), 22, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
     sums = words.groupBy(key, bucket.alias("bucket")).agg(F.sum(sign).alias("v"))

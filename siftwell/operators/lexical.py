@@ -9,27 +9,34 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.text import tokenize
 from siftwell.operators.filters import Filter, top
+from siftwell.sources.scratch import stored
 
 K1, B = 1.2, 0.75
 
 
-def tokens(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, tokens, dl)."""
+def profile(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, dl, term, tf), stored: how often a chunk has each term; of `terms` only, if given.
+
+    All that BM25 needs comes from this one pass over the texts.  Tokens that are no term, and one more a chunk, go
+    under a null term, so each chunk has exactly one such row, which counts it.
+    """
     found = chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens"))
-    return found.withColumn("dl", F.size("tokens"))
+    one_more = F.concat("tokens", F.array(F.lit(None).cast("string")))
+    # explode would have the planner add a filter that tokenises once more
+    rows = found.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer(one_more).alias("term"))
+    if terms is not None:
+        known = terms.select("term", F.lit(True).alias("asked")).distinct()
+        rows = rows.join(known, "term", "left").withColumn("term", F.when(F.col("asked"), F.col("term")))
+    return stored(rows.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "profile")
 
 
-def corpus_stats(tokenized: DataFrame) -> DataFrame:
+def corpus_stats(profiled: DataFrame) -> DataFrame:
     """One row: n chunks and avgdl (1.0 for an empty corpus)."""
-    return tokenized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+    return profiled.filter("term is null").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
 
 
-def postings(tokenized: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, dl, term, tf); of `terms` only, if given, and then other tokens end before any shuffle they could join."""
-    rows = tokenized.select("chunk_id", "dl", F.explode("tokens").alias("term"))
-    if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(profiled: DataFrame) -> DataFrame:
+    return profiled.filter("term is not null")
 
 
 def weight(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
@@ -40,15 +47,15 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def doc_weights(tokenized: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+def doc_weights(profiled: DataFrame) -> DataFrame:
     """(chunk_id, term, tf, w): sparse document vectors."""
-    rows = postings(tokenized).crossJoin(F.broadcast(stats or corpus_stats(tokenized)))  # one row
+    rows = postings(profiled).crossJoin(F.broadcast(corpus_stats(profiled)))  # one row
     return rows.select("chunk_id", "term", "tf", weight(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("w"))
 
 
-def explain(tokenized: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+def explain(profiled: DataFrame) -> DataFrame:
     """doc_weights with three digits, numbered by falling weight within each chunk."""
-    rows = doc_weights(tokenized, stats).select("chunk_id", "term", F.round("w", 3).alias("w"))
+    rows = doc_weights(profiled).select("chunk_id", "term", F.round("w", 3).alias("w"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("w"), "term")))
 
 
@@ -79,10 +86,10 @@ def search(queries: DataFrame, chunks: DataFrame, k: int, where: Filter | None =
     on the fly; for many batches of queries over one corpus, see LexicalIndex.
     """
     asked = query_terms(queries)
-    tokenized = tokens(chunks)
-    posted = postings(tokenized, asked)
+    profiled = profile(chunks, asked)
+    posted = postings(profiled)
     allowed = posted if where is None else posted.join(where(chunks).select("chunk_id"), "chunk_id", "left_semi")
-    return ranked(scores(asked, allowed, term_stats(posted), corpus_stats(tokenized)), k)
+    return ranked(scores(asked, allowed, term_stats(posted), corpus_stats(profiled)), k)
 
 
 @dataclass
@@ -96,10 +103,9 @@ class LexicalIndex:
     @classmethod
     def build(cls, chunks: DataFrame, path: str) -> LexicalIndex:
         """Writes the index as three tables; postings lie in order of their terms, so files skip by their statistics."""
-        tokenized = tokens(chunks)
-        corpus_stats(tokenized).write.mode("overwrite").parquet(f"{path}/stats")
-        posted = postings(tokenized)
-        posted.repartitionByRange("term", "chunk_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        profiled = profile(chunks)
+        corpus_stats(profiled).write.mode("overwrite").parquet(f"{path}/stats")
+        postings(profiled).repartitionByRange("term", "chunk_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         spark = chunks.sparkSession
         term_stats(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
         return cls.load(spark, path)

@@ -168,23 +168,23 @@ def token_ids(spark, sf_dir):
 
 @query(f"SELECT count(*) AS n, round(avg(len(t)), 6) AS avgdl FROM (SELECT {tok('text')} AS t FROM documents)")
 def bm25_corpus_stats(spark, sf_dir):
-    return lexical.corpus_stats(lexical.tokens(docs_meta(spark, sf_dir))).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return lexical.corpus_stats(lexical.profile(docs_meta(spark, sf_dir))).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {bm25(1)} SELECT chunk_id, term, tf, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS w FROM posted, stats")
 def bm25_doc_weights(spark, sf_dir):
-    return lexical.doc_weights(lexical.tokens(docs_meta(spark, sf_dir))).withColumn("w", F.round("w", 6))
+    return lexical.doc_weights(lexical.profile(docs_meta(spark, sf_dir))).withColumn("w", F.round("w", 6))
 
 
 @query(f"WITH {bm25(1)}, w AS (SELECT chunk_id, term, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 3) AS w FROM posted, stats) SELECT *, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY w DESC, term) AS INTEGER) AS place FROM w")
 def bm25_explain(spark, sf_dir):
-    return lexical.explain(lexical.tokens(docs_meta(spark, sf_dir)))
+    return lexical.explain(lexical.profile(docs_meta(spark, sf_dir)))
 
 
 @query(f"WITH {bm25(1)} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs, stats")
 def bm25_idf(spark, sf_dir):
-    tokenized = lexical.tokens(docs_meta(spark, sf_dir))
-    rows = lexical.term_stats(lexical.postings(tokenized)).crossJoin(F.broadcast(lexical.corpus_stats(tokenized)))  # one row
+    profiled = lexical.profile(docs_meta(spark, sf_dir))
+    rows = lexical.term_stats(lexical.postings(profiled)).crossJoin(F.broadcast(lexical.corpus_stats(profiled)))  # one row
     return rows.select("term", "df", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
