@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftwell.sources.scratch import scratch, stored
+
+__all__ = ["Words", "mixed", "powers", "ranked", "raw", "rolled", "scratch", "slices", "spread", "stored", "unused"]
+
 #: A word is a run of anything but these bytes; in UTF-8 they never occur inside a character.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -24,26 +26,6 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POWERS = np.ones(1, np.uint64)
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder path that driver and executors share, below ``spark.checkpoint.dir``.
-
-    Where that setting is absent, a local master gets a temporary folder; a cluster without it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="siftwell-")
-    return f"{base.rstrip('/')}/siftwell/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
-    """Writes df to a shared table and reads it back: lineage ends there, and a lost executor costs no recomputation."""
-    path = path or scratch(df.sparkSession, what)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch whose texts have about `most` bytes; a longer single text is a part of its own."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
