@@ -16,7 +16,6 @@ __all__ = ["Words", "mixed", "powers", "ranked", "raw", "rolled", "scratch", "sl
 
 #: A word is a run of anything but these bytes; in UTF-8 they never occur inside a character.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy pass handles; intermediates take some 40 times as much.
 CHUNK_BYTES = 1 << 20
 

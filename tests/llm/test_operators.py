@@ -381,7 +381,7 @@ def test_sql(spark, sf_dir, name):
     from compare import rows
 
     con = duckdb.connect()
-    for table in ("embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages"):
         con.sql(f"create view {table} as select * from read_parquet('{sf_dir}/{table}.parquet')")
     assert rows(queries.QUERIES[name](spark, sf_dir).toPandas()) == rows(con.sql(queries.ORACLE_SQL[name]).df())
 
