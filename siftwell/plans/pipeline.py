@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.vectors import hash_embed
 from siftwell.operators import context, dense, fusion, lexical, monitor, rerank, transform
 from siftwell.operators.filters import Filter
+from siftwell.sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -81,6 +82,8 @@ def search(config: PipelineConfig, index: Index, queries: DataFrame, n: int, rol
 def candidates(config: PipelineConfig, index: Index, queries: DataFrame, roles: tuple[str, ...] | None = None) -> DataFrame:
     """hits before reranking: prefetch_k if they are reranked or fused over variants, else k."""
     variants = transform.transformed(queries, config.transform, index.chat)
+    if config.transform != "none":
+        variants = stored(variants, "variants")  # a model is asked once, however many rankings read its reply
     several = config.transform in ("multi_query", "decompose", "step_back")
     n = config.prefetch_k if several or config.rerank != "none" else config.k
     if not several:
@@ -126,8 +129,8 @@ def run(config: PipelineConfig, index: Index, queries: DataFrame, roles: tuple[s
 
     Sources come after deduplication, reordering and the budget, so metrics on them differ from those on `retrieve`.
     """
-    sources = packed(config, index, retrieve(config, index, queries, roles))
+    sources = stored(packed(config, index, retrieve(config, index, queries, roles)), "sources")
     contexts = queries.select("qid", "query").join(context.joined(sources), "qid", "left")
-    answers = context.refusals(transform.answered(contexts, index.chat))
+    answers = context.refusals(stored(transform.answered(contexts, index.chat), "answers"))
     answers = answers.withColumn("cost_usd", monitor.cost(F.col("input_tokens"), F.col("output_tokens")))
     return answers.join(context.cited(answers, sources), "qid"), sources
