@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.vectors import cosine
@@ -97,3 +101,16 @@ def compare_indexes(blue: DataFrame, green: DataFrame) -> DataFrame:
     """(qid, n_blue, n_green, n_common, same_top) of two indexes' hits for the same queries."""
     both = blue.select("qid", "chunk_id", F.col("rank").alias("b")).join(green.select("qid", "chunk_id", F.col("rank").alias("g")), ["qid", "chunk_id"], "full")
     return both.groupBy("qid").agg(F.count("b").alias("n_blue"), F.count("g").alias("n_green"), F.count_if(F.col("b").isNotNull() & F.col("g").isNotNull()).alias("n_common"), F.coalesce(F.bool_or((F.col("b") == 1) & (F.col("g") == 1)), F.lit(False)).alias("same_top"))
+
+
+@contextmanager
+def traced(spark: SparkSession, name: str) -> Iterator[dict[str, float]]:
+    """Tags all jobs of the block with `name`, for Spark's event log, and puts the time it took into the dict it gives."""
+    span: dict[str, float] = {}
+    spark.sparkContext.addJobTag(name)
+    began = time.perf_counter()
+    try:
+        yield span
+    finally:
+        span["t_total_ms"] = (time.perf_counter() - began) * 1000
+        spark.sparkContext.removeJobTag(name)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.vectors import hash_embed
-from siftwell.operators import context, dense, fusion, lexical, monitor, rerank, transform
+from siftwell.operators import context, dense, evaluate, fusion, lexical, monitor, rerank, transform
 from siftwell.operators.filters import Filter
 from siftwell.sources.scratch import stored
 
@@ -134,3 +134,39 @@ def run(config: PipelineConfig, index: Index, queries: DataFrame, roles: tuple[s
     answers = context.refusals(stored(transform.answered(contexts, index.chat), "answers"))
     answers = answers.withColumn("cost_usd", monitor.cost(F.col("input_tokens"), F.col("output_tokens")))
     return answers.join(context.cited(answers, sources), "qid"), sources
+
+
+def evaluate_retrieval(config: PipelineConfig, index: Index, golden: DataFrame, roles: tuple[str, ...] | None = None) -> DataFrame:
+    """Retrieval rows of golden items (id, question, source_docs) that have sources, marked with the configuration."""
+    asked = golden.filter(F.size("source_docs") > 0)
+    hits = retrieve(config, index, asked.select(F.col("id").alias("qid"), F.col("question").alias("query")), roles)
+    return evaluate.retrieval_rows(asked, hits, config.k).withColumn("config", F.lit(config.label))
+
+
+def compare(configs: list[PipelineConfig], index: Index, golden: DataFrame, roles: tuple[str, ...] | None = None) -> DataFrame:
+    """One row of summary a configuration."""
+    rows = None
+    for config in configs:
+        own = evaluate_retrieval(config, index, golden, roles)
+        rows = own if rows is None else rows.unionByName(own)
+    return evaluate.summary(rows, "config")
+
+
+def run_golden(config: PipelineConfig, index: Index, golden: DataFrame, roles: tuple[str, ...] | None = None, judge: transform.Chat | None = transform.offline) -> DataFrame:
+    """Answers golden items, judges them (not at all if judge is None) and names each failure.
+
+    Items of type acl are left out: other roles ask them.  Ranks are those of the packed context.
+    """
+    asked = golden.filter(F.col("type") != "acl")
+    answers, sources = run(config, index, asked.select(F.col("id").alias("qid"), F.col("question").alias("query")), roles)
+    rows = evaluate.retrieval_rows(asked, sources, 1 << 30)
+    seen = context.distinct_docs(sources).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("d"))
+    seen = seen.select(F.col("qid").alias("id"), F.col("d.doc_id").alias("retrieved_docs"))
+    said = answers.select(F.col("qid").alias("id"), F.col("text").alias("answer"), "is_no_answer", "cited_doc_ids", "cost_usd")
+    rows = rows.join(said, "id").join(seen, "id", "left")
+    rows = rows.withColumn("retrieved_docs", F.coalesce("retrieved_docs", F.array().cast("array<string>")))
+    if judge is None:
+        rows = rows.withColumns({"correct": F.lit(None).cast("boolean"), "judge_reason": F.lit("")})
+    else:
+        rows = stored(transform.judged(rows, judge), "judged")
+    return rows.withColumn("failure", evaluate.failure_class())

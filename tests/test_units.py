@@ -13,7 +13,7 @@ from siftwell.functions import text as tx
 from siftwell.functions import vectors as vec
 from siftwell.operators import chunking, context, evaluate, fusion, lexical, monitor, rerank, security, transform
 from siftwell.operators.filters import Filter
-from siftwell.plans.pipeline import Index, PipelineConfig, retrieve, run
+from siftwell.plans.pipeline import Index, PipelineConfig, compare, retrieve, run, run_golden
 from siftwell.sources import corpus
 from siftwell.streaming import stateful
 
@@ -244,6 +244,25 @@ def test_run_cites_and_refuses(spark):
     assert sources.count() == 1
 
 
+def test_golden_run(spark):
+    items = [("g1", "fact", "Urlaub Tage", "30", ["d0"], True), ("g2", "acl", "Reisekosten", "x", ["d1"], True), ("g3", "none", "xyzzy", "nothing", [], False), ("g4", "fact", "Reisekosten erstattet", "y", ["d1"], True)]
+    golden = spark.createDataFrame(items, "id string, type string, question string, ground_truth string, source_docs array<string>, answerable boolean")
+    config = PipelineConfig(retrieval="sparse")
+    says = lambda prompts: ['{"correct": true}' if "Urlaub" in p else "?" for p in prompts]
+    rows = {r["id"]: r for r in run_golden(config, Index(chunks(spark)), golden, (), says).collect()}
+    assert {i: r["failure"] for i, r in rows.items()} == {"g1": "ok", "g3": evaluate.UNASKED, "g4": evaluate.MISSING}
+    assert rows["g1"]["hit"] and rows["g3"]["is_no_answer"] and rows["g4"]["recall"] == 0
+    assert {r["failure"] for r in run_golden(config, Index(chunks(spark)), golden, (), None).collect()} == {""}
+    got = {r["config"]: (r["n"], r["hit_rate"]) for r in compare([config, PipelineConfig(retrieval="sparse", enforce_acl=False, name="open")], Index(chunks(spark)), golden, ()).collect()}
+    assert got == {"sparse+k5": (3, 0.333), "open": (3, 1.0)}
+
+
+def test_traced(spark):
+    with monitor.traced(spark, "unit") as span:
+        spark.range(3).count()
+    assert span["t_total_ms"] > 0 and "unit" not in spark.sparkContext.getJobTags()
+
+
 def test_config_is_checked():
     with pytest.raises(ValueError):
         PipelineConfig(retrieval="other")
