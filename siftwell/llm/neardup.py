@@ -137,8 +137,7 @@ def _merged(owner: DataFrame, links: DataFrame) -> DataFrame:
     """owner (node, component) after more links (a, b): components that a link joins get the smaller one's name."""
     a, b = (owner.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
     joined = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    found = components(joined)
-    return stored(_renamed(owner, found), "owners")
+    return owner if links.isEmpty() else stored(_renamed(owner, components(joined)), "owners")
 
 
 def _renamed(owner: DataFrame, found: DataFrame) -> DataFrame:
@@ -265,9 +264,10 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay if each component keeps its smallest doc_id; of rows with that doc_id, one each."""
-    kept = linked(docs, width, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = linked(docs, width, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    # join and window need the same partitioning, so texts move once
+    named = rows.filter("id is not null").join(kept, F.col("id") == F.col("kept_id"), "left_semi")
     copy = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row")))
-    named = rows.filter("id is not null").withColumn("copy", copy).filter("copy = 1").select("row.*")
+    named = named.withColumn("copy", copy).filter("copy = 1").select("row.*")
     return named.union(rows.filter("id is null").select("row.*"))
