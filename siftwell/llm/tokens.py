@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import scratch, slices, spread, stored
 
 #: Words whose ids a Python worker remembers (some 200 bytes each), and the longest such word.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 #: ASCII punctuation between an ASCII letter or digit and a blank is a piece of its own, unless an apostrophe is in it.
 AFTER_WORD = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=[\x20\x09-\x0d]|\Z)")
 TABLE_MAGIC, INDEX_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
