@@ -213,6 +213,23 @@ def dense_topk_filtered(spark, sf_dir):
     return dense.search(vectors.filter("chunk_id < 20").withColumnRenamed("chunk_id", "qid"), vectors.filter("label IN (1, 3)"), 10).drop("source")
 
 
+def whole_hits(spark, sf_dir, k: int, where: str = "true") -> DataFrame:
+    """Dense search among the vectors that pass `where`, for every row whose id is divisible by 100."""
+    vectors = read(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id % 100 = 0").selectExpr("vec_id AS qid", "embedding AS vector")
+    return dense.search(asked, vectors.filter(where).selectExpr("vec_id AS chunk_id", "embedding AS vector"), k).drop("source")
+
+
+@query()
+def dense_topk_whole(spark, sf_dir):
+    return whole_hits(spark, sf_dir, 10)
+
+
+@query()
+def dense_topk_filtered_whole(spark, sf_dir):
+    return whole_hits(spark, sf_dir, 10, "label IN (1, 3)")
+
+
 HASHED = """words AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM ({rows})),
 buckets AS (SELECT id, ('0x' || substr(md5(w), 31, 2))::BIGINT AS b, sum(CASE WHEN ('0x' || substr(md5(w), 22, 1))::BIGINT % 2 = 1 THEN 1 ELSE -1 END) AS v FROM words GROUP BY 1, 2),
 norms AS (SELECT id, sqrt(sum(v * v)) AS n FROM buckets GROUP BY id)"""
@@ -509,8 +526,18 @@ def rank_at_20(spark, sf_dir):
     p AS (SELECT *, sum(CAST(relevant AS INTEGER)) OVER (PARTITION BY qid ORDER BY rank) / rank AS p FROM rel)
     SELECT qid, round(coalesce(avg(CASE WHEN relevant THEN p END), 0), 6) AS ap FROM p GROUP BY qid""")
 def average_precision(spark, sf_dir):
+    return precision_of(spark, sf_dir, dense_topk(spark, sf_dir))
+
+
+@query()
+def average_precision_whole(spark, sf_dir):
+    return precision_of(spark, sf_dir, whole_hits(spark, sf_dir, 10))
+
+
+def precision_of(spark, sf_dir, hits: DataFrame) -> DataFrame:
+    """Average precision of hits among embeddings; those with the query's label are relevant."""
     labels = read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    hits = dense_topk(spark, sf_dir).join(labels.selectExpr("vec_id AS qid", "label AS own"), "qid").join(labels.selectExpr("vec_id AS chunk_id", "label"), "chunk_id")
+    hits = hits.join(labels.selectExpr("vec_id AS qid", "label AS own"), "qid").join(labels.selectExpr("vec_id AS chunk_id", "label"), "chunk_id")
     return evaluate.average_precision(hits.select("qid", "rank", (F.col("own") == F.col("label")).alias("relevant")))
 
 
