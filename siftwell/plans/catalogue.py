@@ -335,6 +335,17 @@ def maxsim(spark, sf_dir):
     return rerank.max_sim(hits, asked, own).select("qid", "chunk_id", "score", "rank", "pre_rank")
 
 
+@query()
+def maxsim_whole(spark, sf_dir):
+    """Every row is a token of a query, that of its hundred, and of the chunks of its ten."""
+    vectors = read(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding AS vector")
+    hits = whole_hits(spark, sf_dir, 20)
+    asked = vectors.selectExpr("vec_id - vec_id % 100 AS qid", "vec_id AS token", "vector")
+    chunks = hits.select("chunk_id", F.expr("chunk_id div 10").alias("ten")).distinct()
+    own = chunks.join(vectors.withColumn("ten", F.expr("vec_id div 10")), "ten").select("chunk_id", "vector")
+    return rerank.max_sim(hits, asked, own).select("qid", "chunk_id", "score", "rank", "pre_rank")
+
+
 @query(f"""WITH {bm25(5)}, counted AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM sparse),
     named AS (SELECT qid, chunk_id, rank AS pre_rank, CAST(CASE WHEN qid % 3 = 0 THEN n + 1 - rank WHEN rank = 3 THEN n WHEN rank = 1 THEN n - 1 ELSE 0 END AS DOUBLE) AS score FROM counted)
     SELECT qid, chunk_id, score, pre_rank, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pre_rank) AS INTEGER) AS rank FROM named""")

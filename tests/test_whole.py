@@ -49,3 +49,14 @@ def test_average_precision(spark, tables, vectors):
         rel = [label[c] == label[q] for p, c, _ in nearest(v, 10) if p == q]
         want[q] = round(sum(sum(rel[: k + 1]) / (k + 1) for k, r in enumerate(rel) if r) / max(sum(rel), 1), 6)
     assert dict(map(tuple, catalogue.QUERIES["average_precision_whole"](spark, tables).collect())) == pytest.approx(want)
+
+
+def test_maxsim(spark, tables, vectors):
+    v, want = vectors[0].astype(float), {}
+    for q in range(0, N, 100):
+        found = [c for p, c, _ in nearest(vectors[0], 20) if p == q]
+        sums = [(v[q : q + 100] @ v[c // 10 * 10 : c // 10 * 10 + 10].T).max(1).sum().round(6) for c in found]
+        for k, at in enumerate(sorted(range(20), key=lambda i: (-sums[i], i))[:5], 1):
+            want[q, k] = (found[at], at + 1, pytest.approx(sums[at], abs=2e-6))
+    got = catalogue.QUERIES["maxsim_whole"](spark, tables).collect()
+    assert {(r["qid"], r["rank"]): (r["chunk_id"], r["pre_rank"], r["score"]) for r in got} == want
