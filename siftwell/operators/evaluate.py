@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import family
+from siftwell.functions.vectors import cosine
 from siftwell.operators.context import distinct_docs
 
 # Labels of failures, in the order in which their rules apply.
@@ -92,6 +93,17 @@ def support_ratio(flags: Column, statements: Column) -> Column:
     return F.when(F.size(statements) > 0, yes / F.size(statements)).otherwise(F.lit(0.0))
 
 
+def answer_relevancy(answers: DataFrame, regenerated: DataFrame) -> DataFrame:
+    """(qid, relevancy) of answers (qid, vector of the question, refused): the mean cosine to regenerated (qid, vector).
+
+    Refusals and answers without regenerated questions have 0.
+    """
+    asked = answers.select("qid", "vector", F.coalesce("refused", F.lit(False)).alias("refused"))
+    found = asked.join(regenerated.select("qid", F.col("vector").alias("_v")), "qid").groupBy("qid").agg(F.avg(cosine(F.col("vector"), F.col("_v"))).alias("_mean"))
+    value = F.when(F.col("refused"), 0.0).otherwise(F.coalesce("_mean", F.lit(0.0)))
+    return asked.join(found, "qid", "left").select("qid", F.round(value, 6).alias("relevancy"))
+
+
 def judge_calibration(rows: DataFrame) -> DataFrame:
     """Of rows (human, judge): n, tp, precision and recall (denominators of 1 at least), agreement."""
     count = lambda c: F.sum(c.cast("long"))

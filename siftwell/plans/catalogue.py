@@ -567,6 +567,14 @@ def answer_relevancy(spark, sf_dir):
     return asked.join(v, "vec_id").groupBy("qid").agg(F.round(F.avg(vec.cosine(F.col("q"), F.col("embedding"))), 6).alias("relevancy"))
 
 
+@query()
+def answer_relevancy_whole(spark, sf_dir):
+    """Of all rows; the next three ids stand for the regenerated questions, and no row is a refusal."""
+    v = read(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding AS vector")
+    regenerated = v.select(F.explode(F.expr("sequence(vec_id - 3, vec_id - 1)")).alias("qid"), "vector")
+    return evaluate.answer_relevancy(v.selectExpr("vec_id AS qid", "vector", "false AS refused"), regenerated)
+
+
 # evaluated rows: correctness and refusals follow from the item's number, the rest from the search
 E2E = f"""{bm25(5)}, {GOLDEN}, {rows_sql(5)}, e2e AS (SELECT id, type, n_sources > 0 AS answerable, hit, recall, first_rank, id % 4 = 0 AS correct, id % 5 = 1 AS is_no_answer, CAST(id % 7 * 100 AS DOUBLE) AS t_total_ms, id % 3 / 1000.0 AS cost_usd FROM rows),
 failed AS (SELECT *, CASE WHEN correct THEN 'ok' WHEN NOT answerable THEN 'halluzination_statt_absage' WHEN NOT hit THEN 'retrieval:missing_evidence' WHEN recall < 1 THEN 'retrieval:partial_evidence'

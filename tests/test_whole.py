@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from siftwell.operators import evaluate
 from siftwell.plans import catalogue
 
 N, DIM = 437, 6
@@ -60,3 +61,15 @@ def test_maxsim(spark, tables, vectors):
             want[q, k] = (found[at], at + 1, pytest.approx(sums[at], abs=2e-6))
     got = catalogue.QUERIES["maxsim_whole"](spark, tables).collect()
     assert {(r["qid"], r["rank"]): (r["chunk_id"], r["pre_rank"], r["score"]) for r in got} == want
+
+
+def test_answer_relevancy(spark, tables, vectors):
+    s = cosines(vectors[0])
+    want = {q: round(s[q, q + 1 : q + 4].mean(), 6) if q + 1 < N else 0.0 for q in range(N)}
+    assert dict(map(tuple, catalogue.QUERIES["answer_relevancy_whole"](spark, tables).collect())) == pytest.approx(want, abs=2e-6)
+
+
+def test_answer_relevancy_of_refusals(spark):
+    answers = spark.createDataFrame([(1, [1.0, 0.0], False), (2, [1.0, 0.0], True), (3, [1.0, 0.0], False)], "qid long, vector array<double>, refused boolean")
+    regenerated = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "qid long, vector array<double>")
+    assert dict(map(tuple, evaluate.answer_relevancy(answers, regenerated).collect())) == {1: 0.5, 2: 0.0, 3: 0.0}
