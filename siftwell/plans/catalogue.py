@@ -834,6 +834,11 @@ def semantic_cache_lookup(spark, sf_dir):
     return monitor.cache_lookup(rows.filter("request_id % 50 <> 0"), entries, threshold=0.3, ttl=86400)
 
 
+@query()
+def semantic_cache_lookup_whole(spark, sf_dir):
+    return monitor.cache_history(cache_requests(spark, sf_dir), threshold=0.3, ttl=86400)
+
+
 @query()
 def semantic_cache_replay(spark, sf_dir):
     return stateful.replay(cache_requests(spark, sf_dir), threshold=0.95, ttl=86400)

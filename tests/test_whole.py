@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from siftwell.operators import evaluate
+from siftwell.operators import evaluate, monitor
 from siftwell.plans import catalogue
 
 N, DIM = 437, 6
@@ -73,3 +73,22 @@ def test_answer_relevancy_of_refusals(spark):
     answers = spark.createDataFrame([(1, [1.0, 0.0], False), (2, [1.0, 0.0], True), (3, [1.0, 0.0], False)], "qid long, vector array<double>, refused boolean")
     regenerated = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "qid long, vector array<double>")
     assert dict(map(tuple, evaluate.answer_relevancy(answers, regenerated).collect())) == {1: 0.5, 2: 0.0, 3: 0.0}
+
+
+@pytest.mark.parametrize("cell", [4096, 7])
+def test_cache_history(spark, vectors, monkeypatch, cell):
+    monkeypatch.setattr(monitor, "CELL", cell)
+    v, rng = vectors[0][:150].copy(), np.random.default_rng(3)
+    at, key = rng.integers(0, 300, 150), rng.integers(0, 2, 150)  # equal times occur
+    v[100:120] = v[:20]  # equal similarities
+    rows = [(k, f"r{key[k]}", v[k].tolist(), int(at[k])) for k in range(150)]
+    requests = spark.createDataFrame(rows, "request_id long, key string, vector array<float>, s long").selectExpr("request_id", "key", "vector", "timestamp_seconds(s) AS ts")
+    scores, want = cosines(v).round(6), {}
+    for q in range(150):
+        live = [e for e in range(150) if key[e] == key[q] and at[q] - 60 <= at[e] and (at[e], e) < (at[q], q) and scores[q, e] > 0]
+        e = min(live, key=lambda e: (-scores[q, e], at[e], e), default=None)
+        want[q] = (None, 0.0, False) if e is None else (e if scores[q, e] >= 0.8 else None, scores[q, e], scores[q, e] >= 0.8)
+    got = {r["request_id"]: (r["entry_id"], r["similarity"], r["hit"]) for r in monitor.cache_history(requests, threshold=0.8, ttl=60).collect()}
+    assert got == want
+    # every event is looked up
+    assert any(hit for _, _, hit in got.values()) and len(got) == 150
