@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.sources.scratch import stored
+
 #: Dimension of the hashing embedder, bits of the MD5 that give bucket and sign.
 HASH_DIM = 256
 
@@ -65,14 +68,28 @@ def cache_key(model: str, text: Column) -> Column:
 
 
 def dense_scores(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """(qid, item_id, score): exact cosine, the k best of each task, for a bounded set of queries (qid, vector).
+    """(qid, item_id, score): exact cosine, the k best of each task, for queries (qid, vector).
 
-    The queries (at most QUERIES) go to all tasks; items (item_id, vector) are scanned once, by matrix products.  Each
-    task hands on at most k rows a query, so the ranking after it sees few rows.
+    The queries go to all tasks; items (item_id, vector) are scanned by matrix products.  Each task hands on at most k
+    rows a query, so the ranking after it sees few rows.  More than QUERIES queries go in passes of some QUERIES, dealt
+    by a hash; what a pass finds is stored, so only one pass's queries are held at a time.
     """
-    asked = queries.select("qid", "vector").limit(QUERIES + 1).toPandas()
-    if len(asked) > QUERIES:
-        raise ValueError(f"at most {QUERIES} queries in one scan; search them in blocks")
+    asked, items = queries.select("qid", "vector"), items.select("item_id", "vector")
+    first = asked.limit(QUERIES + 1).toPandas()
+    if len(first) <= QUERIES:
+        return _scanned(first, asked, items, k)[0]
+    asked, items = stored(asked, "queries"), stored(items, "items")
+    passes, found = -(-asked.count() // QUERIES), None
+    for turn in range(passes):
+        part = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == turn).toPandas()
+        got, sent = _scanned(part, asked, items, k)
+        got = stored(got, "scores")
+        sent.destroy()
+        found = got if found is None else found.union(got)
+    return found
+
+
+def _scanned(asked: pd.DataFrame, queries: DataFrame, items: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
     q = np.stack(asked["vector"]).astype(float) if len(asked) else np.zeros((0, 1))
     q = q / np.where((n := np.linalg.norm(q, axis=1)) == 0, 1, n)[:, None]
     names = asked["qid"].to_numpy()
@@ -87,20 +104,22 @@ def dense_scores(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
                 continue
             x = np.stack(batch["vector"]).astype(float)
             x = x / np.where((n := np.linalg.norm(x, axis=1)) == 0, 1, n)[:, None]
-            scores, ids = (x @ q.T).round(6), batch["item_id"].to_numpy()
-            deep = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(len(names), -np.inf)
-            for j, (best, own) in enumerate(held):
-                some = scores[:, j] >= max(deep[j], best[-1] if len(best) == k else -np.inf)
-                best, own = np.concatenate([best, scores[some, j]]), np.concatenate([own, ids[some]])
-                order = np.lexsort((own.astype(ids.dtype), -best))[:k]
-                held[j] = best[order], own[order]
+            ids = batch["item_id"].to_numpy()
+            for a in range(0, len(names), STEP):
+                scores = (x @ q[a : a + STEP].T).round(6)
+                deep = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(scores.shape[1], -np.inf)
+                for j, (best, own) in enumerate(held[a : a + STEP]):
+                    some = scores[:, j] >= max(deep[j], best[-1] if len(best) == k else -np.inf)
+                    best, own = np.concatenate([best, scores[some, j]]), np.concatenate([own, ids[some]])
+                    order = np.lexsort((own.astype(ids.dtype), -best))[:k]
+                    held[a + j] = best[order], own[order]
         for name, (best, own) in zip(names, held, strict=True):
             if len(best):
                 yield pd.DataFrame({"qid": name, "item_id": own, "score": best})
 
     kinds = dict(queries.dtypes), dict(items.dtypes)
-    return items.select("item_id", "vector").mapInPandas(run, f"qid {kinds[0]['qid']}, item_id {kinds[1]['item_id']}, score double")
+    return items.mapInPandas(run, f"qid {kinds[0]['qid']}, item_id {kinds[1]['item_id']}, score double"), sent
 
 
-#: Queries in one scan of dense_scores: the broadcast has at most this many vectors.
-QUERIES = 20_000
+#: Queries in one scan of dense_scores, some, which bounds the broadcast; those that meet a batch at a time.
+QUERIES, STEP = 20_000, 1024

@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from siftwell.operators import evaluate, monitor
+from siftwell.functions import vectors as vec
+from siftwell.operators import dense, evaluate, monitor
 from siftwell.plans import catalogue
 
 N, DIM = 437, 6
@@ -92,3 +93,11 @@ def test_cache_history(spark, vectors, monkeypatch, cell):
     assert got == want
     # every event is looked up
     assert any(hit for _, _, hit in got.values()) and len(got) == 150
+
+
+def test_dense_search_beyond_one_scan(spark, tables, vectors, monkeypatch):
+    monkeypatch.setattr(vec, "QUERIES", 100)
+    v = spark.read.parquet(f"{tables}/embeddings.parquet").selectExpr("vec_id AS chunk_id", "embedding AS vector")
+    got = dense.search(v.withColumnRenamed("chunk_id", "qid"), v, 5).collect()
+    scores = cosines(vectors[0]).round(6)
+    assert sorted((r["qid"], r["rank"], r["chunk_id"]) for r in got) == [(q, k, int(c)) for q in range(N) for k, c in enumerate(np.lexsort((np.arange(N), -scores[q]))[:5], 1)]
