@@ -262,8 +262,14 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay if each component keeps its smallest doc_id; of rows with that doc_id, one each."""
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80, texts: bool = False) -> DataFrame:
+    """The rows of docs that stay if each component keeps its smallest doc_id; of rows with that doc_id, one each.
+
+    With `texts`, each distinct (doc_id, set of shingles) is a vertex of its own, so that rows of one doc_id whose
+    texts are not linked stay.
+    """
+    if texts and not _several_texts(docs).isEmpty():
+        return _by_text(docs, width, percent)
     kept = linked(docs, width, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     # join and window need the same partitioning, so texts move once
@@ -271,3 +277,20 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     copy = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row")))
     named = named.withColumn("copy", copy).filter("copy = 1").select("row.*")
     return named.union(rows.filter("id is null").select("row.*"))
+
+
+def _several_texts(docs: DataFrame) -> DataFrame:
+    text = F.xxhash64("text")
+    return docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).filter("low < high")
+
+
+def _by_text(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    numbered = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("vertex")), "vertices")
+    rows = numbered.select("row", "vertex", F.col("row.doc_id").cast("long").alias("id"))
+    named = rows.filter("id is not null")
+    found = linked(named.select(F.col("vertex").alias("doc_id"), "row.text"), width, percent)
+    found = found.select(F.col("doc_id").alias("vertex"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))
+    # texts without a word are linked with nothing, but equal within a doc_id
+    keyed = named.select("vertex", "id", F.xxhash64("row").alias("h")).join(found, "vertex").withColumn("alone", F.when(F.col("group").isNull(), F.col("id")))
+    kept = keyed.groupBy("group", "alone").agg(F.min(F.struct("id", "h", "vertex")).alias("first")).select(F.col("first.vertex").alias("vertex"))
+    return named.join(kept, "vertex", "left_semi").select("row.*").union(rows.filter("id is null").select("row.*"))
