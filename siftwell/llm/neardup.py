@@ -6,9 +6,11 @@ only.  Documents with equal sets are one node.  Sub-keys that no other node has
 
 Nodes that share a bucket are candidates.  A bucket of any size is settled without all its pairs.  In rounds, nodes
 are compared with a few of their buckets' nodes, components are formed, and buckets that lie in one component are
-done.  Then nodes go that share too few shingles with all other components together to be linked to any, and what is
-left is compared across components.  So every candidate pair is confirmed, rejected, ruled out by that bound, or
-connected already.
+done.  Then nodes go that share too few shingles with all other components together to be linked to any.  What is
+left are groups of texts much alike, but not enough.  There each node is written as its differences from the group's
+central node; two nodes that are linked, but not both with it, must agree on many differences, so on one of the
+first few in a common order, rare ones first, and they meet by that.  So every candidate pair is confirmed, rejected,
+ruled out by a bound, or connected already.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,8 @@ SIDE, ROWS = 13, 3
 #: Rounds against a few nodes of other components, at most, and nodes that a node meets in a round; rounds end
 #: early when less than this share of pairs is a link.
 PIVOT_ROUNDS, PIVOTS, LEAST_GAIN = 4, 3, 0.05
-#: Bits of a node's sketch.  It bounds, never decides: longer sets fill it, and then more pairs are compared.
-SKETCH = 1024
+#: Shingles of at least COMMON nodes, of which MOST_COMMON at most, are looked up in each task.
+COMMON, MOST_COMMON = 256, 20_000
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -154,6 +157,10 @@ def _open(buckets: DataFrame, owner: DataFrame) -> DataFrame:
     return held.join(mixed_, "key")
 
 
+def _named(rows: DataFrame, owner: DataFrame, node: str, component: str) -> DataFrame:
+    return rows.join(owner.select(F.col("node").alias(node), F.col("component").alias(component)), node)
+
+
 def _fits(n: str, m: str, percent: int) -> Column:
     return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
 
@@ -167,55 +174,102 @@ def _pivot_pairs(held: DataFrame, percent: int, turn: int) -> DataFrame:
     first = held.groupBy("key").agg(F.min(F.struct(order.alias("h"), "node", "n", "c")).alias("p"))
     met = held.join(first, "key").filter("c <> p.c").filter(_fits("n", "p.n", percent))
     chosen = met.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("p.h", "p.node"))), 1, PIVOTS).alias("ps"))
-    pairs = chosen.select("node", F.explode("ps.node").alias("other"))
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return _pairs(chosen.select("node", F.explode("ps.node").alias("other")))
 
 
-def _all_pairs(held: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes of one bucket across components that may be linked.
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
-    Their sizes, counts m of shingles shared abroad, and bitmaps of their shingles bound what they can share.
-    """
-    other = held.select("key", F.col("node").alias("o"), F.col("n").alias("on"), F.col("m").alias("om"), F.col("c").alias("d"), *(F.col(f"s{k}").alias(f"o{k}") for k in range(SKETCH // 64)))
-    # each bit that only one side has is a shingle, at least, that the other side lacks
-    lacks = lambda x, y: " + ".join(f"bit_count({x}{k} & ~{y}{k})" for k in range(SKETCH // 64))
-    enough = F.lit(True)
-    for most in ("least(m, om)", f"(n - ({lacks('s', 'o')}))", f"(on - ({lacks('o', 's')}))"):
-        enough &= F.expr(f"{100 + percent} * {most} >= {percent} * (n + on)")
-    pairs = held.join(other, (held["key"] == other["key"]) & (F.col("d") < F.col("c")) & _fits("n", "on", percent) & enough)
-    return pairs.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+
+def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    return stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
 def _reachable(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, m, s0, s1, ...) of the nodes that can be linked to another component at all: m of their shingles occur in others, which is enough.
+    """(node, own): the shingles h that a node shares with other components at all, rare ones first, if enough for a link.
 
     A link needs at least `percent` of a node's shingles in the other one; shingles that only the node's own
-    component has are in none.  s0, s1, ... mark the remainders
-    of the shingles' hashes by SKETCH.
+    component has are in none.  Shingles of very many nodes are few, go to all tasks, and meet nowhere.
     """
     nodes = held.select("node", "n", "c").distinct()
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, n, c, hashes in zip(*(batch.column(k) for k in range(4)), strict=True):
-                h = np.frombuffer(hashes.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x.as_py())) for x in (node, n, c)] + [pa.array(h)], ["node", "n", "c", "h"])
+            size = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False) // 8
+            at = pa.array(np.repeat(np.arange(len(batch)), size))
+            hashes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(hashes)], ["node", "n", "c", "h"])
 
     rows = nodes.join(sets, "node").select("node", "n", "c", "hashes").mapInArrow(spelled, "node long, n long, c long, h long")
-    abroad = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("h")
-    shared = rows.join(abroad.hint("merge"), "h", "left_semi").groupBy("node", "n").agg(F.count_distinct("h").alias("m"))
-    some = shared.filter(F.expr(f"100 * m >= {percent} * n")).select("node", "m")
+    several = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("f")).filter("low < high")
+    abroad = stored(several.select("f", "h"), "shingles")
+    common = abroad.filter(F.col("f") >= COMMON).orderBy(F.desc("f")).limit(MOST_COMMON).collect()
+    common = F.broadcast(abroad.sparkSession.createDataFrame(common, abroad.schema))  # at most MOST_COMMON rows
+    near = rows.join(common, "h").select("node", "n", "f", "h")
+    far = rows.join(common, "h", "left_anti").join(abroad.hint("merge"), "h").select("node", "n", "f", "h")
+    shared = near.union(far).groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("f", "h"))).alias("own"))
+    return shared.filter(F.expr(f"100 * size(own) >= {percent} * n")).select("node", "own")
+
+
+def _stars(held: DataFrame) -> DataFrame:
+    """(p, pn, node, n): the nodes of each bucket with its central node p."""
+    first = held.groupBy("key").agg(F.min(F.struct((-F.col("near")).alias("h"), "node", "n")).alias("p"))
+    met = held.join(first, "key").filter("node <> p.node")
+    return met.select(F.col("p.node").alias("p"), F.col("p.n").alias("pn"), "node", "n").distinct()
+
+
+def _differences(stars: DataFrame, sets: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """(p, e, node, n, c, d, m, at, index): shingles e by which a node differs from p, as far as links need them.
+
+    d counts the shingles that only one of node and p has, m those of them that another component's node may differ
+    by too.  Nodes x, y differ from each other by what only one of them differs from p by.  A link allows them
+    (100 - percent) / (100 + percent) of their sizes' sum, so they must agree on the rest, which is never nothing:
+    where it could be, both are linked with p.  So, if all differences stand in one order, rare ones first, the first
+    one that they agree on is among the first few of either, and among fewer still (index) of the one with smaller d.
+    """
+    centres = sets.select(F.col("node").alias("p"), F.col("hashes").alias("x"))
+    rows = stars.join(own, "node").join(sets.withColumnRenamed("hashes", "y"), "node").join(centres, "p")
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for hashes in batch.column(2):
-                bits = np.zeros(SKETCH, np.uint8)
-                bits[np.frombuffer(hashes.as_buffer(), np.uint64) % np.uint64(SKETCH)] = 1
-                rows.append(np.packbits(bits).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, np.array(rows, np.int64).reshape(-1, SKETCH // 64).T)], ["node", "m", *(f"s{k}" for k in range(SKETCH // 64))])
+            ids, which = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            lost: list[list[np.ndarray]] = [[] for _ in ids]
+            for k, x, y in zip(which.tolist(), batch.column(1), batch.column(2), strict=True):
+                lost[k].append(np.setdiff1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
+            e, f = zip(*(np.unique(np.concatenate(x), return_counts=True) for x in lost), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(ids, [len(x) for x in e]), np.concatenate(e).view(np.int64), np.concatenate(f))], ["p", "e", "f"])
 
-    return some.join(sets, "node").select("node", "m", "hashes").mapInArrow(sketched, "node long, m long, " + ", ".join(f"s{k} long" for k in range(SKETCH // 64)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            n = batch.column(2).to_numpy()
+            for k, (x, y, own, lost) in enumerate(zip(*(batch.column(c) for c in range(4, 8)), strict=True)):
+                centre, whole = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                e, f = (np.concatenate([own.values.field(c).to_numpy(), lost.values.field(c).to_numpy() if lost.is_valid else np.zeros(0, np.int64)]) for c in ("h", "f"))
+                differ = np.isin(e, whole) ^ np.isin(e, centre)
+                e, f = e[differ], f[differ]
+                d, m = len(np.setxor1d(centre, whole, assume_unique=True)), len(e)
+                some = min(m, m - d + int(n[k]) * (100 - percent) // percent + 1)
+                few = m - d + int(n[k]) * (100 - percent) // (2 * percent) + 1
+                if some > 0:
+                    at = np.arange(some)
+                    out.append((np.full(some, k), e[np.lexsort((e, f))[:some]], np.full(some, d), np.full(some, m), at, at < few))
+            if out:
+                k, *rest = map(np.concatenate, zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(k)) for c in range(4)), *map(pa.array, rest)], ["p", "node", "n", "c", "e", "d", "m", "at", "index"])
+
+    # of p's own shingles, so no more than it has
+    lost = rows.select("p", "x", "y").mapInArrow(counted, "p long, e long, f long").groupBy("p", "e").agg(F.sum("f").alias("f"))
+    lost = lost.groupBy("p").agg(F.collect_list(F.struct("f", F.col("e").alias("h"))).alias("lost"))
+    return rows.join(lost, "p", "left").select("p", "node", "n", "c", "x", "y", "own", "lost").mapInArrow(run, "p long, node long, n long, c long, e long, d long, m long, at long, index boolean")
+
+
+def _agreeing(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components with a difference in common, the first of all by which they may be linked."""
+    other = rows.filter("index").select("p", "e", *(F.col(k).alias(f"{k}2") for k in ("node", "n", "c", "d", "m", "at")))
+    enough = F.expr(f"2 * {100 + percent} * least(m - at, m2 - at2) >= {100 + percent} * (d + d2) - {100 - percent} * (n + n2)")
+    met = rows.join(other, ["p", "e"]).filter("c <> c2 and d >= d2").filter(_fits("n", "n2", percent)).filter(enough)
+    return _pairs(met.select("node", F.col("node2").alias("other")))
 
 
 def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -241,20 +295,30 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
 
     owner = stored(wanted.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")), "owners")
     owner = _merged(owner, links)
-    tested, turn, open_nodes = None, 0, None
-    while True:
-        held = _open(buckets, owner)
-        pairs = _pivot_pairs(held, percent, turn) if open_nodes is None else _all_pairs(held.join(open_nodes, "node"), percent)
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    tested = None
+
+    def compared(pairs: DataFrame) -> tuple[int, int]:
+        nonlocal owner, tested
+        pairs = _untested(pairs, tested)
         tested = pairs if tested is None else tested.union(pairs)
         found = stored(confirmed(pairs, sets, percent), "links")
-        links = links.union(found)
         owner = _merged(owner, found)
-        if open_nodes is not None:
+        return pairs.count(), found.count()
+
+    for turn in range(PIVOT_ROUNDS):
+        asked, found = compared(_pivot_pairs(_open(buckets, owner), percent, turn))
+        if found < LEAST_GAIN * asked + 1:
             break
-        turn += 1
-        if turn == PIVOT_ROUNDS or found.count() < LEAST_GAIN * pairs.count() + 1:
-            open_nodes = stored(_reachable(_open(buckets, owner), sets, percent), "open_nodes")
+    # what is left meets by one collection's sub-keys: fewer and larger buckets that hold all pairs of the tables'
+    held = stored(_open(buckets, owner).select("node", "n", "near", "c", "key"), "open")
+    own = stored(_reachable(held, sets, percent), "reachable")
+    left = held.select("node", "n", "near").distinct().join(own.select("node"), "node").join(nodes.select("node", "keys"), "node")
+    held = left.select(F.posexplode(F.slice("keys", 1, SIDE)).alias("at", "value"), "node", "n", "near").withColumn("key", F.xxhash64("at", "value")).drop("at", "value")
+    stars = stored(_stars(stored(_open(held, owner), "open")), "stars")
+    met = _named(_named(stars, owner, "node", "c"), owner, "p", "pc").filter("c <> pc").filter(_fits("n", "pn", percent))
+    compared(_pairs(met.select("node", F.col("p").alias("other"))))
+    several = _named(stars, owner, "node", "c").groupBy("p").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("p")
+    compared(_agreeing(stored(_differences(_named(stars.join(several, "p", "left_semi"), owner, "node", "c"), sets, own, percent), "differences"), percent))
     of = members.join(owner, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
     of = of.groupBy("doc_id").agg(F.min("c").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(of, "doc_id", "left")

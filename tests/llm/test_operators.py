@@ -176,6 +176,28 @@ def test_near_duplicates_of_a_group_without_a_centre(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.linked(df).collect()) == brute.linked(rows)
 
 
+def test_near_copies_just_below_and_above_the_threshold(spark):
+    """A large group whose texts differ from each other by about 20 %, with and without the text they come from."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for group, changes in enumerate((2, 3, 4)):
+        base = brute.prose(rng, 150).split()
+        for k in range(70):
+            text = base[: 150 - 3 * (k % 4)]
+            for _ in range(changes):
+                text[rng.randrange(len(text))] = brute.prose(rng, 1)
+            if k % 5 == 0:  # a paragraph that some share, and that the base lacks
+                text += [f"shared{group}x{k % 10}w{w}" for w in range(12)]
+            rows.append((1000 * group + k, " ".join(text)))
+    rng.shuffle(rows)
+    want = brute.linked(rows)
+    assert 20 < len({c for _, _, c, _ in want}) < 190
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.linked(df).collect()) == want
+
+
 def test_representatives(docs, rows):
     got = Counter(r["doc_id"] for r in neardup.representatives(docs).collect())
     keep = {i for i, _, _, kept in brute.linked(rows, 5) if kept and i is not None}
