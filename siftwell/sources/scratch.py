@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +21,38 @@ def scratch(spark: SparkSession, what: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="siftwell-")
-    return f"{base.rstrip('/')}/siftwell/{what}-{uuid.uuid4().hex}"
+        base = _local()
+    folder = "/".join((qualified(spark, base).rstrip("/"), "siftwell", *_passing))
+    return f"{folder}/{what}-{uuid.uuid4().hex}"
+
+
+_passing: list[str] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made in this block go when it ends: what it makes must have been written elsewhere by then."""
+    _passing.append(f"passing-{uuid.uuid4().hex}")
+    try:
+        probe = scratch(spark, "any")
+        yield
+    finally:
+        _passing.pop()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(probe).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@cache
+def _local() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="siftwell-")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and host that Spark gives it, so that readers other than Spark find the same place."""
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", full)
 
 
 def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
