@@ -3,6 +3,10 @@
 Each line with a word gets a few statistics.  The field scores a line as content or boilerplate from these, and a
 pair of neighbouring lines from their labels; Viterbi decoding finds the best labelling of a document's lines.  A
 document stays if it passes the base rules and enough of its words lie in content lines.
+
+Training has labels of documents only, so those of lines are hidden.  A good document's lines are content.  In a bad
+one some are boilerplate, which ones is what the field itself says: it is fitted, the lines of bad documents are
+decoded anew (the least content-like ones of a document are boilerplate in any case), and so on.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from siftwell.llm.common import Words, mixed, powers, rolled, slices
 #: The symbols that count, and the window whose repetition counts.
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-#: Documents of either label to fit the field on, and the lines that such a document may have.
+#: Documents of either label to fit the field on, and how many of the first lines of each.
 FIT_DOCS, FIT_LINES = 600, 200
-#: A document stays if at least this share of its words lies in content lines.
-CONTENT_SHARE = 0.5
+#: Times that lines of bad documents are decoded anew, and the share of words in content lines that they have at most.
+TURNS, BAD_SHARE = 4, 0.7
 FEATURES = ("bias", "symbols", "upper", "digits", "marks", "repeated", "short", "word_length", "stopped", "wide")
 
 _SYMBOL, _UPPER, _DIGIT, _MARK = (np.zeros(256, bool) for _ in range(4))
@@ -44,6 +48,8 @@ class Field:
     pairs: tuple[tuple[float, float], ...] = field(default=((0.5, -0.5), (-0.5, 0.5)))
     #: For content, before the first line: it takes evidence to reject a document.
     start: float = 1.5
+    #: A document stays if at least this share of its words lies in content lines.
+    share: float = 0.5
 
     def decode(self, scores: list[float], ends: list[int]) -> np.ndarray:
         """Best labels of consecutive chains; `ends` says where each chain ends."""
@@ -131,51 +137,97 @@ class Lines:
         return np.bincount(self.doc[labels], weights=self.line_words[labels], minlength=len(self.n_words)).astype(np.int64)
 
 
-def fitted(chains: list[tuple[np.ndarray, int]], rounds: int = 80, rate: float = 0.2, decay: float = 1e-4) -> Field:
-    """A field for chains of (features, label of all lines), by gradient ascent on the likelihood; without both labels, the default.
+def _learned(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, weight: np.ndarray, model: Field, rounds: int, rate: float = 0.2, decay: float = 1e-3) -> Field:
+    """The field after some rounds of gradient ascent on the likelihood of line labels y, given features x.
 
-    Rows are padded to one length and go through forward and backward passes together.
+    Both are by place in the chain, then by chain, padded; chains are in order of falling size, so those that reach a
+    place come first.
     """
-    if len({y for _, y in chains}) < 2:
-        return Field()
-    chains = [(x, y) for x, y in chains if len(x)]
-    n, most, size = len(chains), max(len(x) for x, _ in chains), len(FEATURES)
-    x, there, y = np.zeros((most, n, size)), np.zeros((most, n), bool), np.array([y for _, y in chains])
-    for k, (rows, _) in enumerate(chains):
-        x[: len(rows), k], there[: len(rows), k] = rows, True
-    # lines of a kind weigh the same in sum
-    weight = np.where(y == 1, 1 / max(there[:, y == 1].sum(), 1), 1 / max(there[:, y == 0].sum(), 1)) / 2
-    w, t = np.zeros(size), np.zeros((2, 2))
-    mw, mt, vw, vt = np.zeros(size), np.zeros((2, 2)), np.zeros(size), np.zeros((2, 2))
-    own = np.zeros((2, 2))
-    for label in (0, 1):
-        own[label, label] = (weight * (there[1:] & (y == label))).sum()
+    most, n, _ = x.shape
+    alive = (np.arange(most)[:, None] < sizes).sum(1)
+    w, t = np.array(model.weights), np.array(model.pairs)
+    state = [(p, np.zeros_like(p), np.zeros_like(p)) for p in (w, t)]
+    there = (np.arange(most)[:, None] < sizes) * weight
+    own = np.array([[(there[1:] * (y[:-1] == a) * (y[1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
     for r in range(1, rounds + 1):
         emit = np.stack([np.zeros((most, n)), x @ w], axis=2)
-        a, b = np.zeros((most, n, 2)), np.zeros((most, n, 2))
-        a[0] = emit[0]
+        a, b = emit.copy(), np.zeros((most, n, 2))
+        last = emit[0].copy()
         for k in range(1, most):
-            a[k] = np.where(there[k, :, None], np.logaddexp(a[k - 1, :, :1] + t[0], a[k - 1, :, 1:] + t[1]) + emit[k], a[k - 1])
+            m = alive[k]
+            last[:m] = a[k, :m] = np.logaddexp(a[k - 1, :m, :1] + t[0], a[k - 1, :m, 1:] + t[1]) + emit[k, :m]
         for k in range(most - 2, -1, -1):
-            ahead = emit[k + 1] + b[k + 1]
-            b[k] = np.where(there[k + 1, :, None], np.logaddexp(t[:, 0] + ahead[:, :1], t[:, 1] + ahead[:, 1:]), 0)
-        z = np.logaddexp(a[-1, :, 0], a[-1, :, 1])
-        content = np.exp(a[:, :, 1] + b[:, :, 1] - z) * there
-        gw = np.einsum("kn,knf->f", (y * there - content) * weight, x) - decay * w
-        both = np.exp(a[:-1, :, :, None] + t + (emit + b)[1:, :, None, :] - z[:, None, None]) * (there[1:] * weight)[:, :, None, None]
+            m = alive[k + 1]
+            ahead = emit[k + 1, :m] + b[k + 1, :m]
+            b[k, :m] = np.logaddexp(t[:, 0] + ahead[:, :1], t[:, 1] + ahead[:, 1:])
+        z = np.logaddexp(last[:, 0], last[:, 1])
+        content = np.exp(np.minimum(a[:, :, 1] + b[:, :, 1] - z, 0))
+        gw = np.einsum("kn,knf->f", (y - content) * there, x) - decay * w
+        both = np.exp(np.minimum(a[:-1, :, :, None] + t + (emit + b)[1:, :, None, :] - z[:, None, None], 0)) * there[1:, :, None, None]
         gt = own - both.sum((0, 1)) - decay * t
-        for g, p, m, v in ((gw, w, mw, vw), (gt, t, mt, vt)):
+        for g, (p, m, v) in zip((gw, gt), state, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p += rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
-    return Field(tuple(w.tolist()), tuple(map(tuple, t.tolist())))
+    return Field(tuple(w.tolist()), tuple(map(tuple, t.tolist())), model.start, model.share)
+
+
+def fitted(chains: list[tuple[np.ndarray, np.ndarray, int]]) -> Field:
+    """A field for chains of (features of lines, their words, label of the document); without both labels, the default."""
+    chains = sorted((c for c in chains if len(c[0])), key=lambda c: -len(c[0]))
+    if len({label for *_, label in chains}) < 2:
+        return Field()
+    sizes, good = np.array([len(x) for x, *_ in chains]), np.array([label for *_, label in chains]) == 1
+    x, words = np.zeros((sizes[0], len(chains), len(FEATURES))), np.zeros((sizes[0], len(chains)))
+    for k, (rows, count, _) in enumerate(chains):
+        x[: len(rows), k], words[: len(rows), k] = rows, count
+    # documents of either label weigh the same in sum
+    weight = np.where(good, 1 / sizes[good].sum(), 1 / sizes[~good].sum()) / 2
+    start = Field((0.0,) * len(FEATURES), ((0.0, 0.0), (0.0, 0.0)))
+    # at first each line has its document's label, and neighbours say nothing
+    y = np.broadcast_to(good, words.shape)
+    model = _learned(x, y, sizes, weight, start, 40)
+    model = Field(model.weights, start.pairs, 0.0)
+    for _ in range(TURNS):
+        y = _line_labels(x, words, sizes, good, model)
+        model = _learned(x, y, sizes, weight, Field(model.weights, model.pairs), 40)
+    return Field(model.weights, model.pairs, model.start, _best_share(x, words, sizes, good, model))
+
+
+def _decoded(x: np.ndarray, sizes: np.ndarray, model: Field) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    scores = x @ np.array(model.weights)
+    for k, size in enumerate(sizes.tolist()):
+        yield k, size, scores[:size, k], model.decode(scores[:size, k].tolist(), [size])
+
+
+def _line_labels(x: np.ndarray, words: np.ndarray, sizes: np.ndarray, good: np.ndarray, model: Field) -> np.ndarray:
+    y = np.zeros(words.shape, bool)
+    for k, size, scores, labels in _decoded(x, sizes, model):
+        if good[k]:
+            y[:size, k] = True
+            continue
+        order = np.argsort(scores, kind="stable")
+        # lines that have to go until no more than BAD_SHARE is left, the least content-like ones
+        gone = np.cumsum(words[order, k]) - words[order, k] < (1 - BAD_SHARE) * words[:size, k].sum()
+        labels[order[gone]] = False
+        y[:size, k] = labels
+    return y
+
+
+def _best_share(x: np.ndarray, words: np.ndarray, sizes: np.ndarray, good: np.ndarray, model: Field) -> float:
+    """The share of content that tells good from bad documents best; of equally good ones that nearest to a half."""
+    shares = np.array([words[:size, k][labels].sum() / words[:size, k].sum() for k, size, _, labels in _decoded(x, sizes, model)])
+    right = lambda s: (shares[good] >= s).mean() + (shares[~good] < s).mean()
+    return max((s / 20 for s in range(1, 20)), key=lambda s: (round(right(s), 6), -abs(s - 0.5)))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
-    """A field from weak labels: all lines of a document take its `quality`.
+    """A field from labels of documents, `quality`.
 
     Uses at most FIT_DOCS documents of either label (the first by a hash of doc_id, out of those whose crc32(doc_id)
-    mod 4 is not 2) with at most FIT_LINES lines.  A label that is null or given both ways counts for nothing.
+    mod 4 is not 2), and of a longer one the first FIT_LINES lines with words.  A label that is null or given both ways
+    counts for nothing; so do texts without words.  Of rows with one doc_id each counts.  Without documents of both
+    labels, as in empty tables, the field is the default one.
     """
     rest = labels.filter("crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("r")).filter("q = r and q in (0, 1)")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -188,14 +240,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
         for batch in batches:
             for part in slices(batch, 1):
                 found = Lines(part.column(1))
-                rows = np.split(found.features, found.line_ends[:-1])
-                few = [k for k, f in enumerate(rows) if 0 < len(f) <= FIT_LINES]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(few, pa.int64())), pa.array([rows[k].tobytes() for k in few], pa.binary())], ["doc_id", "rows"])
+                rows = np.concatenate([found.features, found.line_words[:, None]], axis=1).astype(np.float32)
+                rows = [r[:FIT_LINES].tobytes() for r in np.split(rows, found.line_ends[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["doc_id", "rows"])
 
     ids = docs.sparkSession.createDataFrame([(int(k),) for k in picked], "doc_id long")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most 2 * FIT_DOCS ids
     got = sorted(map(tuple, texts.mapInArrow(lines, "doc_id long, rows binary").collect()))
-    return fitted([(np.frombuffer(rows, np.float32).reshape(-1, len(FEATURES)), picked[i]) for i, rows in got])
+    table = [(np.frombuffer(rows, np.float32).reshape(-1, len(FEATURES) + 1), picked[i]) for i, rows in got]
+    return fitted([(rows[:, :-1], rows[:, -1], label) for rows, label in table])
 
 
 def _judged(texts: pa.Array, model: Field) -> dict[str, np.ndarray]:
@@ -203,7 +256,7 @@ def _judged(texts: pa.Array, model: Field) -> dict[str, np.ndarray]:
     failed = (x.n_words < 20) | (100 * x.n_repeat_words > 30 * x.n_words)
     share = x.content_words(model) / np.maximum(x.n_words, 1)
     counts = {k: getattr(x, k).astype(np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    return counts | {"base_failed": failed, "kept": ~failed & (share >= CONTENT_SHARE), "content_share": share}
+    return counts | {"base_failed": failed, "kept": ~failed & (share >= model.share), "content_share": share}
 
 
 def report(docs: DataFrame, model: Field) -> DataFrame:
@@ -211,6 +264,8 @@ def report(docs: DataFrame, model: Field) -> DataFrame:
 
     doc_id, n_words, word_chars (code points in words), n_symbols, n_dup_lines, n_repeat_words (long), base_failed,
     kept, content_share (share of words in content lines).  Null and empty texts have no words: base_failed is true.
+    Repeated rows are judged each, rows without a doc_id as well; an empty table gives none.  A long text is held by one
+    task as a whole, at some 100 bytes a character.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +279,7 @@ def report(docs: DataFrame, model: Field) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: Field) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that the rules keep, with all their columns; null and empty texts go, repeated rows stay or go alike."""
     column = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
