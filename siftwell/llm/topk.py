@@ -2,16 +2,19 @@
 
 Components are turned into integers first.  A block of vectors is approximated by 8-bit cells a dimension; a scan of
 the cells bounds every score from both sides.  Exact vectors are then read in the order of their bounds until no
-unread one can reach the k-th best score.  Blocks are searched apart, for each query on its own, and their best meet
-in a ranking by query.  Queries go to all tasks in passes of a fixed number, so what is sent has a bound.
+unread one can reach the k-th best score, which a task keeps for each query from block to block.  Tasks hand on their
+best, which meet in a ranking by query.  Queries go to all tasks in passes of a fixed number, one at a time, so what
+is sent has a bound.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,25 +23,37 @@ from siftwell.llm.common import stored
 SCALE = 1024
 #: Vectors in a block; queries in a pass and those scanned at a time; exact vectors read at a time.
 BLOCK, PASS, SCAN, READ = 16_384, 32_768, 64, 32
-#: A vector takes part if its integers' squares sum to less than this; then every score fits a long.
-NORM = 1 << 62
+#: 64-bit integers serve vectors whose integers are below LARGE and whose squares sum to less than NORM: all scores
+#: among them fit.  Others have Python's integers; those of HUGE or more have no bounds either and are always read.
+LARGE, NORM, HUGE = 1 << 31, 1 << 62, 1e150
+MOST = (1 << 63) - 1
+
+
+def scaled(x: float) -> int:
+    """floor(SCALE * x), exactly, also where that is beyond a double."""
+    y = x * SCALE
+    return math.floor(y) if math.isfinite(y) else int(x) * SCALE
 
 
 def integers(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, rows of floor(SCALE * x)) of the valid vectors of a batch (vec_id, embedding), by dimension."""
+    """(ids, rows of floor(SCALE * x)) of the valid vectors of a batch (vec_id, embedding), by dimension and by kind of integer."""
     ids, lists = batch.column(0), batch.column(1)
-    flat = lists.flatten().cast(pa.float64())
-    sizes = np.diff(np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]))
-    ends = np.cumsum(sizes)
-    values = np.floor(flat.to_numpy(zero_copy_only=False) * SCALE)
-    bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
-    square = np.concatenate([[0.0], np.cumsum(np.where(np.isfinite(values) & (np.abs(values) < 2**31), values, 0) ** 2)])
-    bad = bad + np.concatenate([[0], np.cumsum(np.abs(np.where(np.isfinite(values), values, 0)) >= 2**31)])
-    good = (bad[ends] == bad[ends - sizes]) & ~np.asarray(ids.is_null()) & ~np.asarray(lists.is_null()) & (square[ends] - square[ends - sizes] < NORM)
+    flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    sizes = np.diff(ends, prepend=0)
+    total = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[ends] - c[ends - sizes]
+    finite = np.isfinite(flat)
+    values = np.floor(np.where(finite, flat, 0) * SCALE)
+    small = np.abs(values) < LARGE
+    good = (total(~finite) == 0) & ~np.asarray(ids.is_null()) & ~np.asarray(lists.is_null())
+    plain = (total(~small) == 0) & (total(np.where(small, values, 0) ** 2) < NORM)
     for size in np.unique(sizes[good]):
-        rows = np.flatnonzero(good & (sizes == size))
-        at = (ends[rows] - size)[:, None] + np.arange(size)
-        yield ids.take(pa.array(rows)).to_numpy(), values[at].astype(np.int64)
+        for kind in (True, False):
+            rows = np.flatnonzero(good & (sizes == size) & (plain == kind))
+            if len(rows):
+                at = (ends[rows] - size)[:, None] + np.arange(size)
+                exact = values[at].astype(np.int64) if kind else np.array([[scaled(x) for x in row] for row in flat[at].tolist()], object)
+                yield ids.take(pa.array(rows)).to_numpy(), exact
 
 
 class Cells:
@@ -46,34 +61,53 @@ class Cells:
 
     def __init__(self, ids: np.ndarray, exact: np.ndarray):
         self.ids, self.exact = ids, exact
-        self.low = exact.min(0).astype(float)
-        self.width = (exact.max(0) - self.low + 1) / 256
-        self.codes = np.minimum((exact - self.low) // self.width, 255).astype(np.uint8)
-
-    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query its place, and the ids and scores of its k best (ties to smaller ids) but itself."""
-        scaled = queries * self.width
-        middle = self.codes.astype(float) @ scaled.T + (queries @ (self.low + self.width / 2))
-        # half a cell either way, and the rounding of the sums above
-        slack = np.abs(scaled).sum(1) / 2 + 1e-9 * (np.abs(queries) @ (np.abs(self.low) + 256 * self.width)) + 1e-6
-        for q in range(len(queries)):
-            mid, other = middle[:, q], self.ids != query_ids[q]
-            rows = np.flatnonzero(other)
+        self.bounded = exact.dtype != object or not (np.abs(exact) >= int(HUGE)).any()
+        if self.bounded:
+            self.low = exact.min(0).astype(float)
+            self.width = (exact.max(0) - exact.min(0) + 1).astype(float) / 256
+            self.codes = np.clip((exact.astype(float) - self.low) // self.width, 0, 255).astype(np.uint8)
+
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The middle of each vector's scores for each query, and how far a score may be from it."""
+        if not self.bounded or queries.dtype == object and (np.abs(queries) >= int(HUGE)).any():
+            return np.full((len(self.ids), len(queries)), np.inf), np.zeros(len(queries))
+        asked = queries.astype(float)
+        wide = asked * self.width
+        middle = self.codes.astype(float) @ wide.T + (asked @ (self.low + self.width / 2))
+        # half a cell either way, and the rounding of values, cells and the sums above
+        return middle, np.abs(wide).sum(1) / 2 + 1e-9 * (np.abs(asked) @ (np.abs(self.low) + 256 * self.width)) + 1e-6
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Brings `found`, the ids and scores of each query's k best so far (ties to smaller ids), up to date; none is the query itself."""
+        middle, slack = self.bounds(queries)
+        kind = np.int64 if self.exact.dtype != object and queries.dtype != object else object
+        for q, (ids, scores) in enumerate(found):
+            mid, query = middle[:, q], queries[q].astype(kind)
+            rows = np.flatnonzero(self.ids != query_ids[q])
             if len(rows) > k:
                 # the k-th best lower bound is at most the k-th best score
                 floor = np.partition(mid[rows], len(rows) - k)[len(rows) - k] - slack[q]
                 rows = rows[mid[rows] + slack[q] >= floor]
             rows = rows[np.argsort(-mid[rows], kind="stable")]
-            ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
             for a in range(0, len(rows), READ):
-                if len(scores) == k and mid[rows[a]] + slack[q] < scores[-1]:
+                # Python compares a float with an integer exactly
+                if len(scores) == k and float(mid[rows[a]] + slack[q]) < scores[-1]:
                     break
                 some = rows[a : a + READ]
                 ids = np.concatenate([ids, self.ids[some]])
-                scores = np.concatenate([scores, self.exact[some] @ queries[q]])
-                order = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[order], scores[order]
-            yield q, ids, scores
+                scores = np.concatenate([scores, self.exact[some].astype(kind) @ query])
+                order = np.lexsort((ids, -scores)) if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j])))  # noqa: B023
+                ids, scores = ids[order[:k]], scores[order[:k]]
+            found[q] = ids, scores
+
+
+def beyond(score: int) -> str:
+    """A text that puts scores which a long can't tell apart in order; empty for others."""
+    if -MOST <= score < MOST:
+        return ""
+    digits = str(abs(score))
+    text = f"{len(digits):04d}{digits}"
+    return text if score > 0 else text.translate(str.maketrans("0123456789", "9876543210"))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
@@ -81,8 +115,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     query_id, rank (from 1), vec_id, score.  Scores are inner products of floor(1024 * x), x as double; ties go to
     the smaller vec_id; a query with fewer than k others gets all.  Null vectors, null ids, and vectors with a null
-    or non-finite component, or too long for a long's score, take no part; vectors meet those of their dimension
-    only.  Rows with the query's own vec_id are not its results; repeated rows otherwise count each.
+    or non-finite component take no part; vectors meet those of their dimension only.  A score beyond a long is given
+    as the nearest long, and ranked by its true value.  Rows with the query's own vec_id are not its results; repeated
+    rows otherwise count each.  Without queries, as in an empty table, there are no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -91,43 +126,54 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     found = None
     for turn in range(passes):
         part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == turn).toArrow()  # some PASS rows
-        queries: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        queries: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in part.combine_chunks().to_batches():
             for ids, exact in integers(batch):
-                queries.setdefault(exact.shape[1], []).append((ids, exact))
-        sent = spark.sparkContext.broadcast({d: (np.concatenate([i for i, _ in q]), np.concatenate([x for _, x in q])) for d, q in queries.items()})
-        got = rows.mapInArrow(_scanner(sent, k), "query_no long, query_id long, vec_id long, score long").withColumn("turn", F.lit(turn))
+                queries.setdefault((exact.shape[1], exact.dtype == object), []).append((ids, exact))
+        sent = spark.sparkContext.broadcast([(d, np.concatenate([i for i, _ in q]), np.concatenate([x for _, x in q])) for (d, _), q in sorted(queries.items())])
+        got = stored(rows.mapInArrow(_scanner(sent, k), "query_no long, query_id long, vec_id long, score long, beyond string").withColumn("turn", F.lit(turn)), "neighbours")
+        sent.destroy()
         found = got if found is None else found.union(got)
-    found = stored(found, "neighbours")
-    order = Window.partitionBy("turn", "query_no").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("turn", "query_no").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _scanner(sent, k: int):
+def _scanner(sent: Broadcast, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, first, at = sent.value, {}, 0
-        for d, (ids, _) in sorted(queries.items()):
-            first[d], at = at, at + len(ids)
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def searched(d: int) -> Iterator[pa.RecordBatch]:
-            ids, exact = (np.concatenate(x) for x in zip(*held.pop(d), strict=True))
-            query_ids, asked = queries[d]
+        groups = sent.value
+        none = np.zeros(0, np.int64)
+        best = [[(none, none)] * len(ids) for _, ids, _ in groups]
+        held: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def searched(key: tuple[int, bool]) -> None:
+            ids, exact = (np.concatenate(x) for x in zip(*held.pop(key), strict=True))
             for a in range(0, len(ids), BLOCK):
                 cells = Cells(ids[a : a + BLOCK], exact[a : a + BLOCK])
-                for b in range(0, len(asked), SCAN):
-                    out = [(np.full(len(i), first[d] + b + q), np.full(len(i), query_ids[b + q]), i, s) for q, i, s in cells.best(query_ids[b : b + SCAN], asked[b : b + SCAN], k)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_no", "query_id", "vec_id", "score"])
+                for (d, query_ids, queries), found in zip(groups, best, strict=True):
+                    for b in range(0, len(queries) if d == key[0] else 0, SCAN):
+                        part = found[b : b + SCAN]
+                        cells.best(query_ids[b : b + SCAN], queries[b : b + SCAN], k, part)
+                        found[b : b + SCAN] = part
 
+        wanted = {d for d, *_ in groups}
         for batch in batches:
             for ids, exact in integers(batch):
-                d = exact.shape[1]
-                if d in queries:
-                    held.setdefault(d, []).append((ids, exact))
-                    if sum(len(i) for i, _ in held[d]) >= BLOCK:
-                        yield from searched(d)
-        for d in list(held):
-            yield from searched(d)
+                key = exact.shape[1], exact.dtype == object
+                if key[0] in wanted:
+                    held.setdefault(key, []).append((ids, exact))
+                    if sum(len(i) for i, _ in held[key]) >= BLOCK:
+                        searched(key)
+        for key in list(held):
+            searched(key)
+        at = 0
+        for (_, query_ids, _), found in zip(groups, best, strict=True):
+            for b in range(0, len(found), SCAN):
+                part = found[b : b + SCAN]
+                count = [len(ids) for ids, _ in part]
+                scores = [int(s) for _, x in part for s in x]
+                columns = np.repeat(np.arange(at + b, at + b + len(part)), count), np.repeat(query_ids[b : b + SCAN], count), np.concatenate([ids for ids, _ in part])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([min(max(s, -MOST - 1), MOST) for s in scores], pa.int64()), pa.array(map(beyond, scores), pa.string())], ["query_no", "query_id", "vec_id", "score", "beyond"])
+            at += len(found)
 
     return run
