@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import spread
 
-#: Rows that are looked at to place the borders, a range.
+#: Rows that are looked at to place the borders, a range, on average.
 LOOKED_AT = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,14 +76,17 @@ def judged(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> Data
     rules has host, path and verdict (allow or block).  A rule fits its host and all subdomains if the url's path
     starts with the rule's; the longest (host and path as one string) wins, of equally long ones that with the longer
     host; of one rule with both verdicts, block.  `rule` is that string, null if none fits; the verdict is then
-    `otherwise`, as for null urls and urls without a host.
+    `otherwise`, as for null urls and urls without a host.  Urls may have any length.  Repeated rows are judged each; an
+    empty table gives no rows.
     """
     spark, ranges = pages.sparkSession, spread(pages.sparkSession)
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", key_of(F.col("host")))
-    # a sample of fixed size: the rows with the smallest hashes
-    looked = rows.orderBy(F.xxhash64("page_id", "path")).limit(LOOKED_AT * ranges).select("key", "path", F.coalesce("page_id", F.lit(-1)).alias("id")).collect()
-    looked = sorted(map(tuple, looked))
+    # a null id gets a number, so that equal rows without one can be parted
+    number = F.coalesce(F.col("page_id").cast("long"), -1 - F.monotonically_increasing_id())
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), number.alias("id")).withColumn("key", key_of(F.col("host")))
+    # about as many rows in all, however many tasks send some; they place borders and decide nothing else
+    share = min(1.0, LOOKED_AT * ranges / max(pages.count(), 1))
+    looked = sorted(map(tuple, rows.sample(share, 0).select("key", "path", "id").collect()))
     borders = sorted({looked[len(looked) * k // ranges] for k in range(1, ranges)}) if looked else []
     keys = [b[0] for b in borders]
     names = ["range", "key", "is_row", "path", "host", "verdict", "page_id"]
@@ -92,8 +95,7 @@ def judged(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> Data
     def deal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(batch)
-            ids = [-1 if i is None else i for i in batch.column("page_id").to_pylist()]
-            own = [bisect_right(borders, row) for row in zip(batch.column("key").to_pylist(), batch.column("path").to_pylist(), ids, strict=True)]
+            own = [bisect_right(borders, row) for row in zip(*(batch.column(c).to_pylist() for c in ("key", "path", "id")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column("key"), pa.array([True] * n), batch.column("path"), batch.column("host"), pa.nulls(n, pa.string()), batch.column("page_id")], names)
 
     def deal_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
