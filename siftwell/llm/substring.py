@@ -28,8 +28,9 @@ RUN = 256
 #: Bits of the sieve of minimisers that several documents have.  It is a filter of fixed size: a minimiser that
 #: shares a bit with another one is sent for nothing, never lost.
 SIEVE_BITS = 26
-#: Buckets with more strings than this, or than a share of HOT_SHARE of all strings, are split: at most 1 / HOT_SHARE.
-HOT, HOT_SHARE = 1000, 1e-6
+#: Buckets are split so that a part has about this many documents.  How many parts is kept for 2 ** SLOT_BITS slots of
+#: minimisers, as the largest bucket of a slot needs; another bucket of that slot is split for nothing, and no worse for it.
+HOT, SLOT_BITS = 500, 20
 
 
 class Runs:
@@ -149,7 +150,7 @@ def _bucket_rows(docs: DataFrame, sieve, hot) -> DataFrame:
     """(doc_id, text) to (minimiser, part, doc_id, text_key, first, packed) for minimisers that the sieve lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, (keys, parts) = sieve.value, hot.value
+        bits, parts = sieve.value, hot.value
         for batch in batches:
             for part in slices(batch, 1):
                 runs = Runs(part.column(1))
@@ -159,11 +160,8 @@ def _bucket_rows(docs: DataFrame, sieve, hot) -> DataFrame:
                     continue
                 m = runs.minimiser[some]
                 doc_id, text_key = part.column(0).to_numpy()[runs.doc[some]], runs.text_keys()[runs.doc[some]]
-                split = np.full(len(m), -1, np.int32)
-                if len(keys):
-                    k = np.minimum(np.searchsorted(keys, m), len(keys) - 1)
-                    deal = (mixed(doc_id.view(np.uint64)) % parts[k].astype(np.uint64)).astype(np.int32)
-                    split = np.where(keys[k] == m, deal, -1).astype(np.int32)
+                own = parts[m & ((1 << SLOT_BITS) - 1)]
+                split = np.where(own > 1, (mixed(doc_id.view(np.uint64)) % own).astype(np.int64), -1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(split), pa.array(doc_id), pa.array(text_key), pa.array(runs.first[some]), pa.array(runs.packed(some), pa.binary())], ["minimiser", "part", "doc_id", "text_key", "first", "packed"])
 
     return docs.mapInArrow(run, "minimiser long, part int, doc_id long, text_key long, first long, packed binary")
@@ -225,10 +223,10 @@ def flags(docs: DataFrame) -> DataFrame:
     bits = several.groupBy(F.shiftright(word, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(minimiser & 63 as int))")).alias("bits")).toArrow()  # at most 2 ** (SIEVE_BITS - 6) rows
     sieve = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
     sieve[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
-    total = several.agg(F.sum("n")).first()[0] or 0
-    most = max(HOT, int(total * HOT_SHARE))
-    heavy = several.filter(F.col("n") > most).orderBy("minimiser").toArrow()  # at most 1 / HOT_SHARE rows
-    hot = heavy.column("minimiser").to_numpy(), -(-heavy.column("n").to_numpy() // most)
+    slot = F.col("minimiser").bitwiseAND((1 << SLOT_BITS) - 1)
+    heavy = several.filter(F.col("n") > HOT).groupBy(slot.alias("slot")).agg(F.ceil(F.max("n") / HOT).alias("parts")).toArrow()  # at most 2 ** SLOT_BITS rows
+    hot = np.ones(1 << SLOT_BITS, np.uint64)
+    hot[heavy.column("slot").to_numpy()] = heavy.column("parts").to_numpy()
     context = spark.sparkContext
     packed = _bucket_rows(rows, context.broadcast(sieve), context.broadcast(hot))
     dealt = packed.repartition(spread(spark), "minimiser", "part").sortWithinPartitions("minimiser", "part")
@@ -272,7 +270,8 @@ def report(docs: DataFrame) -> DataFrame:
     Words covered by a window of WINDOW words that also starts in a document with a smaller doc_id are removed;
     kept_sha256 is of the others, joined by one space.  Null and empty texts have no words.  Rows with one doc_id are
     judged each by its own text, and none of them has the smaller id.  Rows with a null doc_id stay as they are and
-    repeat nothing.
+    repeat nothing.  An empty table gives no rows.  A long text is held by one task as a whole; its windows are dealt
+    out like all others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +285,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """docs with the repeated words gone from `text`; texts that lose none stay as they are, n_chars follows if there."""
+    """docs with the repeated words gone from `text`; texts that lose none stay as they are, n_chars follows if there.
+
+    Rows, nulls, repeated ids and empty tables fare as in `report`: every row stays, a text may become empty.
+    """
     names = docs.columns
     column = names.index("text")
 
