@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate, chain, groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Where the recursive splitter cuts, in order of preference; overlaps within blocks.
 SEPARATORS = ("\n\n", "\n", " ", "")
 BLOCK_OVERLAP = 80
-PIECES = "piece int, section string, text string"
 
 
 def _cut(text: str, separator: str) -> list[str]:
@@ -73,38 +73,43 @@ def sections(text: str) -> list[tuple[tuple[str | None, str | None, str | None],
     return [(p, body) for p, lines in out if (body := "\n".join(lines).strip())]
 
 
+def filled(blocks: list[str], size: int) -> list[str]:
+    """Neighbouring blocks joined by a blank line as long as they fit into `size`; a longer block stands alone."""
+    lengths = [len(b) for b in blocks]
+    places = accumulate(lengths[1:], lambda at, n: (at[0], at[1] + 2 + n) if at[1] + 2 + n <= size else (at[0] + 1, n), initial=(0, *lengths[:1]))
+    runs = groupby(zip(places, blocks, strict=False), key=lambda x: x[0][0])
+    return ["\n\n".join(block for _, block in run) for _, run in runs]
+
+
 def keep_tables(text: str, size: int) -> list[str]:
     """Blocks (between blank lines) packed up to `size`; longer ones are split unless they are tables, which stay whole."""
     if len(text) <= size:
         return [text]
-    out, held = [], ""
-    for block in re.split(r"\n\s*\n", text):
-        if len(block) > size and not block.lstrip().startswith("|"):
-            out += [held] if held else []
-            out += recursive(block, size, BLOCK_OVERLAP)
-            held = ""
-        elif held and len(held) + len(block) + 2 > size:
-            out.append(held)
-            held = block
-        else:
-            held = f"{held}\n\n{block}" if held else block
-    return out + ([held] if held else [])
-
-
-def _per_document(docs: DataFrame, split: Callable[[str, str], list[tuple[str, str]]], strategy: str) -> DataFrame:
-    """Runs split(title, text) -> [(section, text)] and gives chunks with the documents' other columns."""
-    rest = [c for c in docs.columns if c != "text"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            titles = batch["title"] if "title" in batch else [""] * len(batch)
-            found = [split(title or "", text or "") for title, text in zip(titles, batch["text"], strict=True)]
-            rows = batch[rest].loc[batch.index.repeat([len(f) for f in found])].reset_index(drop=True)
-            flat = [(k, s, t) for f in found for k, (s, t) in enumerate(f)]
-            yield rows.assign(chunk_index=pd.Series([k for k, _, _ in flat], dtype="int32"), section=[s for _, s, _ in flat], text=[t for _, _, t in flat])
-
-    schema = docs.select(*rest, F.lit(0).alias("chunk_index"), F.lit("").alias("section"), F.lit("").alias("text")).schema
-    out = docs.mapInPandas(run, schema)
+    blocks = [b for b in re.split(r"\n\s*\n", text) if b]
+    packable = [len(b) <= size or b.lstrip()[:1] == "|" for b in blocks]
+    out: list[str] = []
+    for fits, run in groupby(zip(packable, blocks, strict=True), key=lambda x: x[0]):
+        own = [block for _, block in run]
+        out += filled(own, size) if fits else chain.from_iterable(recursive(block, size, BLOCK_OVERLAP) for block in own)
+    return out
+
+
+def _cut_up(rows: DataFrame, cut: Callable[[str, str], list[tuple[str, str]]], title: Column, text: Column, index: str) -> DataFrame:
+    """rows without text, for each piece that cut(title, text) gives, with its number, section and text."""
+
+    @F.pandas_udf("array<struct<section string, text string>>")
+    def pieces(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for titles, texts in batches:
+            yield pd.Series([[{"section": s, "text": t} for s, t in cut(*row)] for row in zip(titles.fillna(""), texts.fillna(""), strict=True)])
+
+    rest = [c for c in rows.columns if c not in ("text", "section")]
+    found = rows.select(*rest, pieces(F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))).alias("_pieces"))
+    return found.select(*rest, F.posexplode("_pieces").alias(index, "_piece")).select(*rest, index, "_piece.section", "_piece.text")
+
+
+def _per_document(docs: DataFrame, cut: Callable[[str, str], list[tuple[str, str]]], strategy: str) -> DataFrame:
+    """Chunks by cut(title, text) -> [(section, text)], with the documents' other columns, numbered through a document."""
+    out = _cut_up(docs, cut, F.col("title") if "title" in docs.columns else F.lit(""), F.col("text"), "chunk_index")
     return out.withColumns({"strategy": F.lit(strategy), "chunk_id": F.format_string(f"%s::{strategy}::%03d", F.col("doc_id").cast("string"), F.col("chunk_index"))})
 
 
@@ -123,34 +128,30 @@ def stride(docs: DataFrame, size: int, step: int) -> DataFrame:
 def by_headings(docs: DataFrame, size: int = 1500, breadcrumb: bool = True) -> DataFrame:
     """Sections under Markdown headings, their path in front; long ones are split at blank lines, tables kept whole."""
 
-    def split(title: str, text: str) -> list[tuple[str, str]]:
-        out = []
-        for headings, body in sections(text):
-            path = [h for h in headings if h]
-            section = " > ".join(path if headings[0] else [title, *path])
-            out += [(section, f"[{section}]\n{piece}" if breadcrumb else piece) for piece in keep_tables(body, size) if piece.strip()]
-        return out
+    def cut(title: str, text: str) -> list[tuple[str, str]]:
+        trails = ((filter(None, headings if headings[0] else (title, *headings)), body) for headings, body in sections(text))
+        named = [(" > ".join(trail), keep_tables(body, size)) for trail, body in trails]
+        return [(name, piece) for name, pieces in named for piece in pieces if not piece.isspace()]
+
+    chunks = _per_document(docs, cut, "headings")
+    return chunks.withColumn("text", _under(F.col("text"))) if breadcrumb else chunks
 
-    return _per_document(docs, split, "headings")
+
+def _under(text: Column) -> Column:
+    return F.concat(F.lit("["), "section", F.lit("]\n"), text)
 
 
 def parent_child(docs: DataFrame, parent_size: int = 1500, child_size: int = 350, overlap: int = 40) -> tuple[DataFrame, DataFrame]:
-    """(children, parents): small chunks to search, and the sections that they are from."""
+    """(children, parents): small chunks to search, and the sections that they are from.
+
+    Children are cut from what follows a parent's path, and have that path in front themselves.
+    """
     parents = by_headings(docs, parent_size)
-    keep = [c for c in parents.columns if c not in ("text", "chunk_id", "strategy")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for text in batch["text"]:
-                found.append(recursive(text.split("\n", 1)[1] if text.startswith("[") else text, child_size, overlap))
-            rows = batch[[*keep, "chunk_id"]].loc[batch.index.repeat([len(f) for f in found])].reset_index(drop=True).rename(columns={"chunk_id": "parent_id"})
-            flat = [(k, p) for f in found for k, p in enumerate(f)]
-            yield rows.assign(child_index=pd.Series([k for k, _ in flat], dtype="int32"), text=[f"[{s}]\n{p}" for s, (_, p) in zip(rows["section"], flat, strict=True)])
-
-    schema = parents.select(*keep, F.col("chunk_id").alias("parent_id"), F.lit(0).alias("child_index"), "text").schema
-    children = parents.mapInPandas(run, schema)
-    return children.withColumns({"strategy": F.lit("child"), "chunk_id": F.format_string("%s::c%02d", "parent_id", "child_index")}), parents
+    named = parents.drop("strategy").withColumnsRenamed({"chunk_id": "parent_id"})
+    body = F.regexp_replace("text", r"^\[[^\n]*\n", "")
+    children = _cut_up(named, lambda section, text: [(section, piece) for piece in recursive(text, child_size, overlap)], F.col("section"), body, "child_index")
+    children = children.withColumns({"text": _under(F.col("text")), "strategy": F.lit("child"), "chunk_id": F.format_string("%s::c%02d", "parent_id", "child_index")})
+    return children, parents
 
 
 def with_prefix(chunks: DataFrame, prefixes: DataFrame) -> DataFrame:
