@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.text import family
 from siftwell.functions.vectors import cosine
 from siftwell.operators.context import distinct_docs
+from siftwell.sources.scratch import stored
 
 # Labels of failures, in the order in which their rules apply.
 OK, UNASKED, NEAR_MISS, MISSING = "ok", "halluzination_statt_absage", "retrieval:semantic_near_miss", "retrieval:missing_evidence"
@@ -32,16 +33,19 @@ def retrieval_rows(golden: DataFrame, hits: DataFrame, k: int) -> DataFrame:
 
 
 def summary(rows: DataFrame, by: str | None = None) -> DataFrame:
-    """n, hit_rate, recall, mrr, p_at_1 (rounded to three digits), in total or by a column."""
+    """n, hit_rate, recall, mrr, p_at_1 (rounded to three digits), in total or by a column; avg_ms if rows have t_retrieval_ms."""
     first = F.coalesce(F.col("first_rank") == 1, F.lit(False))
     share = lambda c: F.round(F.avg(c.cast("double")), 3)
     columns = [F.count(F.lit(1)).alias("n"), share(F.col("hit")).alias("hit_rate"), share(F.col("recall")).alias("recall"), share(F.col("rr")).alias("mrr"), share(first).alias("p_at_1")]
+    if "t_retrieval_ms" in rows.columns:
+        columns.append(F.bround(F.avg("t_retrieval_ms"), 0).alias("avg_ms"))
     return rows.groupBy(by).agg(*columns) if by else rows.agg(*columns)
 
 
-def hit_by_type(rows: DataFrame, configs: list[str]) -> DataFrame:
-    """Hit rate by type, a column a configuration."""
-    return rows.groupBy("type").pivot("config", configs).agg(F.round(F.avg(F.col("hit").cast("double")), 6))
+def hit_by_type(rows: DataFrame, configs: list[str], first: bool = False) -> DataFrame:
+    """Hit rate by type, a column a configuration; with `first`, the share whose first hit is at rank 1."""
+    good = F.coalesce(F.col("first_rank") == 1, F.lit(False)) if first else F.col("hit")
+    return rows.groupBy("type").pivot("config", configs).agg(F.round(F.avg(good.cast("double")), 6))
 
 
 def e2e_summary(rows: DataFrame) -> DataFrame:
@@ -122,5 +126,48 @@ def regression_gate(reference: DataFrame, candidate: DataFrame, drop: float = 0.
 
 
 def grouped_latency(rows: DataFrame, by: str, value: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile(value, p), 6)
-    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), q(0.5).alias("median"), q(0.95).alias("p95"))
+    means = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"))
+    return means.join(quantiles(rows, value, {"median": 0.5, "p95": 0.95}, by, 6), means[by].eqNullSafe(F.col("_by"))).drop("_by")
+
+
+def box_plot(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, low, q1, median, q3, high): what a box plot of a value shows."""
+    found = quantiles(rows, value, {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}, by, 6)
+    return found.withColumnRenamed("_by", by)
+
+
+#: Rows that Spark's own percentile, which keeps all distinct values of a group in one place, is trusted with.
+IN_MEMORY = 5_000_000
+
+
+def quantiles(rows: DataFrame, value: str | Column, shares: dict[str, float], by: str | None = None, digits: int = 4) -> DataFrame:
+    """Exact interpolated quantiles, a column each, rounded; one row, or one a group with `_by`.  Nulls don't count.
+
+    Beyond IN_MEMORY rows values are counted, dealt out by ranges and numbered range by range, so that no task sees
+    more than its range and the two values next to each quantile are picked by their numbers.
+    """
+    key = F.col(by) if by else F.lit(0)
+    some = rows.select(key.alias("_by"), (F.col(value) if isinstance(value, str) else value).cast("double").alias("v")).filter("v is not null")
+    if some.limit(IN_MEMORY + 1).count() <= IN_MEMORY:
+        found = some.groupBy("_by").agg(*(F.round(F.percentile("v", p), digits).alias(n) for n, p in shares.items()))
+    else:
+        counted = some.groupBy("_by", "v").agg(F.count(F.lit(1)).alias("n"))
+        dealt = stored(counted.repartitionByRange("_by", "v").withColumn("range", F.spark_partition_id()), "counts")
+        before = Window.partitionBy("_by").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        sums = dealt.groupBy("_by", "range").agg(F.sum("n").alias("own"))  # a row a range
+        sums = sums.select("_by", "range", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"), F.sum("own").over(Window.partitionBy("_by")).alias("total"))
+        upto = Window.partitionBy("_by", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        placed = dealt.withColumn("upto", F.sum("n").over(upto)).join(sums.withColumnsRenamed({"_by": "_b", "range": "_r"}), F.col("_by").eqNullSafe(F.col("_b")) & (F.col("range") == F.col("_r")))
+        placed = placed.withColumns({"upto": F.col("base") + F.col("upto"), "from": F.col("base") + F.col("upto") - F.col("n")})
+
+        def at(p: float) -> Column:
+            place = F.lit(p) * (F.col("total") - 1)
+            pick = lambda k: F.max(F.when((F.col("from") <= k) & (k < F.col("upto")), F.col("v")))
+            low, high, part = pick(F.floor(place)), pick(F.ceil(place)), F.max(place - F.floor(place))
+            return F.round(low + (high - low) * part, digits)
+
+        found = placed.groupBy("_by").agg(*(at(p).alias(n) for n, p in shares.items()))
+    if by:
+        return found
+    # one row even where nothing counts
+    return found.agg(*(F.max(n).alias(n) for n in shares))

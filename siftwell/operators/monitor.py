@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.vectors import cosine
+from siftwell.operators.evaluate import quantiles
 from siftwell.sources.scratch import stored
 
 # USD a million tokens (input, output, embedding), tokens of an embedded query; alert limits.
@@ -31,13 +32,13 @@ def flattened(runs: DataFrame) -> DataFrame:
 
 
 def kpis(log: DataFrame) -> DataFrame:
-    q = lambda c, p: F.round(F.percentile(c, p), 4)
+    """One row of key figures of a request log."""
     avg = lambda c: F.round(F.avg(c), 4)
-    return log.agg(
-        F.count(F.lit(1)).alias("requests"), q("t_total_ms", 0.5).alias("p50_total_ms"), q("t_total_ms", 0.95).alias("p95_total_ms"),
-        q(F.col("t_retrieval_ms") + F.col("t_rerank_ms"), 0.95).alias("p95_retrieval_ms"), q("t_generation_ms", 0.95).alias("p95_generation_ms"), avg(F.col("no_answer").cast("double")).alias("no_answer_rate"),
-        avg("input_tokens").alias("avg_input_tokens"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"), F.round(F.avg("cost_usd"), 6).alias("cost_per_request"),
-    )
+    out = log.agg(F.count(F.lit(1)).alias("requests"), avg(F.col("no_answer").cast("double")).alias("no_answer_rate"), avg("input_tokens").alias("avg_input_tokens"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"), F.round(F.avg("cost_usd"), 6).alias("cost_per_request"))
+    times = (("t_total_ms", {"p50_total_ms": 0.5, "p95_total_ms": 0.95}), (F.col("t_retrieval_ms") + F.col("t_rerank_ms"), {"p95_retrieval_ms": 0.95}), ("t_generation_ms", {"p95_generation_ms": 0.95}))
+    for value, shares in times:
+        out = out.crossJoin(quantiles(log, value, shares))  # one row each
+    return out.select("requests", "p50_total_ms", "p95_total_ms", "p95_retrieval_ms", "p95_generation_ms", "no_answer_rate", "avg_input_tokens", "cost_usd", "cost_per_request")
 
 
 def alerts(log: DataFrame, order: list[str], baseline: DataFrame | None = None) -> DataFrame:
@@ -47,8 +48,8 @@ def alerts(log: DataFrame, order: list[str], baseline: DataFrame | None = None)
     """
     recent = log.orderBy(*(F.desc(c) for c in order)).limit(RECENT)
     rate = recent.agg(F.avg(F.col("no_answer").cast("double")).alias("v"))
-    p95 = log.agg(F.percentile("t_total_ms", 0.95).alias("v"))
-    low = recent.crossJoin(F.broadcast((baseline or log).agg(F.percentile("top_score", 0.10).alias("base"))))  # one row
+    p95 = quantiles(log, "t_total_ms", {"v": 0.95}, digits=9)
+    low = recent.crossJoin(F.broadcast(quantiles(baseline or log, "top_score", {"base": 0.10}, digits=9)))  # one row
     share = low.agg(F.avg(F.coalesce(F.col("top_score") < F.col("base"), F.lit(False)).cast("double")).alias("v"))
     limits = (("no_answer_rate", rate, NO_ANSWER_RATE), ("p95_latency", p95, P95_MS), ("low_top_score", share, LOW_SHARE))
     found = None
@@ -69,8 +70,10 @@ def daily_cost(avg_in: Column, avg_out: Column, requests: int = 10_000, cache_hi
 
 def reranker_capacity(log: DataFrame, requests: int = 10_000, hours: int = 8, peak: float = 3.0) -> DataFrame:
     """CPU seconds a day, and workers at the peak (a multiple of the mean rate over a day's hours), from rerank times."""
-    busy = F.percentile("t_rerank_ms", 0.95) / 1000 * (requests / (hours * 3600) * peak)
-    return log.agg(F.round(F.avg("t_rerank_ms") / 1000 * requests, 4).alias("cpu_s_per_day"), F.greatest(F.lit(1), F.bround(busy)).cast("long").alias("workers"))
+    busy = F.col("p95") / 1000 * (requests / (hours * 3600) * peak)
+    mean = log.agg(F.round(F.avg("t_rerank_ms") / 1000 * requests, 4).alias("cpu_s_per_day"))
+    rows = mean.crossJoin(quantiles(log, "t_rerank_ms", {"p95": 0.95}, digits=9))  # one row each
+    return rows.select("cpu_s_per_day", F.greatest(F.lit(1), F.bround(busy)).cast("long").alias("workers"))
 
 
 def histogram(log: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -142,6 +145,24 @@ def cache_history(requests: DataFrame, threshold: float = 0.92, ttl: float = 360
     return out.select("request_id", F.when(hit, F.col("b.entry_id")).alias("entry_id"), F.coalesce("b.similarity", F.lit(0.0)).alias("similarity"), hit.alias("hit"))
 
 
+def cached_run(replayed: DataFrame, runs: DataFrame) -> DataFrame:
+    """(request_id, cache, cache_similarity, answer, cost_usd, saved_ms) of requests behind a semantic cache.
+
+    replayed says which requests hit which entry (request_id, cache, similarity, entry_id), runs what a run gives
+    (request_id, answer, t_total_ms, cost_usd).  A hit has its entry's answer, costs nothing, and saves that run's time.
+    """
+    own = F.coalesce("entry_id", "request_id")
+    rows = replayed.select("request_id", "cache", F.round("similarity", 3).alias("cache_similarity"), own.alias("ran"))
+    rows = rows.join(runs.select(F.col("request_id").alias("ran"), "answer", "t_total_ms", "cost_usd"), "ran", "left")
+    hit = F.col("cache") == "hit"
+    return rows.select("request_id", "cache", "cache_similarity", "answer", F.when(hit, 0.0).otherwise(F.col("cost_usd")).alias("cost_usd"), F.when(hit, F.col("t_total_ms")).otherwise(0.0).alias("saved_ms"))
+
+
+def cache_stats(rows: DataFrame) -> DataFrame:
+    """One row of cached_run's totals: hits, misses, saved_ms."""
+    return rows.agg(F.count_if(F.col("cache") == "hit").alias("hits"), F.count_if(F.col("cache") == "miss").alias("misses"), F.round(F.coalesce(F.sum("saved_ms"), F.lit(0.0)), 4).alias("saved_ms"))
+
+
 def switch(spark: SparkSession, alias: str, path: str) -> None:
     """Points the view `alias` at the index at `path`: readers see the old one or the new one."""
     spark.read.parquet(path).createOrReplaceTempView(alias)
