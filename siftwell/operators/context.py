@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import citations, is_refusal
 from siftwell.operators.filters import top
+from siftwell.sources.scratch import stored
 
 SEPARATOR = "\n\n---\n\n"
 #: Fixed value: the answer where there is no context.
@@ -45,12 +46,29 @@ def pack(hits: DataFrame, max_chars: int = 6000) -> DataFrame:
 
     hits has rank, doc_id, title, version and text.  The separator between blocks doesn't count.
     """
-    block = F.concat(F.lit("["), F.col("rank"), F.lit("] Quelle: "), F.coalesce("title", F.col("doc_id").cast("string")), F.lit(" ("), F.col("doc_id"), F.lit(", Version "), F.coalesce("version", F.lit("")), F.lit(")\n"), "text")
+    block = _block()
     upto = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = hits.withColumn("block", block).withColumn("_sum", F.sum(F.length("block")).over(upto))
     return rows.filter((F.col("rank") == 1) | (F.col("_sum") <= max_chars)).select("qid", "rank", "chunk_id", "doc_id", "block")
 
 
+def _block() -> Column:
+    return F.concat(F.lit("["), F.col("rank"), F.lit("] Quelle: "), F.coalesce("title", F.col("doc_id").cast("string")), F.lit(" ("), F.col("doc_id"), F.lit(", Version "), F.coalesce("version", F.lit("")), F.lit(")\n"), "text")
+
+
+def whole_corpus(docs: DataFrame) -> DataFrame:
+    """(rank, doc_id, block) of all documents (doc_id, title, version, text) in order of doc_id, for a model that takes them all.
+
+    doc_ids are distinct.  Ranks are counted by range: ranges of ids are numbered apart, after the sizes of those before.
+    """
+    ids = stored(docs.select("doc_id").repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()), "ids")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ids.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row a range
+    placed = ids.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy("doc_id"))).join(sizes, "range")
+    rows = docs.join(placed.select("doc_id", (F.col("base") + F.col("at")).cast("long").alias("rank")), "doc_id")
+    return rows.select("rank", "doc_id", _block().alias("block"))
+
+
 def joined(packed: DataFrame) -> DataFrame:
     """(qid, context, n_sources, context_chars)."""
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda b: b["block"])

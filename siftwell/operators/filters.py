@@ -1,4 +1,4 @@
-"""Predicates over chunk metadata.  None means no filter; an empty list means that nothing (but public access) passes."""
+"""Predicates over chunk metadata.  None means no filter; so does an empty list of doc_ids, while no roles leave public access."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ class Filter:
             parts.append(F.col("status") == self.status)
         if self.department:
             parts.append(F.col("department") == self.department)
-        if self.doc_ids is not None:
+        if self.doc_ids:
             parts.append(F.col("doc_id").isin(list(self.doc_ids)))
         return all_of(parts)
 

@@ -46,11 +46,15 @@ class PipelineConfig:
 
 @dataclass
 class Index:
-    """chunks (chunk_id, doc_id, text, title, version, access, status, department; parent_id for children), and vectors (chunk_id, vector)."""
+    """chunks (chunk_id, doc_id, text, title, version, access, status, department; parent_id for children), and vectors (chunk_id, vector).
+
+    With `postings`, a stored lexical index of the chunks, no search tokenises them again.
+    """
 
     chunks: DataFrame
     vectors: DataFrame | None = None
     parents: DataFrame | None = None
+    postings: lexical.LexicalIndex | None = None
     chat: transform.Chat = field(default=transform.offline)
     scorer: rerank.Scorer | None = None
 
@@ -59,6 +63,12 @@ class Index:
         """With vectors by the hashing embedder."""
         return cls(chunks, hash_embed(chunks, "chunk_id", "text"), **more)
 
+    @classmethod
+    def built(cls, chunks: DataFrame, path: str, **more) -> Index:
+        """The same with vectors and postings written below `path`, a folder of the index's own, for many searches."""
+        vectors = stored(hash_embed(chunks, "chunk_id", "text"), "vectors", f"{path}/vectors")
+        return cls(chunks, vectors, postings=lexical.LexicalIndex.build(chunks, f"{path}/postings"), **more)
+
     def count(self) -> int:
         return self.chunks.count()
 
@@ -69,7 +79,7 @@ def search(config: PipelineConfig, index: Index, queries: DataFrame, n: int, rol
     depth = config.prefetch_k if config.retrieval == "hybrid" else n
     found = []
     if config.retrieval != "dense":
-        found.append(lexical.search(queries, index.chunks, depth, where))
+        found.append(index.postings.search(queries, depth, where(index.chunks)) if index.postings else lexical.search(queries, index.chunks, depth, where))
     if config.retrieval != "sparse":
         asked = hash_embed(queries, "qid", "query")
         allowed = where(index.chunks).select("chunk_id")
@@ -136,18 +146,23 @@ def run(config: PipelineConfig, index: Index, queries: DataFrame, roles: tuple[s
     return answers.join(context.cited(answers, sources), "qid"), sources
 
 
-def evaluate_retrieval(config: PipelineConfig, index: Index, golden: DataFrame, roles: tuple[str, ...] | None = None) -> DataFrame:
-    """Retrieval rows of golden items (id, question, source_docs) that have sources, marked with the configuration."""
+def evaluate_retrieval(config: PipelineConfig, index: Index, golden: DataFrame, roles: tuple[str, ...] | None = None, include_acl: bool = False) -> DataFrame:
+    """Retrieval rows of golden items (id, type, question, source_docs) that have sources, marked with the configuration.
+
+    Items of type acl have sources that the asking role must not see, so they are left out unless asked for.
+    """
     asked = golden.filter(F.size("source_docs") > 0)
+    if not include_acl:
+        asked = asked.filter(~F.col("type").eqNullSafe("acl"))
     hits = retrieve(config, index, asked.select(F.col("id").alias("qid"), F.col("question").alias("query")), roles)
     return evaluate.retrieval_rows(asked, hits, config.k).withColumn("config", F.lit(config.label))
 
 
-def compare(configs: list[PipelineConfig], index: Index, golden: DataFrame, roles: tuple[str, ...] | None = None) -> DataFrame:
+def compare(configs: list[PipelineConfig], index: Index, golden: DataFrame, roles: tuple[str, ...] | None = None, include_acl: bool = False) -> DataFrame:
     """One row of summary a configuration."""
     rows = None
     for config in configs:
-        own = evaluate_retrieval(config, index, golden, roles)
+        own = evaluate_retrieval(config, index, golden, roles, include_acl)
         rows = own if rows is None else rows.unionByName(own)
     return evaluate.summary(rows, "config")
 

@@ -97,20 +97,40 @@ def read_pdf(spark: SparkSession, *folders: str, parser: Callable[[bytes], str]
     return _documents(rows.select("yaml", parse("content").alias("text"), "source_path", F.lit(name).alias("parser")))
 
 
+def from_originals(spark: SparkSession, originals: str, *folders: str) -> DataFrame:
+    """The PDF files of folders as documents with the text of `<stem>.md` in `originals`; files without one are left out."""
+    pdf = read_pdf(spark, *folders, parser=lambda _: "", name="layout").drop("text")
+    texts = spark.read.text(originals, wholetext=True, pathGlobFilter="*.md").select(F.col("value"), _stem(F.col("_metadata.file_path")).alias("_stem"))
+    body = F.trim(split_front_matter(F.col("value"))[1], F.lit(" \n\t\r"))
+    rows = pdf.withColumn("_stem", _stem(F.col("source_path"))).join(texts.select("_stem", body.alias("text")), "_stem")
+    return rows.drop("_stem")
+
+
 def checked_format(path: Column) -> Column:
     """The file's suffix; any but .md and .pdf raises an error."""
     suffix = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
     return F.when(suffix.isin(".md", ".pdf"), suffix).otherwise(F.raise_error(F.concat(F.lit("unsupported format: "), path)).cast("string"))
 
 
-def read_corpus(spark: SparkSession, *folders: str, include: Iterable[str] | None = None, with_pdf: bool = False) -> DataFrame:
-    """Documents of all folders; of `include` only, if given."""
+def read_corpus(spark: SparkSession, *folders: str, include: Iterable[str] | None = None, with_pdf: bool = False, originals: str | None = None) -> DataFrame:
+    """Documents of all folders; of `include` only, if given.  Files of other formats are passed over.
+
+    With `originals`, a PDF's text is that of its Markdown original, of the same name, in that folder: a way to read
+    layouts without a parser.
+    """
     docs = read_markdown(spark, *folders)
     if with_pdf:
-        docs = docs.unionByName(read_pdf(spark, *folders))
+        docs = docs.unionByName(from_originals(spark, originals, *folders) if originals else read_pdf(spark, *folders))
     return docs if include is None else docs.filter(F.col("doc_id").isin(list(include)))
 
 
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """The document of one file, by its suffix; any but .md and .pdf is an error."""
+    suffix = spark.range(1).select(checked_format(F.lit(path)).alias("s")).first()["s"]
+    docs = (read_markdown if suffix == ".md" else read_pdf)(spark, path.rsplit("/", 1)[0])
+    return docs.filter(F.element_at(F.split("source_path", "/"), -1) == path.rsplit("/", 1)[-1])
+
+
 def overview(docs: DataFrame) -> DataFrame:
     """doc_id, department, access (joined), status, length in characters; and the suffix of the source if known."""
     columns = ["doc_id", "department", F.concat_ws(",", "access").alias("access"), "status", F.length("text").cast("long").alias("n_chars")]
