@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftwell.sources.scratch import stored
 
-#: Dimension of the hashing embedder, bits of the MD5 that give bucket and sign.
+#: Fixed value: dimension of the hashing embedder; the last byte of the MD5 gives the bucket, the lowest bit of its 11th the sign.
 HASH_DIM = 256
 
 
@@ -26,21 +27,30 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; a vector of zeros counts as one of length 1."""
-    length = norm(a) * norm(b)
-    return dot(a, b) / F.when(norm(a) == 0, F.when(norm(b) == 0, 1.0).otherwise(norm(b))).when(norm(b) == 0, norm(a)).otherwise(length)
+    length = lambda x: F.coalesce(F.nullif(norm(x), F.lit(0.0)), F.lit(1.0))
+    return dot(a, b) / (length(a) * length(b))
 
 
 def hash_embed(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, vector): each word adds 1 or -1 to one of HASH_DIM buckets, by its MD5; vectors have length 1 (or are zero)."""
-    # explode would have the planner add a filter that finds all words once more
-    words = rows.select(key, F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))).alias("word")).filter("word is not null")
-    bucket = F.conv(F.substring(F.md5("word"), 31, 2), 16, 10).cast("int")
-    sign = F.when(F.conv(F.substring(F.md5("word"), 22, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
-    sums = words.groupBy(key, bucket.alias("bucket")).agg(F.sum(sign).alias("v"))
-    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
-    full = F.transform(F.sequence(F.lit(0), F.lit(HASH_DIM - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0.0)) / F.when(F.col("n") == 0, 1.0).otherwise(F.col("n")))
-    zero = F.array_repeat(F.lit(0.0), HASH_DIM)
-    return rows.select(key).join(maps.select(key, full.alias("vector")), key, "left").select(key, F.coalesce("vector", zero).alias("vector"))
+    """(key, vector): each word adds 1 or -1 to one of HASH_DIM buckets, by its MD5; vectors have length 1 (or are zero).
+
+    Words are found by Spark; a batch's distinct words are hashed once each and summed in numpy, so rows stay where
+    they are: by grouping words, it would take two shuffles of them.
+    """
+
+    @F.pandas_udf("array<double>")
+    def summed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            rows, out = np.repeat(np.arange(len(batch)), batch.map(len)), np.zeros((len(batch), HASH_DIM))
+            if len(rows):
+                which, words = pd.factorize(np.concatenate(batch.to_numpy()))
+                sums = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest() for w in words), np.uint8).reshape(-1, 16)
+                np.add.at(out, (rows, sums[which, 15]), np.where(sums[which, 10] & 1, 1.0, -1.0))
+            length = np.linalg.norm(out, axis=1)[:, None]
+            yield pd.Series(list(out / np.where(length == 0, 1, length)))
+
+    words = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)), F.array().cast("array<string>"))
+    return rows.select(key, summed(words).alias("vector"))
 
 
 def embed(rows: DataFrame, key: str, text: str, provider: Callable[[list[str]], np.ndarray]) -> DataFrame:
@@ -59,7 +69,8 @@ def cached_embed(rows: DataFrame, cache: DataFrame, model: str, key: str, text:
     k = cache_key(model, F.col(text))
     keyed = rows.select(key, text, k.alias("k"))
     missing = keyed.select("k", text).dropDuplicates(["k"]).join(cache.select("k"), "k", "left_anti")
-    fresh = embed(missing, "k", text, provider).select("k", F.col("vector").alias("v"))
+    # stored, so that a text is embedded once however often the rows are read
+    fresh = stored(embed(missing, "k", text, provider).select("k", F.col("vector").alias("v")), "embedded")
     return keyed.join(cache.select("k", "v").unionByName(fresh), "k").select(key, F.col("v").alias("vector")), fresh
 
 
