@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as tx
 from siftwell.functions import vectors as vec
-from siftwell.operators import chunking, context, dense, evaluate, fusion, lexical, monitor, rerank, security, transform
+from siftwell.operators import chunking, context, dense, evaluate, fusion, lexical, metrics, monitor, rerank, security, transform
 from siftwell.operators.filters import Filter, golden, post_filter_loss, top
-from siftwell.plans.pipeline import Index, PipelineConfig, retrieve, run
+from siftwell.plans.pipeline import Index, PipelineConfig, evaluate_retrieval, retrieve, run
 from siftwell.sources import corpus
+from siftwell.sources.scratch import stored
 from siftwell.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,9 +62,33 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").selectExpr("item_id AS qid", "text AS query")
 
 
+#: Tokens between blanks, from the second on, by which a passage and a document that holds it meet.
+MEET = 4
+
+
+def holding(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of the documents that hold an item's text, character by character.
+
+    Where a text occurs, all its tokens but the first and the last stand between blanks, so the document has the same
+    run of tokens: items meet documents by a hash of MEET of these, and what meets is compared.  Texts of few tokens
+    are compared with all documents.
+    """
+    split = lambda c: F.split(c, " ", -1)
+    items, docs = items.select("item_id", "text", split(F.col("text")).alias("t")), docs.select("doc_id", F.col("text").alias("body"))
+    run = lambda t, i: F.xxhash64(*(F.get(t, i + k) for k in range(MEET)))
+    long = items.filter(F.size("t") >= MEET + 2).select("item_id", "text", run(F.col("t"), F.lit(1)).alias("h"))
+    windows = docs.select("doc_id", split(F.col("body")).alias("t")).filter(F.size("t") >= MEET)
+    windows = windows.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("t") - MEET), lambda i: run(F.col("t"), i)))).alias("h"))
+    met = windows.join(long, "h").select("item_id", "text", "doc_id")
+    found = met.join(docs, "doc_id").filter(F.contains("body", "text")).select("item_id", "doc_id")
+    short = items.filter(F.size("t") < MEET + 2).join(docs, F.contains("body", "text")).select("item_id", "doc_id")
+    return found.union(short)
+
+
 def golden_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    found = items.join(docs, F.contains("body", "text"), "left").groupBy("item_id").agg(F.array_sort(F.collect_set("doc_id")).alias("source_docs"))
+    items = read(spark, sf_dir, "benchmark")
+    pairs = holding(items, read(spark, sf_dir, "documents"))
+    found = items.select("item_id").distinct().join(pairs, "item_id", "left").groupBy("item_id").agg(F.array_sort(F.collect_set("doc_id")).alias("source_docs"))
     return found.selectExpr("item_id AS id", "CASE item_id % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'table' ELSE 'hop' END AS type", "source_docs", "size(source_docs) > 0 AS answerable")
 
 
@@ -201,16 +227,8 @@ def bm25_topk_filtered(spark, sf_dir):
 # --- vectors --------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {cosine_sql(10, queries='SELECT vec_id FROM embeddings WHERE vec_id < 20')} SELECT qid, chunk_id, score, rank FROM dense")
-def dense_topk(spark, sf_dir):
-    vectors = read(spark, sf_dir, "embeddings").selectExpr("vec_id AS chunk_id", "embedding AS vector")
-    return dense.search(vectors.filter("chunk_id < 20").withColumnRenamed("chunk_id", "qid"), vectors, 10).drop("source")
-
-
-@query(f"WITH {cosine_sql(10, where='c.label IN (1, 3)', queries='SELECT vec_id FROM embeddings WHERE vec_id < 20')} SELECT qid, chunk_id, score, rank FROM dense")
-def dense_topk_filtered(spark, sf_dir):
-    vectors = read(spark, sf_dir, "embeddings").selectExpr("vec_id AS chunk_id", "embedding AS vector", "label")
-    return dense.search(vectors.filter("chunk_id < 20").withColumnRenamed("chunk_id", "qid"), vectors.filter("label IN (1, 3)"), 10).drop("source")
+# searches among vectors take every row whose id is divisible by 100 as a query, against all rows
+ASKED = "SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0"
 
 
 def whole_hits(spark, sf_dir, k: int, where: str = "true") -> DataFrame:
@@ -220,13 +238,13 @@ def whole_hits(spark, sf_dir, k: int, where: str = "true") -> DataFrame:
     return dense.search(asked, vectors.filter(where).selectExpr("vec_id AS chunk_id", "embedding AS vector"), k).drop("source")
 
 
-@query()
-def dense_topk_whole(spark, sf_dir):
+@query(f"WITH {cosine_sql(10, queries=ASKED)} SELECT qid, chunk_id, score, rank FROM dense")
+def dense_topk(spark, sf_dir):
     return whole_hits(spark, sf_dir, 10)
 
 
-@query()
-def dense_topk_filtered_whole(spark, sf_dir):
+@query(f"WITH {cosine_sql(10, where='c.label IN (1, 3)', queries=ASKED)} SELECT qid, chunk_id, score, rank FROM dense")
+def dense_topk_filtered(spark, sf_dir):
     return whole_hits(spark, sf_dir, 10, "label IN (1, 3)")
 
 
@@ -245,12 +263,25 @@ def hash_embed_topk(spark, sf_dir):
     return dense.search(asked, items, 5).drop("source")
 
 
-@query("""WITH keyed AS (SELECT doc_id, text, sha1(concat('m', chr(0), text)) AS k FROM documents)
-    SELECT count(*) AS requests, count(DISTINCT k) AS distinct_texts, count(*) FILTER (WHERE doc_id % 2 = 0 OR k IN (SELECT k FROM keyed WHERE doc_id % 2 = 0)) AS hits FROM keyed""")
+@query("""WITH keyed AS (SELECT doc_id, text, sha1(concat('m', chr(0), text)) AS k FROM documents), known AS (SELECT *, k IN (SELECT k FROM keyed WHERE doc_id % 2 = 0) AS hit FROM keyed)
+    SELECT count(*) AS requests, count(*) FILTER (WHERE hit) AS hits, CAST(coalesce(sum(length(text)) FILTER (WHERE NOT hit), 0) AS BIGINT) AS chars, count(DISTINCT k) FILTER (WHERE NOT hit) AS embedded FROM known""")
 def embedding_cache_hits(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", vec.cache_key("m", F.col("text")).alias("k"))
-    cache = rows.filter("doc_id % 2 = 0").select("k", F.lit(1).alias("known")).distinct()
-    return rows.join(cache, "k", "left").agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("k").alias("distinct_texts"), F.count("known").alias("hits"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = rows.filter("doc_id % 2 = 0").select(vec.cache_key("m", F.col("text")).alias("k"), F.array(F.lit(-1.0).cast("float")).alias("v")).distinct()
+    vectors, fresh = vec.cached_embed(rows, cache, "m", "doc_id", "text", lambda texts: np.array([[len(t)] for t in texts]))
+    mark = F.get("vector", F.lit(0))
+    found = vectors.agg(F.count(F.lit(1)).alias("requests"), F.count_if(mark == -1).alias("hits"), F.coalesce(F.sum(F.when(mark >= 0, mark.cast("long"))), F.lit(0)).alias("chars"))
+    return found.crossJoin(fresh.agg(F.count(F.lit(1)).alias("embedded")))  # one row each
+
+
+# --- filters --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {META} SELECT 'some' AS which, doc_id FROM docs_meta WHERE doc_id IN (1, 2, 3, 5, 8, 13) UNION ALL SELECT 'any', doc_id FROM docs_meta WHERE status = 'current'")
+def filter_doc_ids(spark, sf_dir):
+    docs = docs_meta(spark, sf_dir)
+    some = Filter(status=None, doc_ids=(1, 2, 3, 5, 8, 13))(docs).select(F.lit("some").alias("which"), "doc_id")
+    return some.union(Filter(doc_ids=())(docs).select(F.lit("any").alias("which"), "doc_id"))
 
 
 # --- fusion ---------------------------------------------------------------------------------------------------------
@@ -322,21 +353,12 @@ def rerank_cascade(spark, sf_dir):
     return rerank.rescored(scored, 5, "length").select("qid", "chunk_id", "score", "rank", "pre_rank")
 
 
-@query(f"""WITH {cosine_sql(20, queries='SELECT vec_id FROM embeddings WHERE vec_id < 20')},
+@query(f"""WITH {cosine_sql(20, queries=ASKED)},
     pairs AS (SELECT h.qid, h.chunk_id, h.rank AS pre_rank, q.vec_id AS token, max(list_inner_product(q.v, c.v)) AS m FROM dense AS h
-        JOIN vectors AS q ON q.vec_id % 20 = h.qid AND q.vec_id < 60 JOIN vectors AS c ON c.vec_id % 100 = h.chunk_id % 100 GROUP BY ALL),
+        JOIN vectors AS q ON q.vec_id - q.vec_id % 100 = h.qid JOIN vectors AS c ON c.vec_id // 10 = h.chunk_id // 10 GROUP BY ALL),
     sums AS (SELECT qid, chunk_id, pre_rank, round(sum(m), 6) AS score FROM pairs GROUP BY ALL)
     SELECT qid, chunk_id, score, rank, pre_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pre_rank) AS INTEGER) AS rank FROM sums) WHERE rank <= 5""")
 def maxsim(spark, sf_dir):
-    vectors = read(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding AS vector")
-    hits = dense.search(vectors.filter("vec_id < 20").withColumnRenamed("vec_id", "qid"), vectors.withColumnRenamed("vec_id", "chunk_id"), 20)
-    asked = vectors.filter("vec_id < 60").selectExpr("vec_id % 20 AS qid", "vec_id AS token", "vector")
-    own = hits.select("chunk_id").distinct().join(vectors, F.col("vec_id") % 100 == F.col("chunk_id") % 100).select("chunk_id", "vector")
-    return rerank.max_sim(hits, asked, own).select("qid", "chunk_id", "score", "rank", "pre_rank")
-
-
-@query()
-def maxsim_whole(spark, sf_dir):
     """Every row is a token of a query, that of its hundred, and of the chunks of its ten."""
     vectors = read(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding AS vector")
     hits = whole_hits(spark, sf_dir, 20)
@@ -386,7 +408,9 @@ def chunk_fingerprint(spark, sf_dir):
     return chunking.document_fingerprints(chunks.withColumn("chunk_id", F.concat("doc_id", F.lit("::"), "chunk_index")))
 
 
-@query()
+@query("""WITH h AS (SELECT sha1(concat_ws(chr(0), doc_id, 0, doc_id, text)) AS own FROM documents),
+    p AS (SELECT count(*) AS n, """ + ", ".join(f"sum(CAST('0x' || substr(own, {k}, 12) AS BIGINT)) AS p{k}" for k in (1, 13, 25)) + """ FROM h)
+    SELECT left(sha1(concat_ws(',', n, p1, p13, p25)), 12) AS fingerprint FROM p""")
 def corpus_fingerprint(spark, sf_dir):
     return chunking.fingerprint(docs_meta(spark, sf_dir).withColumn("chunk_index", F.lit(0)))
 
@@ -456,9 +480,8 @@ def citations(spark, sf_dir):
 
 @query(f"WITH {META} SELECT count(*) AS n_sources, sum(length(concat('[', r, '] Quelle: ', title, ' (', doc_id, ', Version ', version, ')', chr(10), text))) AS chars FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM docs_meta WHERE status = 'current')")
 def long_context(spark, sf_dir):
-    rows = docs_meta(spark, sf_dir).filter("status = 'current'").withColumn("qid", F.lit(0))
-    hits = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")))
-    return context.pack(hits, 10_000_000_000).agg(F.count(F.lit(1)).alias("n_sources"), F.sum(F.length("block")).alias("chars"))
+    blocks = context.whole_corpus(docs_meta(spark, sf_dir).filter("status = 'current'"))
+    return blocks.agg(F.count(F.lit(1)).alias("n_sources"), F.sum(F.length("block")).alias("chars"))
 
 
 @query(f"WITH {bm25(5)}, s AS (SELECT qid, sum(length(text)) AS chars FROM sparse JOIN docs_meta USING (chunk_id) GROUP BY qid) SELECT round(avg(chars), 6) AS avg_chars, count(*) AS n FROM s")
@@ -493,9 +516,23 @@ def retrieval_rows(spark, sf_dir):
     return rows.select("id", "type", "hit", F.round("recall", 6).alias("recall"), "first_rank", F.round("rr", 6).alias("rr"))
 
 
-@query(f"WITH {bm25(5)}, {GOLDEN}, {rows_sql(5)} SELECT {SUMMARY} FROM rows WHERE n_sources > 0")
+@query(f"WITH {bm25(5)}, {GOLDEN}, {rows_sql(5)} SELECT {SUMMARY}, round_even(avg(id % 7 * 10), 0) AS avg_ms FROM rows WHERE n_sources > 0")
 def retrieval_summary(spark, sf_dir):
-    return evaluate.summary(rows_of(spark, sf_dir, 5, sparse_hits(spark, sf_dir, 5)).filter("answerable"))
+    rows = rows_of(spark, sf_dir, 5, sparse_hits(spark, sf_dir, 5)).filter("answerable")
+    return evaluate.summary(rows.withColumn("t_retrieval_ms", F.expr("cast(id % 7 * 10 as double)")))
+
+
+OPEN_TO_HR = "status = 'current' AND list_has_any(access, ['all', 'hr'])"
+
+
+@query(f"""WITH {bm25(5, where=OPEN_TO_HR)}, {GOLDEN}, {rows_sql(5)}, named AS (SELECT id, CASE type WHEN 'hop' THEN 'acl' ELSE type END AS type, hit, round(recall, 6) AS recall, first_rank, 'sparse+k5' AS config FROM rows WHERE n_sources > 0)
+    SELECT *, FALSE AS acl FROM named WHERE type <> 'acl' UNION ALL SELECT *, TRUE FROM named""")
+def retrieval_evaluation(spark, sf_dir):
+    items = golden_bench(spark, sf_dir).join(questions(spark, sf_dir).withColumnsRenamed({"qid": "id", "query": "question"}), "id")
+    items = stored(items.withColumn("type", F.expr("CASE type WHEN 'hop' THEN 'acl' ELSE type END")), "golden")
+    index, config = Index(docs_meta(spark, sf_dir)), PipelineConfig(retrieval="sparse")
+    found = [evaluate_retrieval(config, index, items, ("hr",), include_acl=acl).withColumn("acl", F.lit(acl)) for acl in (False, True)]
+    return found[0].unionByName(found[1]).select("id", "type", "hit", F.round("recall", 6).alias("recall"), "first_rank", "config", "acl")
 
 
 COMPARED = f"{BOTH}, {GOLDEN}, {rrf_sql(60, 1)}, hybrid AS (SELECT * FROM {ranked_sql('fused', 5)}), {rows_sql(5, name='a')}, {rows_sql(5, 'hybrid', 'b')}, compared AS (SELECT 'sparse' AS config, * FROM a UNION ALL SELECT 'hybrid', * FROM b)"
@@ -517,6 +554,25 @@ def hit_by_type_pivot(spark, sf_dir):
     return evaluate.hit_by_type(compared(spark, sf_dir), ["sparse", "hybrid"])
 
 
+@query(f"WITH {COMPARED} SELECT type, round(avg(CASE WHEN config = 'sparse' THEN CAST(coalesce(first_rank = 1, FALSE) AS INTEGER) END), 6) AS sparse, round(avg(CASE WHEN config = 'hybrid' THEN CAST(coalesce(first_rank = 1, FALSE) AS INTEGER) END), 6) AS hybrid FROM compared GROUP BY type")
+def first_by_type_pivot(spark, sf_dir):
+    return evaluate.hit_by_type(compared(spark, sf_dir), ["sparse", "hybrid"], first=True)
+
+
+DEPTHS = (10, 20, 50)
+SWEPT = ", ".join(
+    f"hits{n} AS (SELECT * FROM both_ WHERE rank <= {n}), fused{n} AS (SELECT qid, chunk_id, round(sum(1.0 / (rank - 1 + 61)), 9) AS score FROM hits{n} GROUP BY qid, chunk_id), best{n} AS (SELECT * FROM {ranked_sql(f'fused{n}', 5)}), {rows_sql(5, f'best{n}', f'r{n}')}"
+    for n in DEPTHS
+)
+
+
+@query(f"WITH {bm25(50)}, {cosine_sql(50)}, both_ AS (SELECT * FROM sparse UNION ALL SELECT * FROM dense), {GOLDEN}, {SWEPT} " + " UNION ALL ".join(f"SELECT {n} AS depth, {SUMMARY} FROM r{n} WHERE n_sources > 0" for n in DEPTHS))
+def fusion_sweep(spark, sf_dir):
+    hits = stored(sparse_hits(spark, sf_dir, 50).unionByName(dense_hits(spark, sf_dir, 50)), "hits")
+    rows = [evaluate.summary(rows_of(spark, sf_dir, 5, fusion.rrf(hits.filter(F.col("rank") <= n))).filter("answerable")).withColumn("depth", F.lit(n)) for n in DEPTHS]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(f"WITH {bm25(40)}, {GOLDEN}, {', '.join(rows_sql(k, name=f'r{k}') for k in (5, 10, 20, 40))} " + " UNION ALL ".join(f"SELECT {k} AS depth, {SUMMARY} FROM r{k} WHERE n_sources > 0" for k in (5, 10, 20, 40)))
 def prefetch_sweep(spark, sf_dir):
     # the widest ranking holds all shallower ones
@@ -533,15 +589,10 @@ def rank_at_20(spark, sf_dir):
     return rows.filter("answerable AND coalesce(first_rank, 99) > 1").select("id", "first_rank", F.round("recall", 6).alias("recall"))
 
 
-@query(f"""WITH {cosine_sql(10, queries='SELECT vec_id FROM embeddings WHERE vec_id < 20')}, rel AS (SELECT d.qid, d.rank, q.label = c.label AS relevant FROM dense AS d JOIN vectors AS q ON q.vec_id = d.qid JOIN vectors AS c ON c.vec_id = d.chunk_id),
+@query(f"""WITH {cosine_sql(10, queries=ASKED)}, rel AS (SELECT d.qid, d.rank, q.label = c.label AS relevant FROM dense AS d JOIN vectors AS q ON q.vec_id = d.qid JOIN vectors AS c ON c.vec_id = d.chunk_id),
     p AS (SELECT *, sum(CAST(relevant AS INTEGER)) OVER (PARTITION BY qid ORDER BY rank) / rank AS p FROM rel)
     SELECT qid, round(coalesce(avg(CASE WHEN relevant THEN p END), 0), 6) AS ap FROM p GROUP BY qid""")
 def average_precision(spark, sf_dir):
-    return precision_of(spark, sf_dir, dense_topk(spark, sf_dir))
-
-
-@query()
-def average_precision_whole(spark, sf_dir):
     return precision_of(spark, sf_dir, whole_hits(spark, sf_dir, 10))
 
 
@@ -559,22 +610,43 @@ def support_ratio(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.round(evaluate.support_ratio(flags, statements), 6).alias("ratio"))
 
 
-@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
-    SELECT q.vec_id AS qid, round(avg(list_cosine_similarity(q.v, c.v)), 6) AS relevancy FROM v AS q JOIN v AS c ON c.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 3 WHERE q.vec_id < 20 GROUP BY q.vec_id""")
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    n AS (SELECT q.vec_id AS qid, c.v AS c, q.v AS q FROM v AS q JOIN (SELECT vec_id, v, unnest([vec_id - 3, vec_id - 2, vec_id - 1]) AS qid FROM v) AS c ON c.qid = q.vec_id),
+    m AS (SELECT qid, avg(list_cosine_similarity(q, c)) AS m FROM n GROUP BY qid)
+    SELECT vec_id AS qid, round(coalesce(m, 0), 6) AS relevancy FROM v LEFT JOIN m ON qid = vec_id""")
 def answer_relevancy(spark, sf_dir):
-    v = read(spark, sf_dir, "embeddings")
-    asked = v.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 3)).alias("vec_id"))
-    return asked.join(v, "vec_id").groupBy("qid").agg(F.round(F.avg(vec.cosine(F.col("q"), F.col("embedding"))), 6).alias("relevancy"))
-
-
-@query()
-def answer_relevancy_whole(spark, sf_dir):
     """Of all rows; the next three ids stand for the regenerated questions, and no row is a refusal."""
     v = read(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding AS vector")
     regenerated = v.select(F.explode(F.expr("sequence(vec_id - 3, vec_id - 1)")).alias("qid"), "vector")
     return evaluate.answer_relevancy(v.selectExpr("vec_id AS qid", "vector", "false AS refused"), regenerated)
 
 
+# answers are made up; the offline model finds two statements, bears out the first, and calls each passage relevant
+METRIC = f"""{bm25(3)}, {HASHED.format(rows="SELECT item_id AS id, text FROM benchmark UNION ALL SELECT -1, 'Variant A of the question' UNION ALL SELECT -2, 'Variant B of the question'")},
+    cosines AS (SELECT q.id, sum(q.v * d.v / nq.n / nd.n) / 2 AS m FROM buckets AS q JOIN buckets AS d USING (b) JOIN norms AS nq ON nq.id = q.id JOIN norms AS nd ON nd.id = d.id WHERE q.id >= 0 AND d.id < 0 AND nq.n > 0 GROUP BY q.id),
+    metric AS (SELECT item_id AS id, CASE WHEN item_id IN (SELECT qid FROM sparse) THEN 1.0 ELSE 0.0 END AS context_precision, 0.5 AS context_recall, 0.5 AS faithfulness, CASE WHEN item_id % 5 = 0 THEN 0 ELSE round(coalesce(m, 0), 6) END AS answer_relevancy FROM benchmark LEFT JOIN cosines ON id = item_id)"""
+
+
+def metric_rows(spark, sf_dir) -> DataFrame:
+    """The metrics of made-up answers; a question's last run has its three best hits for contexts, an earlier one others."""
+    asked = questions(spark, sf_dir)
+    texts = sparse_hits(spark, sf_dir, 3).join(docs_meta(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    found = texts.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("contexts"))
+    log = found.join(asked, "qid").select("query", F.lit(2).alias("run_no"), "contexts").union(asked.select("query", F.lit(1), F.array().cast("array<string>")))
+    rows = asked.selectExpr("qid AS id", "query AS question", "'r' AS ground_truth", "CASE WHEN qid % 5 = 0 THEN 'Dazu gibt es keine Information.' ELSE 'a' END AS answer")
+    return metrics.metric_table(stored(metrics.with_contexts(rows, log), "evaluated"))
+
+
+@query(f"WITH {METRIC} SELECT * FROM metric")
+def metric_table(spark, sf_dir):
+    return metric_rows(spark, sf_dir)
+
+
+@query(f"WITH {METRIC} SELECT round(avg(context_precision), 3) AS context_precision, round(avg(context_recall), 3) AS context_recall, round(avg(faithfulness), 3) AS faithfulness, round(avg(answer_relevancy), 3) AS answer_relevancy FROM metric")
+def metrics_summary(spark, sf_dir):
+    return metrics.metrics_summary(metric_rows(spark, sf_dir))
+
+
 # evaluated rows: correctness and refusals follow from the item's number, the rest from the search
 E2E = f"""{bm25(5)}, {GOLDEN}, {rows_sql(5)}, e2e AS (SELECT id, type, n_sources > 0 AS answerable, hit, recall, first_rank, id % 4 = 0 AS correct, id % 5 = 1 AS is_no_answer, CAST(id % 7 * 100 AS DOUBLE) AS t_total_ms, id % 3 / 1000.0 AS cost_usd FROM rows),
 failed AS (SELECT *, CASE WHEN correct THEN 'ok' WHEN NOT answerable THEN 'halluzination_statt_absage' WHEN NOT hit THEN 'retrieval:missing_evidence' WHEN recall < 1 THEN 'retrieval:partial_evidence'
@@ -727,7 +799,13 @@ def json_object_parse(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", tx.json_object(raw, "k bigint")["k"].alias("k"))
 
 
-@query()
+OFFLINE_VARIANTS = "['Variant A of the question', 'Variant B of the question']"
+TRANSFORMED = {
+    "none": "[text]", "rewrite": "['Offline answer [1]']", "multi_query": f"list_concat([text], {OFFLINE_VARIANTS})", "decompose": OFFLINE_VARIANTS, "hyde": "['Offline answer [1]']", "step_back": "[text, 'Offline answer [1]']",
+}
+
+
+@query("WITH t AS (" + " UNION ALL ".join(f"SELECT item_id AS qid, '{kind}' AS kind, {queries} AS q FROM benchmark" for kind, queries in TRANSFORMED.items()) + ") SELECT qid, kind, CAST(i - 1 AS INTEGER) AS variant, q[i] AS query FROM (SELECT *, unnest(range(1, len(q) + 1)) AS i FROM t)")
 def query_transforms(spark, sf_dir):
     asked, out = questions(spark, sf_dir), None
     for kind in transform.KINDS:
@@ -736,18 +814,21 @@ def query_transforms(spark, sf_dir):
     return out
 
 
-@query()
+@query("SELECT item_id AS qid, FALSE AS correct, 'offline' AS judge_reason FROM benchmark")
 def judge_answers(spark, sf_dir):
     rows = questions(spark, sf_dir).select("qid", F.col("query").alias("question"), F.lit("r").alias("ground_truth"), F.lit("a").alias("answer"))
     return transform.judged(rows).select("qid", "correct", "judge_reason")
 
 
-@query()
+@query("""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat(doc_id, ':42')), doc_id) - 1 AS k FROM documents WHERE length(text) >= 300),
+    d AS (SELECT doc_id, CASE WHEN k < 6 THEN k // 2 ELSE k - 3 END AS k FROM o WHERE k < 13)
+    SELECT concat('s', lpad(CAST(k + 1 AS VARCHAR), 2, '0')) AS id, CASE WHEN k < 3 THEN 'synthetic-multi-hop' ELSE 'synthetic' END AS type, 'Offline question?' AS question, 'Offline reference.' AS ground_truth, string_agg(doc_id, ',' ORDER BY doc_id) AS source_docs, TRUE AS answerable, FALSE AS reviewed FROM d GROUP BY k""")
 def synthetic_set(spark, sf_dir):
-    return transform.synthetic_set(docs_meta(spark, sf_dir).select("chunk_id", "doc_id", "text"))
+    items = transform.synthetic_set(docs_meta(spark, sf_dir).select("chunk_id", "doc_id", "text"))
+    return items.withColumn("source_docs", F.array_join("source_docs", ","))
 
 
-@query()
+@query("SELECT doc_id, TRUE AS suspicious FROM documents")
 def llm_injection_check(spark, sf_dir):
     return transform.suspicious(docs_meta(spark, sf_dir))
 
@@ -787,6 +868,11 @@ def latency_quantiles(spark, sf_dir):
     return evaluate.grouped_latency(request_log(spark, sf_dir), "event_type", "t_total_ms")
 
 
+@query(f"WITH {LOG} SELECT event_type, " + ", ".join(f"round(quantile_cont(t_total_ms, {p}), 6) AS {n}" for n, p in (("low", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 1))) + " FROM log GROUP BY event_type")
+def latency_box_plot(spark, sf_dir):
+    return evaluate.box_plot(request_log(spark, sf_dir), "event_type", "t_total_ms")
+
+
 @query(f"""WITH {LOG}, recent AS (SELECT * FROM log ORDER BY ts DESC, event_id DESC LIMIT 20), f AS (
     SELECT 'no_answer_rate' AS alert, avg(CAST(no_answer AS INTEGER)) AS v, 0.2 AS l FROM recent UNION ALL SELECT 'p95_latency', quantile_cont(t_total_ms, 0.95), 4000 FROM log
     UNION ALL SELECT 'low_top_score', avg(CASE WHEN top_score < (SELECT quantile_cont(top_score, 0.1) FROM log) THEN 1 ELSE 0 END), 0.3 FROM recent)
@@ -824,18 +910,11 @@ def cache_requests(spark, sf_dir):
     return rows.join(vectors, "vec_id").selectExpr("event_id AS request_id", "concat('role', user_id % 4) AS key", "cast(ts as timestamp) AS ts", "embedding AS vector")
 
 
-@query("""WITH n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT event_id, user_id % 4 AS key, ts, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM events, n, embeddings WHERE vec_id = event_id % n),
-    pairs AS (SELECT q.event_id AS request_id, c.event_id AS entry_id, round(list_cosine_similarity(q.v, c.v), 6) AS s, c.ts FROM e AS q JOIN e AS c ON q.key = c.key AND c.event_id % 50 = 0 AND epoch(q.ts) - epoch(c.ts) BETWEEN 0 AND 86400 WHERE q.event_id % 50 <> 0),
-    best AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, ts, entry_id) AS r FROM pairs WHERE s > 0)
-    SELECT e.event_id AS request_id, CASE WHEN s >= 0.3 THEN entry_id END AS entry_id, coalesce(s, 0) AS similarity, coalesce(s >= 0.3, FALSE) AS hit FROM e LEFT JOIN best ON e.event_id = request_id AND r = 1 WHERE e.event_id % 50 <> 0""")
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT event_id, user_id % 4 AS key, CAST(epoch_us(ts) AS BIGINT) AS us, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM events, n, embeddings WHERE vec_id = event_id % n),
+    pairs AS (SELECT q.event_id AS request_id, c.event_id AS entry_id, round(list_cosine_similarity(q.v, c.v), 6) AS s, c.us FROM e AS q JOIN e AS c ON q.key = c.key AND c.us BETWEEN q.us - 86400000000 AND q.us AND (c.us < q.us OR c.event_id < q.event_id)),
+    best AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, us, entry_id) AS r FROM pairs WHERE s > 0)
+    SELECT e.event_id AS request_id, CASE WHEN s >= 0.3 THEN entry_id END AS entry_id, coalesce(s, 0) AS similarity, coalesce(s >= 0.3, FALSE) AS hit FROM e LEFT JOIN best ON e.event_id = request_id AND r = 1""")
 def semantic_cache_lookup(spark, sf_dir):
-    rows = cache_requests(spark, sf_dir)
-    entries = rows.filter("request_id % 50 = 0").selectExpr("request_id AS entry_id", "key", "vector", "ts AS created")
-    return monitor.cache_lookup(rows.filter("request_id % 50 <> 0"), entries, threshold=0.3, ttl=86400)
-
-
-@query()
-def semantic_cache_lookup_whole(spark, sf_dir):
     return monitor.cache_history(cache_requests(spark, sf_dir), threshold=0.3, ttl=86400)
 
 
@@ -844,6 +923,13 @@ def semantic_cache_replay(spark, sf_dir):
     return stateful.replay(cache_requests(spark, sf_dir), threshold=0.95, ttl=86400)
 
 
+@query()
+def cached_run(spark, sf_dir):
+    """Requests behind the cache: hits have the answer, and save the time, of the entry that they hit."""
+    runs = request_log(spark, sf_dir).selectExpr("event_id AS request_id", "concat('answer ', event_id) AS answer", "t_total_ms", "cost_usd")
+    return monitor.cached_run(stateful.replay(cache_requests(spark, sf_dir), threshold=0.95, ttl=86400), runs)
+
+
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY 1, 2")
 def kpi_windows(spark, sf_dir):
     return stateful.kpi_windows(read(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
@@ -859,6 +945,11 @@ def blue_green_compare(spark, sf_dir):
     return monitor.compare_indexes(green, tenth)
 
 
+# further names of queries that take whole tables
+for _name in ("dense_topk", "dense_topk_filtered", "maxsim", "average_precision", "answer_relevancy", "semantic_cache_lookup"):
+    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
+
+
 # --- whole pipelines ------------------------------------------------------------------------------------------------
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as tx
 from siftwell.functions import vectors as vec
-from siftwell.operators import chunking, context, evaluate, fusion, lexical, monitor, rerank, security, transform
+from siftwell.operators import chunking, context, evaluate, fusion, lexical, metrics, monitor, rerank, security, transform
 from siftwell.operators.filters import Filter
 from siftwell.plans.pipeline import Index, PipelineConfig, compare, retrieve, run, run_golden
+from siftwell.plans import catalogue
 from siftwell.sources import corpus
 from siftwell.streaming import stateful
 
@@ -254,7 +255,9 @@ def test_golden_run(spark):
     assert rows["g1"]["hit"] and rows["g3"]["is_no_answer"] and rows["g4"]["recall"] == 0
     assert {r["failure"] for r in run_golden(config, Index(chunks(spark)), golden, (), None).collect()} == {""}
     got = {r["config"]: (r["n"], r["hit_rate"]) for r in compare([config, PipelineConfig(retrieval="sparse", enforce_acl=False, name="open")], Index(chunks(spark)), golden, ()).collect()}
-    assert got == {"sparse+k5": (3, 0.333), "open": (3, 1.0)}
+    assert got == {"sparse+k5": (2, 0.5), "open": (2, 1.0)}
+    got = {r["config"]: (r["n"], r["hit_rate"]) for r in compare([config], Index(chunks(spark)), golden, (), include_acl=True).collect()}
+    assert got == {"sparse+k5": (3, 0.333)}
 
 
 def test_traced(spark):
@@ -326,3 +329,113 @@ def test_dense_scan_keeps_the_best_over_batches(spark):
 def test_cosine_of_zero(spark):
     assert one(spark, vec.cosine(F.array(F.lit(0.0)), F.array(F.lit(2.0))), x=1) == 0
     assert math.isclose(one(spark, vec.cosine(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(2.0), F.lit(2.0))), x=1), 1)
+
+
+def test_an_empty_list_of_documents_is_no_filter(spark):
+    df = spark.createDataFrame([("a", "current"), ("b", "current")], "doc_id string, status string")
+    assert Filter(doc_ids=())(df).count() == 2 and Filter(doc_ids=("b",))(df).first()["doc_id"] == "b"
+
+
+def test_null_prompts_are_not_sent(spark):
+    sent = spark.sparkContext.accumulator(0)
+
+    def provider(prompts):
+        sent.add(len(prompts))
+        return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "i int, p string")
+    assert [r["x"] for r in df.orderBy("i").select(transform.chat(F.col("p"), provider).alias("x")).collect()] == ["A", None, "C"]
+    assert sent.value == 2
+
+
+def test_metric_table(spark):
+    def provider(prompts):
+        out = []
+        for p in prompts:
+            if p.startswith("Welche einzelnen"):
+                out.append('["s1", "s2", "s3"]' if "Text: ref" in p else "nothing")
+            elif p.startswith("Welche Aussagen"):
+                out.append("[true, false]" if "c1" in p else "[true, true, true, true]")
+            elif p.startswith("Traegt"):
+                out.append('{"relevant": true}' if "Abschnitt: good" in p else '{"relevant": false}' if "Abschnitt: bad" in p else "?")
+            else:
+                out.append('["What?", "Which?"]')
+        return out
+
+    columns = "id int, question string, ground_truth string, answer string"
+    rows = spark.createDataFrame([(1, "q1", "ref", "refs"), (2, "q2", "ref", "keine Information"), (3, "What?", "x", "y"), (4, "q4", "ref", "z")], columns)
+    log = spark.createDataFrame([("q1", 1, ["old"]), ("q1", 2, ["c1", "bad", "good c", "odd", "good d"]), ("q2", 5, ["bad"]), ("What?", 1, ["good"])], "query string, run_no int, contexts array<string>")
+    judged = metrics.with_contexts(rows, log)
+    assert {r["id"]: len(r["contexts"]) for r in judged.collect()} == {1: 5, 2: 1, 3: 1, 4: 0}
+    got = {r["id"]: tuple(r)[1:] for r in metrics.metric_table(judged, provider).collect()}
+    e = {w: v for w, v in vec.hash_embed(spark.createDataFrame([("q1",), ("q4",), ("What?",), ("Which?",)], "w string"), "w", "w").collect()}
+    mean = lambda q: round(sum(float(np.dot(e[q], e[w])) for w in ("What?", "Which?")) / 2, 6)
+    assert got[1] == (round((1 / 3 + 2 / 5) / 2, 6), round(1 / 3, 6), round(1 / 3, 6), pytest.approx(mean("q1"), abs=2e-6))
+    assert got[2] == (0.0, 1.0, 0.0, 0.0)
+    assert got[3] == (1.0, 0.0, 0.0, pytest.approx(mean("What?"), abs=2e-6))
+    assert got[4] == (0.0, 1.0, 0.0, pytest.approx(mean("q4"), abs=2e-6))
+    means = metrics.metrics_summary(metrics.metric_table(judged, provider, metrics=("faithfulness",))).first().asDict()
+    assert means == {"faithfulness": 0.083}
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_quantiles(spark, monkeypatch, most):
+    monkeypatch.setattr(evaluate, "IN_MEMORY", most)
+    rng = np.random.default_rng(8)
+    rows = [(None if k % 50 == 0 else f"g{k % 3}", None if k % 17 == 0 else float(rng.integers(0, 40) / 8)) for k in range(700)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.95, "e": 1.0}
+    one_ = evaluate.quantiles(df, "v", shares).first()
+    assert [one_[k] for k in shares] == [pytest.approx(np.quantile([v for _, v in rows if v is not None], p), abs=1e-4) for p in shares.values()]
+    got = {r["_by"]: [r[k] for k in shares] for r in evaluate.quantiles(df, "v", shares, "g").collect()}
+    for g in (None, "g0", "g1", "g2"):
+        assert got[g] == [pytest.approx(np.quantile([v for h, v in rows if h == g and v is not None], p), abs=1e-4) for p in shares.values()]
+    assert evaluate.quantiles(df.limit(0), "v", {"a": 0.5}).collect() == [(None,)]
+
+
+def test_cached_run(spark):
+    replayed = spark.createDataFrame([(1, "k", "miss", 0.1234, None), (2, "k", "hit", 0.98765, 1), (3, "j", "miss", 0.0, None)], stateful.REPLAYED)
+    runs = spark.createDataFrame([(k, f"a{k}", 100.0 * k, 0.5 * k) for k in (1, 2, 3)], "request_id long, answer string, t_total_ms double, cost_usd double")
+    rows = monitor.cached_run(replayed, runs)
+    assert sorted(map(tuple, rows.collect())) == [(1, "miss", 0.123, "a1", 0.5, 0.0), (2, "hit", 0.988, "a1", 0.0, 100.0), (3, "miss", 0.0, "a3", 1.5, 0.0)]
+    assert tuple(monitor.cache_stats(rows).first()) == (1, 2, 100.0)
+
+
+def test_documents_by_suffix_and_originals(spark, tmp_path):
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "src").mkdir()
+    (tmp_path / "pdf" / "m.pdf").write_bytes(b"%PDF")
+    (tmp_path / "pdf" / "n.pdf").write_bytes(b"%PDF")
+    (tmp_path / "pdf" / "m.meta.yaml").write_text("title: Manual\n")
+    (tmp_path / "pdf" / "a.md").write_text("plain\n")
+    (tmp_path / "pdf" / "x.txt").write_text("passed over")
+    (tmp_path / "src" / "m.md").write_text("---\ntitle: other\n---\n# Original\n")
+    got = {r["doc_id"]: (r["title"], r["text"], r["parser"]) for r in corpus.read_corpus(spark, f"file://{tmp_path}/pdf", with_pdf=True, originals=f"file://{tmp_path}/src").collect()}
+    assert got == {"a": ("a", "plain", "markdown"), "m": ("Manual", "# Original", "layout")}
+    assert [r["doc_id"] for r in corpus.read_document(spark, f"file://{tmp_path}/pdf/a.md").collect()] == ["a"]
+    with pytest.raises(Exception, match="unsupported format"):
+        corpus.read_document(spark, f"file://{tmp_path}/pdf/x.txt")
+
+
+def test_documents_that_hold_a_passage(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(0, 2)))
+    docs = [(k, " ".join(word() for _ in range(rng.randint(0, 60)))) for k in range(60)] + [(99, None)]
+    texts = [(k, docs[k % 60][1][rng.randint(0, 9) :][: rng.randint(1, 40)]) for k in range(80)] + [(200, "a"), (201, "b b b b b b b b"), (202, "zz")]
+    found = catalogue.holding(spark.createDataFrame(texts, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {tuple(r) for r in found.collect()} == {(i, d) for i, t in texts for d, body in docs if body is not None and t in body}
+
+
+def test_whole_corpus_is_numbered_through(spark):
+    rows = [(k, f"T{k}", "1", "x" * (k % 7)) for k in range(300)]
+    got = context.whole_corpus(spark.createDataFrame(rows, "doc_id long, title string, version string, text string").repartition(7)).orderBy("rank").collect()
+    assert [(r["rank"], r["doc_id"]) for r in got] == [(k + 1, k) for k in range(300)]
+    assert got[12]["block"] == "[13] Quelle: T12 (12, Version 1)\nxxxxx"
+
+
+def test_built_index_searches_alike(spark, tmp_path):
+    asked = spark.createDataFrame([(1, "Reisekosten und Urlaub"), (2, "Monate")], "qid int, query string")
+    plain, built = Index.of(chunks(spark)), Index.built(chunks(spark), f"file://{tmp_path}/ix")
+    for config in (PipelineConfig(), PipelineConfig(retrieval="sparse"), PipelineConfig(retrieval="dense")):
+        rows = [sorted(map(tuple, retrieve(config, index, asked, ("hr",)).select("qid", "chunk_id", "score", "rank").collect())) for index in (plain, built)]
+        assert rows[0] == rows[1]
