@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.sources.scratch import scratch, stored
+from siftwell.sources.scratch import passing, scratch, stored
 
-__all__ = ["Words", "mixed", "powers", "ranked", "raw", "rolled", "scratch", "slices", "spread", "stored", "unused"]
+__all__ = ["Words", "mixed", "passing", "powers", "ranked", "raw", "rolled", "scratch", "slices", "spread", "stored", "unused"]
 
 #: A word is a run of anything but these bytes; in UTF-8 they never occur inside a character.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -114,14 +114,18 @@ def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def ranked(df: DataFrame, key: str, order: list[str | Column], per_group: int = 20_000, value: str | None = None, name: str = "rank") -> DataFrame:
+#: Groups that a key's rows are dealt to, at most; they only keep tasks even, and totals few.
+MOST_GROUPS = 20_000
+
+
+def ranked(df: DataFrame, key: str, order: list[str | Column], per_group: int = 500, value: str | None = None, name: str = "rank") -> DataFrame:
     """Adds a running total within each key (of `value`, else of ones), not counting the row itself.
 
-    A key may hold a third of all rows: rows of a key are dealt to hash groups of about `per_group` rows, totals are
-    run within a group and added to the totals of the groups before it.  Only group totals meet by key.  The input
-    must be a stored table, since it is read twice.  Keys must not be null.
+    A key may hold a third of all rows: rows of a key are dealt to hash groups of about `per_group` rows (or more, in
+    MOST_GROUPS groups), totals are run within a group and added to the totals of the groups before it.  Only group
+    totals meet by key.  The input must be a stored table, since it is read twice.  Keys must not be null.
     """
-    groups = max(1, -(-df.count() // per_group))
+    groups = min(max(1, -(-df.count() // per_group)), MOST_GROUPS)
     one = F.col(value).cast("long") if value else F.lit(1).cast("long")
     df = df.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups)))
     sums = df.groupBy(key, "_group").agg(F.sum(one).alias("_sum"))

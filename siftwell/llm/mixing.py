@@ -25,8 +25,8 @@ from siftwell.llm.common import Words, mixed, ranked, slices, spread, stored, un
 #: Weights of sources in code-point order, repeating, and how often a source may be taken whole.
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
-#: Words in a block, slots in a shard, and the most ranges of shards that the driver draws for.
-BLOCK, SHARD, RANGES = 128, 1024, 512
+#: Words in a block, slots in a shard.
+BLOCK, SHARD = 128, 1024
 
 
 def targets(sizes: list[int], weights: list[int], most: int = MOST_PASSES) -> list[Fraction]:
@@ -102,33 +102,39 @@ class Mix:
 
     def _slots(self, blocks: list[int], slots: list[int], seed: int) -> DataFrame:
         shards = max(1, -(-sum(slots) // SHARD))
-        ranges = min(shards, RANGES)
-        first = [shards * k // ranges for k in range(ranges + 1)]
-        left, begun, plan = np.array(slots, np.int64), np.zeros(len(slots), np.int64), []
-        draw = np.random.Generator(np.random.PCG64([seed, 0]))
-        for k in range(ranges):
-            counts = self._draw(draw, left, min((first[k + 1] - first[k]) * SHARD, int(left.sum())))
-            plan.append((first[k], counts, begun.copy()))
-            left, begun = left - counts, begun + counts
-        sizes = np.array(blocks, np.int64)
+        left, sizes = np.array(slots, np.int64), np.array(blocks, np.int64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for k in (k for batch in batches for k in batch.column(0).to_pylist()):
-                shard, left, begun = plan[k]
-                left, begun = left.copy(), begun.copy()
-                draw = np.random.Generator(np.random.PCG64([seed, 1, k]))
-                while left.sum():
-                    counts = Mix._draw(draw, left, min(SHARD, int(left.sum())))
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                for shard, counts, begun in Mix._shards(int(own[0]), int(own[-1]) + 1, 0, shards, left, np.zeros_like(left), seed):
                     source = np.repeat(np.arange(len(counts)), counts)
                     at = np.arange(len(source)) - np.repeat(np.cumsum(counts) - counts, counts) + begun[source]
                     passes = at // sizes[source]
                     key = mixed(mixed(source.astype(np.uint64) + np.uint64(seed)) + passes.astype(np.uint64))
                     block = permuted(at % sizes[source], sizes[source], key)
-                    order = draw.permutation(len(source))
+                    order = np.random.Generator(np.random.PCG64([seed, 1, shard])).permutation(len(source))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(source), shard, np.int64)), pa.array(np.arange(len(source))), pa.array(source[order].astype(np.int32)), pa.array(block[order])], ["shard", "slot", "source_no", "block"])
-                    left, begun, shard = left - counts, begun + counts, shard + 1
 
-        return self.spark.range(0, ranges, 1, min(ranges, spread(self.spark))).mapInArrow(run, "shard long, slot long, source_no int, block long")
+        return self.spark.range(0, shards, 1, min(shards, spread(self.spark))).mapInArrow(run, "shard long, slot long, source_no int, block long")
+
+    @staticmethod
+    def _shards(first: int, last: int, low: int, high: int, left: np.ndarray, begun: np.ndarray, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, slots of each source in it, and before it) for shards from first up to last.
+
+        `left` is what shards low up to high have in all; the lower half draws its part, with a generator of its own,
+        and so on, so any task finds its shards alone, and the mix doesn't depend on how many tasks there are.
+        """
+        if high <= first or low >= last:
+            return
+        if high - low == 1:
+            yield low, left, begun
+            return
+        middle = (low + high) // 2
+        draw = np.random.Generator(np.random.PCG64([seed, 0, low, high]))
+        part = Mix._draw(draw, left, min((middle - low) * SHARD, int(left.sum())))
+        yield from Mix._shards(first, last, low, middle, part, begun, seed)
+        yield from Mix._shards(first, last, middle, high, left - part, begun + part, seed)
 
     @staticmethod
     def _draw(draw: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
@@ -177,7 +183,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix as rows of docs: a document's words of the k-th pass over its blocks make its k-th row, for k up to 3.
 
     All columns of docs are returned; text has the words taken, joined by one space if not the whole text is, and
-    n_chars (if there) its length. 
+    n_chars (if there) its length.  Null and empty texts are never taken; an empty table gives an empty mix.
     """
     mix = Mix(docs, seed)
     fate = mix.taken().filter("taken > 0").join(mix.sources.select("source_no", F.col("source").alias("_source")), "source_no")
