@@ -155,7 +155,8 @@ def scored(docs: DataFrame, model: Trees) -> DataFrame:
     """One row per row of docs (doc_id, text; other columns are ignored): doc_id, held_out, score, predicted.
 
     Whole texts are scored, on their text alone; null and empty texts have the score of all-zero statistics.  A null
-    doc_id is not held out.
+    doc_id is not held out.  Repeated rows are scored each; an empty table gives no rows.  A long text is held by one
+    task as a whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
