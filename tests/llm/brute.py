@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -96,6 +97,69 @@ def line_counts(text: str | None) -> tuple:
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), again, len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w)
 
 
+def line_features(text: str | None) -> list[tuple[list[float], int]]:
+    """(features, words) of each line with a word, one character at a time."""
+    out, seen = [], set()
+    lines = (text or "").split("\n")
+    for k, line in enumerate(lines):
+        w = words(line)
+        if not w:
+            continue
+        chars, size = sum(map(len, w)), len(line.encode()) + (k < len(lines) - 1)
+        count = lambda of: sum(c in of for c in line)  # noqa: E731, B023
+        symbols, marks = count("#*$%&|<>"), count("!?.,;:-_/\\()[]{}\"'=+~^`@")
+        upper, digits = sum("A" <= c <= "Z" for c in line), sum("0" <= c <= "9" for c in line)
+        wide = sum(b >= 0x80 for b in line.encode())
+        out.append(([
+            1.0, min(20 * symbols / chars, 3), min(5 * upper / chars, 3), min(5 * digits / chars, 3), min(max(20 * marks / chars - 1, 0), 3), float(line in seen), math.exp(-len(w) / 4),
+            min(max(math.log(chars / len(w)) - 1.6, -1.5), 3), float(line[-1] in ".!?"), wide / size,
+        ], len(w)))
+        seen.add(line)
+    return out
+
+
+def content_share(text: str | None, weights, pairs, start: float) -> float:
+    """The share of words in content lines on the best path, found by trying each pair of neighbouring labels in turn."""
+    lines = line_features(text)
+    best = [((0.0, ()), (start, ()))] if lines else []
+    for k, (features, _) in enumerate(lines):
+        score = sum(a * b for a, b in zip(features, weights, strict=True))
+        before = best[-1]
+        best.append(tuple(max(((before[x][0] + (pairs[x][y] if k else 0) + score * y, (*before[x][1], y)) for x in ((0, 1) if k else (y,))), key=lambda v: v[0]) for y in (0, 1)))
+    total = sum(n for _, n in lines)
+    path = max(best[-1], key=lambda v: v[0])[1] if lines else ()
+    return sum(n for (_, n), y in zip(lines, path, strict=True) if y) / max(total, 1)
+
+
+def statistics(text: str | None) -> list[float]:
+    """What the quality classifier sees of a text, by counting."""
+    text, w = text or "", words(text)
+    if not w:
+        return [0.0] * 21
+    n, sizes = len(w), [len(x) for x in w]
+    chars, lines = sum(sizes), [x for x in text.split("\n") if WORD.search(x)]
+    count = lambda of: sum(c in of for c in text)
+    _, _, symbols, again, covered, _ = line_counts(text)
+    mean, per_word = chars / n, Counter(w)
+    upper, digits = sum("A" <= c <= "Z" for c in text), sum("0" <= c <= "9" for c in text)
+    return [
+        math.log1p(n), mean, math.sqrt(max(sum(s * s for s in sizes) / n - mean * mean, 0)), math.log1p(max(sizes)), sum(s <= 3 for s in sizes) / n, symbols / chars, upper / chars, digits / chars, text.count("!") / chars, text.count("|") / n,
+        count("?.,;:-_/()[]\"'=+") / chars, sum(b >= 0xC0 for b in text.encode()) / chars, math.log1p(len(lines)), math.log1p(n / len(lines)), sum(x[-1] in ".!?" for x in lines) / len(lines), again / len(lines), covered / n, len(per_word) / n,
+        max(per_word.values()) / n, sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, sum("A" <= x[0] <= "Z" for x in w) / n,
+    ]
+
+
+def walked(row: list[float], base: float, feature, threshold, value) -> float:
+    """The score of one row of statistics, tree by tree and node by node."""
+    total = base
+    for f, t, v in zip(feature, threshold, value, strict=True):
+        node = 0
+        while node < len(f):
+            node = 2 * node + 1 + (row[f[node]] > t[node])
+        total += v[node - len(f)]
+    return 1 / (1 + math.exp(-total))
+
+
 KINDS = ("assign", "access", "hex")
 RULES = (re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+"))
 
