@@ -49,12 +49,21 @@ class Cache:
 
 
 def replay(requests: DataFrame, threshold: float = 0.92, ttl: float = 3600) -> DataFrame:
-    """requests (request_id, key, ts, vector) in order of (ts, request_id), each key on its own: hit or miss, similarity, entry."""
+    """requests (request_id, key, ts, vector) in order of (ts, request_id), each key on its own: hit or miss, similarity, entry.
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return Cache(threshold, ttl).rows(key[0], rows)
+    A key is served in order, so by one task, but that holds only a batch of its requests and the live entries.
+    """
 
-    return requests.select("request_id", "key", "ts", "vector").groupBy("key").applyInPandas(fold, REPLAYED)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, now = Cache(threshold, ttl), None
+        for batch in batches:
+            for key, rows in batch.groupby("key", sort=False, dropna=False):
+                if key != now:
+                    cache, now = Cache(threshold, ttl), key
+                yield cache.rows(key, rows)
+
+    rows = requests.select("request_id", "key", "ts", "vector").filter("key is not null")
+    return rows.repartition("key").sortWithinPartitions("key", "ts", "request_id").mapInPandas(fold, REPLAYED)
 
 
 def replay_stream(requests: DataFrame, threshold: float = 0.92, ttl: float = 3600) -> DataFrame:
