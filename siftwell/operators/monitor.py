@@ -175,13 +175,20 @@ def compare_indexes(blue: DataFrame, green: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def traced(spark: SparkSession, name: str) -> Iterator[dict[str, float]]:
-    """Tags all jobs of the block with `name`, for Spark's event log, and puts the time it took into the dict it gives."""
-    span: dict[str, float] = {}
+def traced(spark: SparkSession, name: str, **attributes: object) -> Iterator[dict[str, object]]:
+    """Tags all jobs of the block with `name`, for Spark's event log, and gives them `name.attribute` as properties.
+
+    The dict it gives holds the attributes and, in the end, the time that the block took.
+    """
+    span: dict[str, object] = dict(attributes)
     spark.sparkContext.addJobTag(name)
+    for key, value in attributes.items():
+        spark.sparkContext.setLocalProperty(f"{name}.{key}", str(value))
     began = time.perf_counter()
     try:
         yield span
     finally:
         span["t_total_ms"] = (time.perf_counter() - began) * 1000
         spark.sparkContext.removeJobTag(name)
+        for key in attributes:
+            spark.sparkContext.setLocalProperty(f"{name}.{key}", None)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,22 @@ Scorer = Callable[[list[str], list[str]], "np.ndarray"]
 PASSAGE = 800
 
 
+_makers: dict[str, Callable[[], Scorer]] = {}
+
+
+def register(name: str, make: Callable[[], Scorer]) -> None:
+    """Names a scorer of pairs; `make` runs when it is first asked for."""
+    _makers[name] = make
+    scorer.cache_clear()
+
+
+@cache
+def scorer(name: str) -> Scorer:
+    if name not in _makers:
+        raise ValueError(f"no scorer of that name: {name}; known: {', '.join(sorted(_makers)) or 'none'}")
+    return _makers[name]()
+
+
 def rescored(hits: DataFrame, top_k: int, name: str) -> DataFrame:
     """hits with new_score: the best top_k of each query, with pre_rank, pre_score and reranker."""
     rows = hits.withColumnsRenamed({"rank": "pre_rank", "score": "pre_score"})

@@ -385,6 +385,18 @@ def chunk_stride(spark, sf_dir):
     return chunking.stride(read(spark, sf_dir, "documents").filter("text IS NOT NULL"), 800, 700)
 
 
+SIZES = (400, 800, 1500, 3000)
+
+
+@query(" UNION ALL ".join(f"SELECT {n} AS size, count(*) AS chunks, round(avg(length(t)), 6) AS mean_chars FROM (SELECT substr(text, i * {n} + 1, {n}) AS t FROM (SELECT text, unnest(range(0, CAST(greatest(ceil((length(text) - {n}) / {n}.0), 0) AS BIGINT) + 1)) AS i FROM documents WHERE text IS NOT NULL))" for n in SIZES))
+def chunk_size_sweep(spark, sf_dir):
+    docs, out = read(spark, sf_dir, "documents").filter("text IS NOT NULL"), None
+    for n in SIZES:
+        row = chunking.stride(docs, n, n).agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg(F.length("text")), 6).alias("mean_chars")).withColumn("size", F.lit(n))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query()
 def chunk_recursive(spark, sf_dir):
     return chunking.fixed(docs_meta(spark, sf_dir).select("doc_id", "title", "text"))
@@ -561,16 +573,23 @@ def first_by_type_pivot(spark, sf_dir):
 
 DEPTHS = (10, 20, 50)
 SWEPT = ", ".join(
-    f"hits{n} AS (SELECT * FROM both_ WHERE rank <= {n}), fused{n} AS (SELECT qid, chunk_id, round(sum(1.0 / (rank - 1 + 61)), 9) AS score FROM hits{n} GROUP BY qid, chunk_id), best{n} AS (SELECT * FROM {ranked_sql(f'fused{n}', 5)}), {rows_sql(5, f'best{n}', f'r{n}')}"
+    f"""hits{n} AS (SELECT * FROM both_ WHERE rank <= {n}), fused{n} AS (SELECT qid, chunk_id, round(sum(1.0 / (rank - 1 + 61)), 9) AS score FROM hits{n} GROUP BY qid, chunk_id), best{n} AS (SELECT * FROM {ranked_sql(f'fused{n}', 5)}), {rows_sql(5, f'best{n}', f'rrf{n}')},
+    spread{n} AS (SELECT *, avg(score) OVER w AS m, stddev_samp(score) OVER w AS sd FROM hits{n} WINDOW w AS (PARTITION BY qid, source)),
+    scaled{n} AS (SELECT qid, chunk_id, round(sum(CASE WHEN sd IS NULL OR sd = 0 THEN 0.5 ELSE least(greatest((score - m) / (6 * sd) + 0.5, 0), 1) END), 6) AS score FROM spread{n} GROUP BY qid, chunk_id),
+    top{n} AS (SELECT * FROM {ranked_sql(f'scaled{n}', 5)}), {rows_sql(5, f'top{n}', f'dbsf{n}')}"""
     for n in DEPTHS
 )
 
 
-@query(f"WITH {bm25(50)}, {cosine_sql(50)}, both_ AS (SELECT * FROM sparse UNION ALL SELECT * FROM dense), {GOLDEN}, {SWEPT} " + " UNION ALL ".join(f"SELECT {n} AS depth, {SUMMARY} FROM r{n} WHERE n_sources > 0" for n in DEPTHS))
+@query(f"WITH {bm25(50)}, {cosine_sql(50)}, both_ AS (SELECT * FROM sparse UNION ALL SELECT * FROM dense), {GOLDEN}, {SWEPT} " + " UNION ALL ".join(f"SELECT '{f}' AS fusion, {n} AS depth, {SUMMARY} FROM {f}{n} WHERE n_sources > 0" for n in DEPTHS for f in ("rrf", "dbsf")))
 def fusion_sweep(spark, sf_dir):
     hits = stored(sparse_hits(spark, sf_dir, 50).unionByName(dense_hits(spark, sf_dir, 50)), "hits")
-    rows = [evaluate.summary(rows_of(spark, sf_dir, 5, fusion.rrf(hits.filter(F.col("rank") <= n))).filter("answerable")).withColumn("depth", F.lit(n)) for n in DEPTHS]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    out = None
+    for n in DEPTHS:
+        for name, fuse in (("rrf", fusion.rrf), ("dbsf", fusion.dbsf)):
+            row = evaluate.summary(rows_of(spark, sf_dir, 5, fuse(hits.filter(F.col("rank") <= n))).filter("answerable")).withColumns({"fusion": F.lit(name), "depth": F.lit(n)})
+            out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(f"WITH {bm25(40)}, {GOLDEN}, {', '.join(rows_sql(k, name=f'r{k}') for k in (5, 10, 20, 40))} " + " UNION ALL ".join(f"SELECT {k} AS depth, {SUMMARY} FROM r{k} WHERE n_sources > 0" for k in (5, 10, 20, 40)))
@@ -953,14 +972,36 @@ for _name in ("dense_topk", "dense_topk_filtered", "maxsim", "average_precision"
 # --- whole pipelines ------------------------------------------------------------------------------------------------
 
 
-@query()
+def searched_sql(asked: str, role: str, k: int) -> str:
+    """The hybrid search of pipelines for `asked` (qid, query): both rankings, 20 deep, over what a role may see, fused to `best`."""
+    where = f"status = 'current' AND list_has_any(access, ['all', '{role}'])"
+    rows = f"SELECT chunk_id AS id, text FROM docs_meta WHERE {where} UNION ALL SELECT -1 - qid, query FROM ({asked})"
+    return f"""{bm25(20, where=where, asked=asked)}, {HASHED.format(rows=rows)},
+    near AS (SELECT -1 - q.id AS qid, d.id AS chunk_id, round(sum(q.v * d.v) / any_value(nq.n) / any_value(nd.n), 6) AS score
+        FROM buckets AS q JOIN buckets AS d USING (b) JOIN norms AS nq ON nq.id = q.id JOIN norms AS nd ON nd.id = d.id WHERE q.id < 0 AND d.id >= 0 AND nq.n > 0 AND nd.n > 0 GROUP BY q.id, d.id),
+    dense AS (SELECT qid, chunk_id, score, rank, 'dense' AS source FROM {ranked_sql('near', 20)}),
+    hits AS (SELECT * FROM sparse UNION ALL SELECT * FROM dense), {rrf_sql(60, 1)}, best AS (SELECT * FROM {ranked_sql('fused', k)})"""
+
+
+THREE = "SELECT item_id * 10 AS qid, text AS query FROM benchmark UNION ALL SELECT item_id * 10 + 1, 'Variant A of the question' FROM benchmark UNION ALL SELECT item_id * 10 + 2, 'Variant B of the question' FROM benchmark"
+
+
+@query(f"""WITH {searched_sql(THREE, 'employee', 20)}, several AS (SELECT qid // 10 AS qid, chunk_id, round(sum(1.0 / (rank + 60)), 9) AS score FROM best GROUP BY ALL),
+    many AS (SELECT * FROM {ranked_sql('several', 20)}), {OVERLAP.replace('FROM sparse AS h', 'FROM many AS h')}
+    SELECT CAST(qid AS BIGINT) AS qid, chunk_id, chunk_id AS doc_id, score, rank FROM lexical WHERE rank <= 5""")
 def pipeline_retrieve(spark, sf_dir):
     index = Index.of(docs_meta(spark, sf_dir))
     hits = retrieve(PipelineConfig(rerank="lexical", transform="multi_query"), index, questions(spark, sf_dir), roles=("employee",))
     return hits.select("qid", "chunk_id", "doc_id", "score", "rank")
 
 
-@query()
+@query(f"""WITH {searched_sql('SELECT item_id AS qid, text AS query FROM benchmark', 'hr', 5)},
+    turned AS (SELECT qid, chunk_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank % 2 = 1 THEN rank ELSE 1000 - rank END) AS INTEGER) AS rank FROM best),
+    blocks AS (SELECT qid, rank, doc_id, concat('[', rank, '] Quelle: ', title, ' (', doc_id, ', Version ', version, ')', chr(10), text) AS block FROM turned AS s JOIN docs_meta AS d ON s.chunk_id = d.chunk_id),
+    packed AS (SELECT * FROM (SELECT *, sum(length(block)) OVER (PARTITION BY qid ORDER BY rank) AS upto FROM blocks) WHERE rank = 1 OR upto <= 6000),
+    sizes AS (SELECT qid, sum(length(block)) + 7 * (count(*) - 1) AS n, string_agg(doc_id, ',') FILTER (WHERE rank = 1) AS cited FROM packed GROUP BY qid),
+    told AS (SELECT qid, CAST(greatest(1, (n + length(text) + {len(transform.PROMPTS["answer"]) - 6}) // 4) AS INTEGER) AS input_tokens, cited FROM sizes JOIN benchmark ON item_id = qid)
+    SELECT qid, 'Offline answer [1]' AS text, input_tokens, CAST(12 AS INTEGER) AS output_tokens, FALSE AS is_no_answer, round(input_tokens / 1e6 * 0.2 + 12 / 1e6 * 1.2, 6) AS cost_usd, cited FROM told""")
 def pipeline_run(spark, sf_dir):
     index = Index.of(docs_meta(spark, sf_dir))
     answers, _ = run(PipelineConfig(reorder="lost_in_middle"), index, questions(spark, sf_dir), roles=("hr",))

@@ -56,7 +56,7 @@ class Index:
     parents: DataFrame | None = None
     postings: lexical.LexicalIndex | None = None
     chat: transform.Chat = field(default=transform.offline)
-    scorer: rerank.Scorer | None = None
+    scorer: rerank.Scorer | str | None = None  # or the name of a registered one
 
     @classmethod
     def of(cls, chunks: DataFrame, **more) -> Index:
@@ -109,7 +109,8 @@ def retrieve(config: PipelineConfig, index: Index, queries: DataFrame, roles: tu
     if config.rerank == "lexical" or (config.rerank == "pairs" and index.scorer is None):
         hits = rerank.lexical(hits, queries, index.chunks, config.k)
     elif config.rerank == "pairs":
-        hits = rerank.paired(hits, queries, index.chunks, index.scorer, config.k)
+        score = rerank.scorer(index.scorer) if isinstance(index.scorer, str) else index.scorer
+        hits = rerank.paired(hits, queries, index.chunks, score, config.k)
     elif config.rerank == "listwise":
         shown = rerank.passages(hits, queries, index.chunks)
         ask = F.concat(F.lit("Ordne die Passagen nach Relevanz, als JSON-Liste ihrer Nummern. Frage: "), "query", F.lit("\n"), "passages")

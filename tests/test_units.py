@@ -261,9 +261,21 @@ def test_golden_run(spark):
 
 
 def test_traced(spark):
-    with monitor.traced(spark, "unit") as span:
+    with monitor.traced(spark, "unit", k=5) as span:
+        assert spark.sparkContext.getLocalProperty("unit.k") == "5"
         spark.range(3).count()
-    assert span["t_total_ms"] > 0 and "unit" not in spark.sparkContext.getJobTags()
+    assert span["t_total_ms"] > 0 and span["k"] == 5 and "unit" not in spark.sparkContext.getJobTags()
+    assert spark.sparkContext.getLocalProperty("unit.k") is None
+
+
+def test_named_scorers(spark):
+    made = []
+    rerank.register("length", lambda: made.append(1) or (lambda q, t: np.array([len(x) for x in t])))
+    asked = spark.createDataFrame([(1, "Urlaub Monate")], "qid int, query string")
+    index, config = Index(chunks(spark), scorer="length"), PipelineConfig(retrieval="sparse", rerank="pairs", k=1)
+    assert [r["chunk_id"] for r in retrieve(config, index, asked, ()).collect()] == ["c2"] and rerank.scorer("length") and made == [1]
+    with pytest.raises(ValueError, match="length"):
+        rerank.scorer("other")
 
 
 def test_config_is_checked():
@@ -278,6 +290,11 @@ def test_cache_replay_on_a_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "request_id long, key string, s double, vector array<double>").selectExpr("request_id", "key", "timestamp_seconds(s) AS ts", "vector")
     want = sorted(map(tuple, stateful.replay(df, 0.9, 600).collect()))
     assert {r[2] for r in want} == {"hit", "miss"}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, stateful.replay(df, 0.9, 600).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for part in range(2):
         df.filter(f"request_id div 20 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
