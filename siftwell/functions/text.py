@@ -23,7 +23,10 @@ HIDDEN_CHARACTERS = "​‌‍⁠﻿"
 
 def stem(token: Column) -> Column:
     """Drops the first ending that fits, once, from tokens of six characters or more."""
-    return F.regexp_replace(token, rf"^(?=.{{6,}})(.*?)({'|'.join(ENDINGS)})$", "$1")
+    out = F.when(F.length(token) < 6, token)
+    for ending in ENDINGS:
+        out = out.when(F.endswith(token, F.lit(ending)), F.left(token, F.length(token) - len(ending)))
+    return out.otherwise(token)
 
 
 def tokenize(text: Column) -> Column:

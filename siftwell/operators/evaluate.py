@@ -35,7 +35,8 @@ def retrieval_rows(golden: DataFrame, hits: DataFrame, k: int) -> DataFrame:
 def summary(rows: DataFrame, by: str | None = None) -> DataFrame:
     """n, hit_rate, recall, mrr, p_at_1 (rounded to three digits), in total or by a column; avg_ms if rows have t_retrieval_ms."""
     first = F.coalesce(F.col("first_rank") == 1, F.lit(False))
-    share = lambda c: F.round(F.avg(c.cast("double")), 3)
+    # first to nine digits, so that no sum's order decides a half
+    share = lambda c: F.round(F.round(F.avg(c.cast("double")), 9), 3)
     columns = [F.count(F.lit(1)).alias("n"), share(F.col("hit")).alias("hit_rate"), share(F.col("recall")).alias("recall"), share(F.col("rr")).alias("mrr"), share(first).alias("p_at_1")]
     if "t_retrieval_ms" in rows.columns:
         columns.append(F.bround(F.avg("t_retrieval_ms"), 0).alias("avg_ms"))

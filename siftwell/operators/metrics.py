@@ -83,5 +83,5 @@ def metric_table(rows: DataFrame, provider: Chat = offline, embedder: Embedder =
 
 def metrics_summary(table: DataFrame, by: str | None = None) -> DataFrame:
     """The mean of each metric, to three digits, in total or by a column."""
-    means = [F.round(F.avg(c), 3).alias(c) for c in METRICS if c in table.columns]
+    means = [F.round(F.round(F.avg(c), 9), 3).alias(c) for c in METRICS if c in table.columns]
     return (table.groupBy(by) if by else table).agg(*means)

@@ -515,7 +515,7 @@ def rows_sql(k: int, hits: str = "sparse", name: str = "rows") -> str:
     FROM golden_bench AS g LEFT JOIN sources AS s ON s.qid = g.id LEFT JOIN {hits} AS h ON h.qid = g.id AND h.chunk_id = s.doc_id AND h.rank <= {k} GROUP BY g.id, g.type, g.n_sources)"""
 
 
-SUMMARY = "count(*) AS n, round(avg(CAST(hit AS INTEGER)), 3) AS hit_rate, round(avg(recall), 3) AS recall, round(avg(rr), 3) AS mrr, round(avg(CASE WHEN first_rank = 1 THEN 1 ELSE 0 END), 3) AS p_at_1"
+SUMMARY = "count(*) AS n, round(round(avg(CAST(hit AS INTEGER)), 9), 3) AS hit_rate, round(round(avg(recall), 9), 3) AS recall, round(round(avg(rr), 9), 3) AS mrr, round(round(avg(CASE WHEN first_rank = 1 THEN 1 ELSE 0 END), 9), 3) AS p_at_1"
 
 
 def rows_of(spark, sf_dir, k: int, hits: DataFrame) -> DataFrame:
@@ -661,7 +661,7 @@ def metric_table(spark, sf_dir):
     return metric_rows(spark, sf_dir)
 
 
-@query(f"WITH {METRIC} SELECT round(avg(context_precision), 3) AS context_precision, round(avg(context_recall), 3) AS context_recall, round(avg(faithfulness), 3) AS faithfulness, round(avg(answer_relevancy), 3) AS answer_relevancy FROM metric")
+@query(f"WITH {METRIC} SELECT round(round(avg(context_precision), 9), 3) AS context_precision, round(round(avg(context_recall), 9), 3) AS context_recall, round(round(avg(faithfulness), 9), 3) AS faithfulness, round(round(avg(answer_relevancy), 9), 3) AS answer_relevancy FROM metric")
 def metrics_summary(spark, sf_dir):
     return metrics.metrics_summary(metric_rows(spark, sf_dir))
 
