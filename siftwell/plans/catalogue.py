@@ -78,8 +78,8 @@ def holding(items: DataFrame, docs: DataFrame) -> DataFrame:
     run = lambda t, i: F.xxhash64(*(F.get(t, i + k) for k in range(MEET)))
     long = items.filter(F.size("t") >= MEET + 2).select("item_id", "text", run(F.col("t"), F.lit(1)).alias("h"))
     windows = docs.select("doc_id", split(F.col("body")).alias("t")).filter(F.size("t") >= MEET)
-    windows = windows.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("t") - MEET), lambda i: run(F.col("t"), i)))).alias("h"))
-    met = windows.join(long, "h").select("item_id", "text", "doc_id")
+    windows = windows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("t") - MEET), lambda i: run(F.col("t"), i))).alias("h"))
+    met = windows.join(long, "h").select("item_id", "text", "doc_id").distinct()
     found = met.join(docs, "doc_id").filter(F.contains("body", "text")).select("item_id", "doc_id")
     short = items.filter(F.size("t") < MEET + 2).join(docs, F.contains("body", "text")).select("item_id", "doc_id")
     return found.union(short)
