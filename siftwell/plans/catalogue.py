@@ -16,7 +16,7 @@ from siftwell.functions import text as tx
 from siftwell.functions import vectors as vec
 from siftwell.operators import chunking, context, dense, evaluate, fusion, lexical, metrics, monitor, rerank, security, transform
 from siftwell.operators.filters import Filter, golden, post_filter_loss, top
-from siftwell.plans.pipeline import Index, PipelineConfig, evaluate_retrieval, retrieve, run
+from siftwell.plans.pipeline import Index, PipelineConfig, evaluate_retrieval, retrieve, run, run_golden
 from siftwell.sources import corpus
 from siftwell.sources.scratch import stored
 from siftwell.streaming import stateful
@@ -454,8 +454,9 @@ def lost_in_middle(spark, sf_dir):
     return context.lost_in_middle(sparse_hits(spark, sf_dir, 9)).select("qid", "chunk_id", "rank")
 
 
-BLOCKS = f"""{bm25(8)}, blocks AS (SELECT qid, rank, s.chunk_id, doc_id, concat('[', rank, '] Quelle: ', title, ' (', doc_id, ', Version ', version, ')', chr(10), text) AS block FROM sparse AS s JOIN docs_meta AS d ON s.chunk_id = d.chunk_id),
+PACKED = """blocks AS (SELECT qid, rank, s.chunk_id, doc_id, concat('[', rank, '] Quelle: ', title, ' (', doc_id, ', Version ', version, ')', chr(10), text) AS block FROM sparse AS s JOIN docs_meta AS d ON s.chunk_id = d.chunk_id),
 packed AS (SELECT * FROM (SELECT *, sum(length(block)) OVER (PARTITION BY qid ORDER BY rank) AS upto FROM blocks) WHERE rank = 1 OR upto <= 6000)"""
+BLOCKS = f"{bm25(8)}, {PACKED}"
 
 
 def packed(spark, sf_dir):
@@ -692,6 +693,17 @@ def failure_classify(spark, sf_dir):
     return e2e(spark, sf_dir).select("id", "type", "failure")
 
 
+@query(f"""WITH {bm25(5, where=OPEN_TO_HR)}, {PACKED}, {GOLDEN}, {rows_sql(1000, 'packed')}
+    SELECT id, type, hit, round(recall, 6) AS recall, first_rank, CASE WHEN n_sources = 0 THEN 'halluzination_statt_absage' WHEN NOT hit THEN 'retrieval:missing_evidence' WHEN recall < 1 THEN 'retrieval:partial_evidence'
+        WHEN first_rank > 2 THEN 'generation:context_noise' ELSE 'generation:wrong_answer' END AS failure FROM rows""")
+def golden_run(spark, sf_dir):
+    """The offline judge finds no answer right."""
+    asked = questions(spark, sf_dir).selectExpr("qid AS id", "query AS question", "'r' AS ground_truth")
+    items = stored(golden_bench(spark, sf_dir).join(asked, "id"), "golden")
+    rows = run_golden(PipelineConfig(retrieval="sparse"), Index(docs_meta(spark, sf_dir)), items, ("hr",))
+    return rows.select("id", "type", "hit", F.round("recall", 6).alias("recall"), "first_rank", "failure")
+
+
 @query(f"WITH {E2E} SELECT failure, count(*) FILTER (WHERE type = 'fact') AS fact, count(*) FILTER (WHERE type = 'table') AS \"table\", count(*) FILTER (WHERE type = 'hop') AS hop FROM failed GROUP BY failure")
 def failure_pivot(spark, sf_dir):
     return evaluate.failure_pivot(e2e(spark, sf_dir), ["fact", "table", "hop"])
