@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 
 from siftwell.functions import vectors as vec
-from siftwell.operators import dense, evaluate, monitor
+from siftwell.operators import chunking, dense, evaluate, monitor
 from siftwell.plans import catalogue
+from siftwell.streaming import stateful
 
 N, DIM = 437, 6
 
@@ -101,3 +102,49 @@ def test_dense_search_beyond_one_scan(spark, tables, vectors, monkeypatch):
     got = dense.search(v.withColumnRenamed("chunk_id", "qid"), v, 5).collect()
     scores = cosines(vectors[0]).round(6)
     assert sorted((r["qid"], r["rank"], r["chunk_id"]) for r in got) == [(q, k, int(c)) for q in range(N) for k, c in enumerate(np.lexsort((np.arange(N), -scores[q]))[:5], 1)]
+
+
+def test_cached_runs_against_a_plain_replay(spark, vectors):
+    """In order of time a request takes the nearest live entry of its key, or becomes one itself."""
+    v, rng = vectors[0][:200].copy(), np.random.default_rng(9)
+    v[120:160] = v[:40]
+    at, key = rng.integers(0, 400, 200), rng.integers(0, 3, 200)
+    rows = [(k, f"r{key[k]}", v[k].tolist(), int(at[k])) for k in range(200)]
+    requests = spark.createDataFrame(rows, "request_id long, key string, vector array<float>, s long").selectExpr("request_id", "key", "vector", "timestamp_seconds(s) AS ts").repartition(3)
+    scores, live, want = cosines(v).round(6), {}, {}
+    for q in sorted(range(200), key=lambda k: (at[k], k)):
+        entries = [e for e in live.get(key[q], []) if at[q] - at[e] <= 90]
+        best = max(entries, key=lambda e: (scores[q, e], -entries.index(e)), default=None)
+        hit = best is not None and scores[q, best] >= 0.8
+        want[q] = ("hit" if hit else "miss", int(best) if hit else None)
+        live[key[q]] = entries if hit else [*entries, q]
+    replayed = stateful.replay(requests, 0.8, 90)
+    assert {r["request_id"]: (r["cache"], r["entry_id"]) for r in replayed.collect()} == want
+    runs = requests.selectExpr("request_id", "concat('a', request_id) AS answer", "10.0D * request_id AS t_total_ms", "1.0D AS cost_usd")
+    got = {r["request_id"]: (r["answer"], r["cost_usd"], r["saved_ms"]) for r in monitor.cached_run(replayed, runs).collect()}
+    assert got == {q: (f"a{e}", 0.0, 10.0 * e) if c == "hit" else (f"a{q}", 1.0, 0.0) for q, (c, e) in want.items()}
+    assert 10 < sum(c == "hit" for c, _ in want.values()) < 190
+
+
+def test_chunks_cover_their_texts(spark):
+    """Pieces of each splitter are stretches of the text, in order, bounded, and leave out nothing but blanks."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 9)))
+    texts = ["".join(word() + rng.choice([" ", " ", " ", "\n", "\n\n"]) for _ in range(rng.randint(0, 900))) for _ in range(12)]
+    docs = spark.createDataFrame([(k, f"T{k}", t) for k, t in enumerate(texts)], "doc_id long, title string, text string")
+    children, parents = chunking.parent_child(docs, 700, 150, 20)
+    for chunks, size, lead in ((chunking.fixed(docs, 300, 50), 300, False), (chunking.by_headings(docs, 700), 700, True), (children, 150, True)):
+        found = {}
+        for r in chunks.orderBy("doc_id", "chunk_index", *(["child_index"] if "child_index" in chunks.columns else [])).collect():
+            body = r["text"].split("\n", 1)[1] if lead else r["text"]
+            assert len(body) <= size and body.strip()
+            found.setdefault(r["doc_id"], []).append(body)
+        for k, text in enumerate(texts):
+            squeezed, upto = "".join(text.split()), 0
+            for body in found.get(k, []):
+                piece = "".join(body.split())
+                at = max(a for a in range(max(0, upto - 120), upto + 1) if squeezed.startswith(piece, a))
+                upto = max(upto, at + len(piece))
+            assert upto == len(squeezed)
