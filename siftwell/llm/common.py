@@ -26,13 +26,17 @@ _POWERS = np.ones(1, np.uint64)
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch whose texts have about `most` bytes; a longer single text is a part of its own."""
+    """Consecutive parts of a batch whose texts have about `most` bytes; a longer single text is a part of its own.
+
+    After them, memory that Arrow has kept from earlier batches goes back to the machine: workers live on between stages.
+    """
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, at = np.cumsum(size), 0
     while at < len(size):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

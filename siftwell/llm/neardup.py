@@ -195,10 +195,11 @@ def _reachable(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False) // 8
-            at = pa.array(np.repeat(np.arange(len(batch)), size))
-            hashes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(hashes)], ["node", "n", "c", "h"])
+            for part in slices(batch, 3):
+                size = pc.binary_length(part.column(3)).to_numpy(zero_copy_only=False) // 8
+                at = pa.array(np.repeat(np.arange(len(part)), size))
+                hashes = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in range(3)), pa.array(hashes)], ["node", "n", "c", "h"])
 
     rows = nodes.join(sets, "node").select("node", "n", "c", "hashes").mapInArrow(spelled, "node long, n long, c long, h long")
     several = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("f")).filter("low < high")
@@ -231,19 +232,19 @@ def _differences(stars: DataFrame, sets: DataFrame, own: DataFrame, percent: int
     rows = stars.join(own, "node").join(sets.withColumnRenamed("hashes", "y"), "node").join(centres, "p")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, which = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+        for part in (part for batch in batches for part in slices(batch, 2)):
+            ids, which = np.unique(part.column(0).to_numpy(), return_inverse=True)
             lost: list[list[np.ndarray]] = [[] for _ in ids]
-            for k, x, y in zip(which.tolist(), batch.column(1), batch.column(2), strict=True):
+            for k, x, y in zip(which.tolist(), part.column(1), part.column(2), strict=True):
                 lost[k].append(np.setdiff1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
             e, f = zip(*(np.unique(np.concatenate(x), return_counts=True) for x in lost), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(ids, [len(x) for x in e]), np.concatenate(e).view(np.int64), np.concatenate(f))], ["p", "e", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch, 5)):
             out: list[tuple[np.ndarray, ...]] = []
-            n = batch.column(2).to_numpy()
-            for k, (x, y, own, lost) in enumerate(zip(*(batch.column(c) for c in range(4, 8)), strict=True)):
+            n = part.column(2).to_numpy()
+            for k, (x, y, own, lost) in enumerate(zip(*(part.column(c) for c in range(4, 8)), strict=True)):
                 centre, whole = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
                 e, f = (np.concatenate([own.values.field(c).to_numpy(), lost.values.field(c).to_numpy() if lost.is_valid else np.zeros(0, np.int64)]) for c in ("h", "f"))
                 differ = np.isin(e, whole) ^ np.isin(e, centre)
@@ -256,7 +257,7 @@ def _differences(stars: DataFrame, sets: DataFrame, own: DataFrame, percent: int
                     out.append((np.full(some, k), e[np.lexsort((e, f))[:some]], np.full(some, d), np.full(some, m), at, at < few))
             if out:
                 k, *rest = map(np.concatenate, zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(k)) for c in range(4)), *map(pa.array, rest)], ["p", "node", "n", "c", "e", "d", "m", "at", "index"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(k)) for c in range(4)), *map(pa.array, rest)], ["p", "node", "n", "c", "e", "d", "m", "at", "index"])
 
     # of p's own shingles, so no more than it has
     lost = rows.select("p", "x", "y").mapInArrow(counted, "p long, e long, f long").groupBy("p", "e").agg(F.sum("f").alias("f"))
