@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import ranked, slices, stored
-from siftwell.llm.tokens import Encoder
+from siftwell.llm.tokens import ENCODED, Encoder
 
 SEQUENCE = 2048
 #: Width of a length class.  A sequence loses half of it a piece on average.
@@ -93,9 +93,9 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 1, sequence: int = SEQUEN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.of(tokenizer, end)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, ENCODED):
                 rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     n, view = len(ids) // 4, memoryview(ids)
                     for a in range(0, n, sequence):
                         b = min(a + sequence, n)
