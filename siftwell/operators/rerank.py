@@ -7,11 +7,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import rank_list, tokenize
-from siftwell.functions.vectors import dot
 from siftwell.operators.filters import top
 
 Scorer = Callable[[list[str], list[str]], "np.ndarray"]
@@ -68,10 +68,21 @@ def max_sim(hits: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame,
     """Late interaction: for each query token vector its best dot product with a chunk's token vectors, summed.
 
     query_vectors (qid, token, vector) and chunk_vectors (chunk_id, vector) have a row a token; chunks without score 0.
+    Vectors have one length.  A query's and a chunk's tokens are gathered, so a hit is one row and one matrix product.
     """
-    asked, own = query_vectors.select("qid", "token", F.col("vector").alias("qv")), chunk_vectors.select("chunk_id", F.col("vector").alias("cv"))
-    best = hits.select("qid", "chunk_id").join(asked, "qid").join(own, "chunk_id").groupBy("qid", "chunk_id", "token").agg(F.max(dot(F.col("qv"), F.col("cv"))).alias("m"))
-    sums = best.groupBy("qid", "chunk_id").agg(F.round(F.sum("m"), 6).alias("new_score"))
+    asked = query_vectors.filter("vector is not null").groupBy("qid").agg(F.collect_list("vector").alias("q"))
+    own = chunk_vectors.filter("vector is not null").groupBy("chunk_id").agg(F.collect_list("vector").alias("c"))
+    rows = hits.select("qid", "chunk_id").join(asked, "qid").join(own, "chunk_id").select("qid", "chunk_id", "q", "c")
+    matrix = lambda vectors: vectors.values.flatten().to_numpy().reshape(len(vectors.values), -1).astype(float)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [(matrix(q) @ matrix(c).T).max(1).sum() for q, c in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sums, pa.float64())], ["qid", "chunk_id", "s"])
+
+    kinds = dict(rows.dtypes)
+    sums = rows.mapInArrow(products, f"qid {kinds['qid']}, chunk_id {kinds['chunk_id']}, s double")
+    sums = sums.select("qid", "chunk_id", F.round("s", 6).alias("new_score"))
     return rescored(hits.join(sums, ["qid", "chunk_id"], "left").withColumn("new_score", F.coalesce("new_score", F.lit(0.0))), top_k, "maxsim")
 
 
