@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import mixing, neardup, packing, quality, rules, secrets, substring, tokens, topk, urls
+from siftwell.llm import fingerprints, mixing, neardup, packing, quality, rules, secrets, substring, tokens, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,7 +69,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_token_files, op4_near_duplicates, op5_top_k, op6_repeated_passages, op7_quality_rules, op8_mixing, op9_packing, op10_secret_scan)}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_token_files, op4_near_duplicates, op5_top_k, op6_repeated_passages, op7_quality_rules, op8_mixing, op9_packing, op10_secret_scan, op11_fingerprints)}
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": """
         WITH r AS (
