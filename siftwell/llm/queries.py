@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import fingerprints, mixing, neardup, packing, quality, rules, secrets, substring, tokens, topk, urls
+from siftwell.llm import audit, fingerprints, mixing, neardup, packing, quality, rules, secrets, substring, tokens, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,7 +73,11 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_token_files, op4_near_duplicates, op5_top_k, op6_repeated_passages, op7_quality_rules, op8_mixing, op9_packing, op10_secret_scan, op11_fingerprints)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_token_files, op4_near_duplicates, op5_top_k, op6_repeated_passages, op7_quality_rules, op8_mixing, op9_packing, op10_secret_scan, op11_fingerprints, op12_filter_audit)}
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": """
         WITH r AS (
@@ -124,4 +128,33 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s
         )
         SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10""",
+    "op12_filter_audit": """
+        WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        m AS (SELECT text, min(doc_id) AS least FROM w GROUP BY text),
+        l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+        f AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CAST(len(ws) < 200 AS INTEGER)
+                + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INTEGER)
+                + 4 * CAST(100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 3 * length(w.text) AS INTEGER)
+                + 8 * CAST(regexp_matches(w.text, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(w.doc_id > least, false) AS INTEGER) AS fails
+            FROM w JOIN m USING (text) LEFT JOIN l ON l.doc_id = w.doc_id
+        ), g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+        s AS (
+            SELECT p.part, u.s, coalesce(sum(n) FILTER (fails & s = 0), 0) AS n, coalesce(sum(good) FILTER (fails & s = 0), 0) AS good, coalesce(sum(toxic) FILTER (fails & s = 0), 0) AS toxic
+            FROM (SELECT DISTINCT part FROM g) AS p CROSS JOIN (SELECT unnest(range(32)) AS s) AS u JOIN g USING (part) GROUP BY p.part, u.s
+        ), c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+        o AS (
+            SELECT a.c || b.c || d.c || e.c || f.c AS filter_order FROM c AS a JOIN c AS b ON b.c <> a.c JOIN c AS d ON d.c NOT IN (a.c, b.c)
+                JOIN c AS e ON e.c NOT IN (a.c, b.c, d.c) JOIN c AS f ON f.c NOT IN (a.c, b.c, d.c, e.c)
+        ), t AS (
+            SELECT filter_order, CAST(k AS INTEGER) AS step, filter_order[k] AS filter, CAST(1 << (strpos('ABCDE', filter_order[k]) - 1) AS INTEGER) AS own,
+                CAST(list_sum(list_transform(range(1, k), lambda i: 1 << (strpos('ABCDE', filter_order[i]) - 1))) AS INTEGER) AS before
+            FROM o, (SELECT unnest(range(1, 6)) AS k)
+        ), r AS (
+            SELECT x.part, filter_order, step, filter, y.n AS kept, x.n - y.n AS removed, z.n - h.n - (x.n - y.n) AS redundant, v.n - q.n AS unique_fails, x.good - y.good AS good_lost, x.toxic - y.toxic AS toxic_lost
+            FROM t JOIN s AS x ON x.s = coalesce(before, 0) JOIN s AS y ON y.part = x.part AND y.s = coalesce(before, 0) | own JOIN s AS z ON z.part = x.part AND z.s = 0
+                JOIN s AS h ON h.part = x.part AND h.s = own JOIN s AS v ON v.part = x.part AND v.s = 31 - own JOIN s AS q ON q.part = x.part AND q.s = 31
+        )
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+            CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r""",
 }
