@@ -79,7 +79,7 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def packed(bits: np.ndarray) -> np.ndarray:
     """Rows of booleans to rows of 64-bit words."""
-    data = np.packbits(bits, axis=-1, bitorder="little")
+    data = np.packbits(np.ascontiguousarray(bits), axis=-1, bitorder="little")
     return np.pad(data, [(0, 0)] * (data.ndim - 1) + [(0, -data.shape[-1] % 8)]).view(np.uint64)
 
 
