@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import audit, fingerprints, mixing, neardup, packing, quality, rules, secrets, substring, tokens, topk, urls
+from siftwell.llm import audit, conversations, fingerprints, mixing, neardup, packing, quality, rules, secrets, substring, tokens, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,7 +77,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_token_files, op4_near_duplicates, op5_top_k, op6_repeated_passages, op7_quality_rules, op8_mixing, op9_packing, op10_secret_scan, op11_fingerprints, op12_filter_audit)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_token_files, op4_near_duplicates, op5_top_k, op6_repeated_passages, op7_quality_rules, op8_mixing, op9_packing, op10_secret_scan, op11_fingerprints, op12_filter_audit, op13_conversation_repair)}
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": """
         WITH r AS (
