@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -161,4 +162,50 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
             CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r""",
+    "op13_conversation_repair": """
+        WITH RECURSIVE k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes
+            FROM conversations
+        ), d AS (
+            SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+                lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST(range(8) AS BIGINT[])), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 20 AS kind
+            FROM k
+        ), e AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM d
+        ), o AS (
+            SELECT conv_id, turn, role, text, row_number() OVER w AS pos, substr(role, 1, 1) AS initial, lead(substr(role, 1, 1)) OVER w AS following,
+                right(rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 1) AS final
+            FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)
+        ), f AS (
+            SELECT *, CASE WHEN final = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o
+        ), r AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, '00000000' AS st, CAST(NULL AS VARCHAR) AS sy, CAST(NULL AS VARCHAR) AS us, CAST(NULL AS VARCHAR) AS ai FROM conversations
+            UNION ALL
+            SELECT conv_id, pos, DELETE(st), least(CASE WHEN free AND initial = 's' THEN KEEP(st) END, DELETE(sy)),
+                least(DELETE(u), CASE WHEN free THEN least(REROLE(st), REROLE(sy), REROLE(a)) END, CASE WHEN free AND initial = 'u' THEN least(KEEP(st), KEEP(sy), KEEP(a)) END),
+                least(DELETE(a), CASE WHEN free THEN REROLE(u) END, CASE WHEN free AND initial = 'a' THEN KEEP(u) END)
+            FROM (SELECT *, least(ai, INSERT(u)) AS a FROM (
+                SELECT r.conv_id, f.pos, st, sy, ai, initial, fault NOT IN ('blank', 'duplicate') AS free, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more, least(us, INSERT(st), INSERT(sy), INSERT(ai)) AS u
+                FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.pos = r.pos + 1))
+        ), z AS (
+            SELECT conv_id, max_by(least(st, a), pos) AS best FROM (SELECT *, least(ai, INSERT(u)) AS a FROM (SELECT *, least(us, INSERT(st), INSERT(sy), INSERT(ai)) AS u FROM r)) GROUP BY conv_id
+        ), l AS (SELECT conv_id, substr(best, 9) AS audit, unnest(range(1, length(best) - 7)) AS i FROM z),
+        m AS (SELECT conv_id, i, audit[i] AS edit, count(*) FILTER (audit[i] <> 'I') OVER w AS pos, count(*) FILTER (audit[i] <> 'D') OVER w AS nth FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+        t AS (
+            SELECT m.conv_id, i, edit, m.nth, f.role, f.text, max(CASE WHEN edit = 'K' AND m.nth = 1 AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY m.conv_id) AS system
+            FROM m LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.pos = m.pos AND edit <> 'I' WHERE edit <> 'D'
+        ), h AS (
+            SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY i) AS repaired FROM t GROUP BY conv_id
+        ), c AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (initial || following NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+        )
+        SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            CAST(best[1:8] AS BIGINT) AS cost, substr(best, 9) AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM z LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM z.conv_id""",
 }
+#: In op13's SQL an item is its cost, in eight digits, and its audit, so the least of some strings is the least item.
+for _edit, _cost in {"KEEP": "more", "REROLE": "3 + more", "DELETE": "4", "INSERT": "3"}.items():
+    ORACLE_SQL["op13_conversation_repair"] = re.sub(_edit + r"\((\w+)\)", lambda m: f"lpad(CAST(CAST(substr({m[1]}, 1, 8) AS INTEGER) + {_cost} AS VARCHAR), 8, '0') || substr({m[1]}, 9) || '{_edit[0]}'", ORACLE_SQL["op13_conversation_repair"])  # noqa: B023
