@@ -11,6 +11,7 @@ decoded anew (the least content-like ones of a document are boilerplate in any c
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -221,11 +222,18 @@ def _best_share(x: np.ndarray, words: np.ndarray, sizes: np.ndarray, good: np.nd
     return max((s / 20 for s in range(1, 20)), key=lambda s: (round(right(s), 6), -abs(s - 0.5)))
 
 
+def _drawn(rows: np.ndarray, doc_id: int) -> np.ndarray:
+    """FIT_LINES consecutive rows, from a place that a hash of doc_id draws among all; all of fewer."""
+    at = zlib.crc32(str(doc_id).encode()) % max(1, len(rows) - FIT_LINES + 1)
+    return rows[at : at + FIT_LINES]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
     """A field from labels of documents, `quality`.
 
     Uses at most FIT_DOCS documents of either label (the first by a hash of doc_id, out of those whose crc32(doc_id)
-    mod 4 is not 2), and of a longer one the first FIT_LINES lines with words.  A label that is null or given both ways
+    mod 4 is not 2), and of a longer one a chain of FIT_LINES lines with words, from a place in the whole text that a
+    hash of doc_id draws.  A label that is null or given both ways
     counts for nothing; so do texts without words.  Of rows with one doc_id each counts.  Without documents of both
     labels, as in empty tables, the field is the default one.
     """
@@ -241,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
             for part in slices(batch, 1):
                 found = Lines(part.column(1))
                 rows = np.concatenate([found.features, found.line_words[:, None]], axis=1).astype(np.float32)
-                rows = [r[:FIT_LINES].tobytes() for r in np.split(rows, found.line_ends[:-1])]
+                rows = [_drawn(r, i).tobytes() for r, i in zip(np.split(rows, found.line_ends[:-1]), part.column(0).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["doc_id", "rows"])
 
     ids = docs.sparkSession.createDataFrame([(int(k),) for k in picked], "doc_id long")
