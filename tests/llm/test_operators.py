@@ -483,8 +483,38 @@ def test_ledger_scans_each_blob_once(spark, tmp_path):
     assert secrets.update(ledger, first).count() == 3
     assert secrets.update(ledger, second).count() == 4
     assert {r["doc_id"]: r["n_assign"] for r in secrets.report(second, ledger).collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1, 6: 0}
-    # rules of another version are scanned anew
-    assert secrets.update(ledger, first, secrets.BASE).count() == 3
+    updates = lambda: secrets._updates(spark, ledger)
+    rows = lambda path: sorted((len(r["rules"]), len(r["found"])) for r in spark.read.schema(secrets.LEDGER).parquet(path).collect())
+    sizes = Counter(len(rows(p)) for p in updates())
+    assert sizes == {4: 1, 1: 1, 0: 1} or sizes == {3: 1, 1: 1, 0: 1}  # the report had nothing left to scan
+    # a rule that is new is scanned, and no other one
+    before, more = set(updates()), (*secrets.RULES, secrets.Rule("word", "clean", 0, 1))
+    got = {r["blob"]: r["found"] for r in secrets.update(ledger, second, more).collect()}
+    (new,) = set(updates()) - before
+    assert rows(new) == [(1, 0), (1, 0), (1, 0), (1, 1)] and sorted(len(f) for f in got.values()) == [0, 1, 1, 1]
+    # without it, and for fewer rules, nothing is left to scan
+    assert sorted(len(r["found"]) for r in secrets.update(ledger, first, secrets.BASE).collect()) == [0, 0, 1, 1]
+    assert rows(next(iter(set(updates()) - before - {new}))) == []
+    want = sorted(map(str, secrets.findings(spark, ledger, more).collect()))
+    secrets.compact(spark, ledger)
+    assert len(updates()) == 1 and sorted(map(str, secrets.findings(spark, ledger, more).collect())) == want
+
+
+def test_spans_of_all_kinds(spark, docs, rows):
+    """Every rule, the added ones too, against the same patterns by another engine."""
+    import re
+
+    rng = __import__("random").Random(3)
+    pieces = ["-----BEGIN RSA PRIVATE KEY-----\nabc+/=\n-----END RSA PRIVATE KEY-----", "ghp_" + "a1B2" * 9, "gho_" + "z" * 40, "xoxb-123456789-abc", "xoxz-123456789", "eyJabcdefghi.eyJabcdefghi.abcdefgh_-", "AKIA" + "Q" * 16, "AKIAQ", "0f" * 13, "0f" * 9, "token=abc", "api_key: 'abcdef'", "\u00e4\U0001f642", " ", "\n", "plain"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", "", "\n"]) for _ in range(rng.randint(1, 9))) for _ in range(300)] + [r[1] for r in rows]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    python = [re.compile(r.pattern.replace("(?i:", "(?ai:")) for r in secrets.RULES]
+    want = {}
+    for k, text in enumerate(texts):
+        spans = [(m.start(), n, m.end()) for n, (p, r) in enumerate(zip(python, secrets.RULES, strict=True)) for m in p.finditer(text or "") if len(m[r.group]) >= r.least]
+        want[k] = ",".join(f"{secrets.RULES[n].kind}:{a}:{b}" for a, n, b in sorted(spans))
+    assert {r["doc_id"]: r["spans"] for r in secrets.report(table).collect()} == want
+    assert all(any(f"{r.kind}:" in s for s in want.values()) for r in secrets.RULES)
 
 
 def test_redaction(docs, rows):
