@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,26 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (length(a) * length(b))
 
 
+def sound(a: Column) -> Column:
+    """Whether a vector can be compared: not null, not empty, and without null or non-finite components."""
+    whole = F.forall(a, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))  # NaN is above infinity
+    return F.coalesce(a.isNotNull() & (F.size(a) > 0) & whole, F.lit(False))
+
+
+def units(vectors: Iterable[np.ndarray | list | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per length, places and rows of length 1 of the vectors that are sound; zeros stay as they are."""
+    vectors = list(vectors)
+    sizes = np.array([0 if v is None else len(v) for v in vectors])
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        x = np.array([vectors[k] for k in at], float)  # a null component becomes NaN
+        fine = np.isfinite(x).all(1)
+        at, x = at[fine], x[fine]
+        x /= np.where((n := np.linalg.norm(x, axis=1)) == 0, 1, n)[:, None]
+        if len(at):
+            yield at, x
+
+
 def hash_embed(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, vector): each word adds 1 or -1 to one of HASH_DIM buckets, by its MD5; vectors have length 1 (or are zero).
 
@@ -64,16 +84,6 @@ def embed(rows: DataFrame, key: str, text: str, provider: Callable[[list[str]],
     return rows.select(key, run(F.col(text)).alias("vector"))
 
 
-def cached_embed(rows: DataFrame, cache: DataFrame, model: str, key: str, text: str, provider: Callable[[list[str]], np.ndarray]) -> tuple[DataFrame, DataFrame]:
-    """(key, vector) for all rows, and the new cache rows (k, v): only texts that the cache lacks are embedded, once each."""
-    k = cache_key(model, F.col(text))
-    keyed = rows.select(key, text, k.alias("k"))
-    missing = keyed.select("k", text).dropDuplicates(["k"]).join(cache.select("k"), "k", "left_anti")
-    # stored, so that a text is embedded once however often the rows are read
-    fresh = stored(embed(missing, "k", text, provider).select("k", F.col("vector").alias("v")), "embedded")
-    return keyed.join(cache.select("k", "v").unionByName(fresh), "k").select(key, F.col("v").alias("vector")), fresh
-
-
 def cache_key(model: str, text: Column) -> Column:
     return F.sha1(F.concat(F.lit(model + "\0"), text))
 
@@ -84,6 +94,9 @@ def dense_scores(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     The queries go to all tasks; items (item_id, vector) are scanned by matrix products.  Each task hands on at most k
     rows a query, so the ranking after it sees few rows.  More than QUERIES queries go in passes of some QUERIES, dealt
     by a hash; what a pass finds is stored, so only one pass's queries are held at a time.
+
+    Vectors that are null, empty, or hold null or non-finite components take no part, on either side; vectors of
+    different lengths are not compared.
     """
     asked, items = queries.select("qid", "vector"), items.select("item_id", "vector")
     first = asked.limit(QUERIES + 1).toPandas()
@@ -101,32 +114,27 @@ def dense_scores(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
 
 def _scanned(asked: pd.DataFrame, queries: DataFrame, items: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
-    q = np.stack(asked["vector"]).astype(float) if len(asked) else np.zeros((0, 1))
-    q = q / np.where((n := np.linalg.norm(q, axis=1)) == 0, 1, n)[:, None]
     names = asked["qid"].to_numpy()
-    sent = queries.sparkSession.sparkContext.broadcast((names, q))
+    sent = queries.sparkSession.sparkContext.broadcast({q.shape[1]: (names[at], q) for at, q in units(asked["vector"])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, q = sent.value
-        held = [(np.zeros(0), np.zeros(0, object))] * len(names)
+        held = {size: [(np.zeros(0), np.zeros(0, object))] * len(names) for size, (names, _) in sent.value.items()}
         for batch in batches:
-            batch = batch[batch["vector"].notna()]
-            if not len(batch) or not len(names):
-                continue
-            x = np.stack(batch["vector"]).astype(float)
-            x = x / np.where((n := np.linalg.norm(x, axis=1)) == 0, 1, n)[:, None]
-            ids = batch["item_id"].to_numpy()
-            for a in range(0, len(names), STEP):
-                scores = (x @ q[a : a + STEP].T).round(6)
-                deep = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(scores.shape[1], -np.inf)
-                for j, (best, own) in enumerate(held[a : a + STEP]):
-                    some = scores[:, j] >= max(deep[j], best[-1] if len(best) == k else -np.inf)
-                    best, own = np.concatenate([best, scores[some, j]]), np.concatenate([own, ids[some]])
-                    order = np.lexsort((own.astype(ids.dtype), -best))[:k]
-                    held[a + j] = best[order], own[order]
-        for name, (best, own) in zip(names, held, strict=True):
-            if len(best):
-                yield pd.DataFrame({"qid": name, "item_id": own, "score": best})
+            for at, x in units(batch["vector"]):
+                names, q = sent.value.get(x.shape[1], ((), ()))
+                ids = batch["item_id"].to_numpy()[at]
+                for a in range(0, len(names), STEP):
+                    scores = (x @ q[a : a + STEP].T).round(6)
+                    deep = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(scores.shape[1], -np.inf)
+                    for j, (best, own) in enumerate(held[x.shape[1]][a : a + STEP]):
+                        some = scores[:, j] >= max(deep[j], best[-1] if len(best) == k else -np.inf)
+                        best, own = np.concatenate([best, scores[some, j]]), np.concatenate([own, ids[some]])
+                        order = np.lexsort((own.astype(ids.dtype), -best))[:k]
+                        held[x.shape[1]][a + j] = best[order], own[order]
+        for size, found in held.items():
+            for name, (best, own) in zip(sent.value[size][0], found, strict=True):
+                if len(best):
+                    yield pd.DataFrame({"qid": name, "item_id": own, "score": best})
 
     kinds = dict(queries.dtypes), dict(items.dtypes)
     return items.mapInPandas(run, f"qid {kinds[0]['qid']}, item_id {kinds[1]['item_id']}, score double"), sent

@@ -44,7 +44,7 @@ def expand_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
 def pack(hits: DataFrame, max_chars: int = 6000) -> DataFrame:
     """(qid, rank, chunk_id, doc_id, block): blocks in order up to the first that overflows; the first always stays.
 
-    hits has rank, doc_id, title, version and text.  The separator between blocks doesn't count.
+    hits has rank, doc_id, title, version and text; a null text counts as empty.  The separator between blocks doesn't count.
     """
     block = _block()
     upto = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -53,7 +53,7 @@ def pack(hits: DataFrame, max_chars: int = 6000) -> DataFrame:
 
 
 def _block() -> Column:
-    return F.concat(F.lit("["), F.col("rank"), F.lit("] Quelle: "), F.coalesce("title", F.col("doc_id").cast("string")), F.lit(" ("), F.col("doc_id"), F.lit(", Version "), F.coalesce("version", F.lit("")), F.lit(")\n"), "text")
+    return F.concat(F.lit("["), F.col("rank"), F.lit("] Quelle: "), F.coalesce("title", F.col("doc_id").cast("string")), F.lit(" ("), F.col("doc_id"), F.lit(", Version "), F.coalesce("version", F.lit("")), F.lit(")\n"), F.coalesce("text", F.lit("")))
 
 
 def whole_corpus(docs: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def quantiles(rows: DataFrame, value: str | Column, shares: dict[str, float], by
     """
     key = F.col(by) if by else F.lit(0)
     some = rows.select(key.alias("_by"), (F.col(value) if isinstance(value, str) else value).cast("double").alias("v")).filter("v is not null")
-    if some.limit(IN_MEMORY + 1).count() <= IN_MEMORY:
+    if some.count() <= IN_MEMORY:
         found = some.groupBy("_by").agg(*(F.round(F.percentile("v", p), digits).alias(n) for n, p in shares.items()))
     else:
         counted = some.groupBy("_by", "v").agg(F.count(F.lit(1)).alias("n"))

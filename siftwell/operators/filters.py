@@ -44,15 +44,15 @@ def post_filter_loss(hits: DataFrame, chunks: DataFrame, roles: Iterable[str], l
 
 
 def golden(items: DataFrame, types: Iterable[str] | None = None, answerable: bool | None = None, ids: Iterable | None = None) -> DataFrame:
-    """Golden items by type, answerability (null: answerable) and id; None means any."""
+    """Golden items by type, answerability (null: answerable) and id; None, or no type or id at all, means any."""
     rows = items.withColumn("answerable", F.coalesce("answerable", F.lit(True)))
     parts = []
-    if types is not None:
-        parts.append(F.col("type").isin(list(types)))
+    if types := list(types or ()):
+        parts.append(F.col("type").isin(types))
     if answerable is not None:
         parts.append(F.col("answerable") == answerable)
-    if ids is not None:
-        parts.append(F.col("id").isin(list(ids)))
+    if ids := list(ids or ()):
+        parts.append(F.col("id").isin(ids))
     return rows.filter(all_of(parts))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import rank_list, tokenize
+from siftwell.functions.vectors import sound
 from siftwell.operators.filters import top
 
 Scorer = Callable[[list[str], list[str]], "np.ndarray"]
@@ -68,11 +69,13 @@ def max_sim(hits: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame,
     """Late interaction: for each query token vector its best dot product with a chunk's token vectors, summed.
 
     query_vectors (qid, token, vector) and chunk_vectors (chunk_id, vector) have a row a token; chunks without score 0.
-    Vectors have one length.  A query's and a chunk's tokens are gathered, so a hit is one row and one matrix product.
+    Tokens whose vectors are null, empty, or hold null or non-finite components don't count; vectors of different lengths
+    are not compared.  A query's and a chunk's tokens are gathered, so a hit is one row and one matrix product.
     """
-    asked = query_vectors.filter("vector is not null").groupBy("qid").agg(F.collect_list("vector").alias("q"))
-    own = chunk_vectors.filter("vector is not null").groupBy("chunk_id").agg(F.collect_list("vector").alias("c"))
-    rows = hits.select("qid", "chunk_id").join(asked, "qid").join(own, "chunk_id").select("qid", "chunk_id", "q", "c")
+    size = F.size("vector").alias("size")
+    asked = query_vectors.filter(sound(F.col("vector"))).groupBy("qid", size).agg(F.collect_list("vector").alias("q"))
+    own = chunk_vectors.filter(sound(F.col("vector"))).groupBy("chunk_id", size).agg(F.collect_list("vector").alias("c"))
+    rows = hits.select("qid", "chunk_id").join(asked, "qid").join(own, ["chunk_id", "size"]).select("qid", "chunk_id", "q", "c")
     matrix = lambda vectors: vectors.values.flatten().to_numpy().reshape(len(vectors.values), -1).astype(float)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +85,7 @@ def max_sim(hits: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame,
 
     kinds = dict(rows.dtypes)
     sums = rows.mapInArrow(products, f"qid {kinds['qid']}, chunk_id {kinds['chunk_id']}, s double")
-    sums = sums.select("qid", "chunk_id", F.round("s", 6).alias("new_score"))
+    sums = sums.groupBy("qid", "chunk_id").agg(F.round(F.sum("s"), 6).alias("new_score"))
     return rescored(hits.join(sums, ["qid", "chunk_id"], "left").withColumn("new_score", F.coalesce("new_score", F.lit(0.0))), top_k, "maxsim")
 
 

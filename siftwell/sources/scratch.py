@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,22 +23,26 @@ def scratch(spark: SparkSession, what: str) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _local()
-    folder = "/".join((qualified(spark, base).rstrip("/"), "siftwell", *_passing))
+    folder = "/".join((qualified(spark, base).rstrip("/"), "siftwell", *_passing.get()))
     return f"{folder}/{what}-{uuid.uuid4().hex}"
 
 
-_passing: list[str] = []
+#: Folders of the blocks that this thread is in; a thread that it starts is in none, unless it runs in a copied context.
+_passing: ContextVar[tuple[str, ...]] = ContextVar("passing", default=())
 
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
-    """Scratch tables made in this block go when it ends: what it makes must have been written elsewhere by then."""
-    _passing.append(f"passing-{uuid.uuid4().hex}")
+    """Scratch tables made in this block go when it ends: what it makes must have been written elsewhere by then.
+
+    Only those made by the thread that is in the block: queries of other threads keep their tables.
+    """
+    token = _passing.set((*_passing.get(), f"passing-{uuid.uuid4().hex}"))
     try:
         probe = scratch(spark, "any")
         yield
     finally:
-        _passing.pop()
+        _passing.reset(token)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(probe).getParent()
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
