@@ -1,4 +1,4 @@
-"""Request logs: flattening, key figures, alerts, costs; semantic cache; switching indexes."""
+"""Request logs: flattening, key figures, alerts, costs; runs behind a cache; comparing indexes."""
 
 from __future__ import annotations
 
@@ -6,22 +6,16 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions.vectors import cosine
 from siftwell.operators.evaluate import quantiles
-from siftwell.sources.scratch import stored
 
 # USD a million tokens (input, output, embedding), tokens of an embedded query; alert limits.
 PRICE_IN, PRICE_OUT, PRICE_EMBED, QUERY_TOKENS = 0.20, 1.20, 0.02, 20
 NO_ANSWER_RATE, P95_MS, LOW_SHARE, RECENT = 0.20, 4000, 0.30, 20
 #: Requests without a filter must not share answers with those of public access, so their key is no role's.
 UNFILTERED = "<unfiltered>"
-#: Requests, and entries, that meet in one group of a search of the history, some; requests compared at a time.
-CELL, SCAN = 4096, 256
 
 
 def flattened(runs: DataFrame) -> DataFrame:
@@ -86,65 +80,6 @@ def roles_key(roles: Column) -> Column:
     return F.when(roles.isNull(), UNFILTERED).when(F.size(roles) == 0, "all").otherwise(F.array_join(F.array_sort(roles), ","))
 
 
-def cache_lookup(requests: DataFrame, entries: DataFrame, threshold: float = 0.92, ttl: float = 3600) -> DataFrame:
-    """(request_id, entry_id, similarity, hit): the nearest live entry with the request's roles key, null if none is similar at all.
-
-    requests (request_id, key, vector, ts); entries (entry_id, key, vector, created).  Ages up to ttl seconds live; ties
-    go to the older entry.
-    """
-    pairs = requests.join(entries.select("entry_id", "key", F.col("vector").alias("ev"), "created"), "key")
-    age = F.col("ts").cast("double") - F.col("created").cast("double")
-    live = pairs.filter((age <= ttl) & (age >= 0)).withColumn("similarity", F.round(cosine(F.col("vector"), F.col("ev")), 6)).filter("similarity > 0")
-    best = live.groupBy("request_id").agg(F.max_by(F.struct("entry_id", "similarity"), F.struct("similarity", -F.col("created").cast("double"), -F.col("entry_id"))).alias("b"))
-    rows = requests.select("request_id").join(best, "request_id", "left")
-    return rows.select("request_id", F.when(F.col("b.similarity") >= threshold, F.col("b.entry_id")).alias("entry_id"), F.coalesce("b.similarity", F.lit(0.0)).alias("similarity"), F.coalesce(F.col("b.similarity") >= threshold, F.lit(False)).alias("hit"))
-
-
-def cache_history(requests: DataFrame, threshold: float = 0.92, ttl: float = 3600) -> DataFrame:
-    """cache_lookup of each request among all requests before it (by ts, then request_id) that are live.
-
-    Time is cut into slots of ttl, so a request meets its own slot and the one before; slots are dealt into blocks of
-    some CELL rows, which meet in pairs.
-    """
-    micros = int(ttl * 1_000_000)
-    rows = requests.filter("ts is not null and vector is not null").select("request_id", "key", "vector", F.unix_micros("ts").alias("at"))
-    rows = stored(rows.withColumn("slot", F.expr(f"at div {micros}")), "requests")
-    sizes = rows.groupBy("key", "slot").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("blocks"))
-    dealt = rows.join(sizes, ["key", "slot"]).withColumn("block", F.pmod(F.xxhash64("request_id"), "blocks")).drop("blocks")
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    asked = dealt.withColumnsRenamed({"slot": "own", "block": "q"}).withColumn("slot", F.explode(F.array(F.col("own") - 1, F.col("own")))).join(sizes, ["key", "slot"]).withColumn("e", blocks).drop("blocks")
-    other = sizes.withColumnRenamed("slot", "own")
-    entries = dealt.withColumnRenamed("block", "e").withColumn("own", F.explode(F.array(F.col("slot"), F.col("slot") + 1))).join(other, ["key", "own"]).withColumn("q", blocks).drop("blocks")
-
-    def unit(vectors: pd.Series) -> np.ndarray:
-        x = np.stack(vectors).astype(float)
-        return x / np.where((n := np.linalg.norm(x, axis=1)) == 0, 1, n)[:, None]
-
-    def nearest(asked: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(asked) and len(entries):
-            entries = entries.sort_values(["at", "request_id"])  # the first of equals is the older one
-            y, at, ids = unit(entries["vector"]), entries["at"].to_numpy(), entries["request_id"].to_numpy()
-            for a in range(0, len(asked), SCAN):
-                some = asked.iloc[a : a + SCAN]
-                own = some["request_id"].to_numpy()[:, None]
-                age = some["at"].to_numpy()[:, None] - at
-                live = (age <= micros) & ((age > 0) | (age == 0) & (ids < own))
-                scores = np.where(live, (unit(some["vector"]) @ y.T).round(6), -1)
-                best = scores.argmax(1)
-                found.append(pd.DataFrame({"request_id": own[:, 0], "entry_id": ids[best], "created": at[best], "similarity": scores[np.arange(len(some)), best]}))
-        found = pd.concat(found) if found else pd.DataFrame({c: [] for c in ("request_id", "entry_id", "created", "similarity")})
-        return found[found["similarity"] > 0]
-
-    entries = entries.toDF(*entries.columns)  # columns apart from those of asked
-    cell, kind = ["key", "slot", "e", "own", "q"], dict(rows.dtypes)["request_id"]
-    pairs = asked.groupBy(cell).cogroup(entries.groupBy(cell)).applyInPandas(nearest, f"request_id {kind}, entry_id {kind}, created long, similarity double")
-    best = pairs.groupBy("request_id").agg(F.max_by(F.struct("entry_id", "similarity"), F.struct("similarity", -F.col("created"), -F.col("entry_id"))).alias("b"))
-    out = requests.select("request_id").join(best, "request_id", "left")
-    hit = F.coalesce(F.col("b.similarity") >= threshold, F.lit(False))
-    return out.select("request_id", F.when(hit, F.col("b.entry_id")).alias("entry_id"), F.coalesce("b.similarity", F.lit(0.0)).alias("similarity"), hit.alias("hit"))
-
-
 def cached_run(replayed: DataFrame, runs: DataFrame) -> DataFrame:
     """(request_id, cache, cache_similarity, answer, cost_usd, saved_ms) of requests behind a semantic cache.
 
@@ -163,11 +98,6 @@ def cache_stats(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.col("cache") == "hit").alias("hits"), F.count_if(F.col("cache") == "miss").alias("misses"), F.round(F.coalesce(F.sum("saved_ms"), F.lit(0.0)), 4).alias("saved_ms"))
 
 
-def switch(spark: SparkSession, alias: str, path: str) -> None:
-    """Points the view `alias` at the index at `path`: readers see the old one or the new one."""
-    spark.read.parquet(path).createOrReplaceTempView(alias)
-
-
 def compare_indexes(blue: DataFrame, green: DataFrame) -> DataFrame:
     """(qid, n_blue, n_green, n_common, same_top) of two indexes' hits for the same queries."""
     both = blue.select("qid", "chunk_id", F.col("rank").alias("b")).join(green.select("qid", "chunk_id", F.col("rank").alias("g")), ["qid", "chunk_id"], "full")

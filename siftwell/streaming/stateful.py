@@ -8,80 +8,79 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from siftwell.operators import monitor
+from siftwell.operators.semcache import REPLAYED
 
-REPLAYED = "request_id long, key string, cache string, similarity double, entry_id long"
-STATE = "ids array<long>, created array<double>, vectors binary, size int"
+#: What a stream of replays needs of its session: timers and map state live in this store.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-class Cache:
-    """Entries of one roles key: a request takes the nearest live one or, if none is near enough, becomes an entry."""
+class CacheProcessor(StatefulProcessor):
+    """The cache of one roles key: a map of its live entries, and a timer for each of them.
 
-    def __init__(self, threshold: float, ttl: float):
-        self.threshold, self.ttl = threshold, ttl
-        self.ids, self.created, self.vectors = [], [], []
+    A request takes the nearest live entry or, if none is near enough, becomes one.  An entry leaves when the watermark
+    passes the end of its life, whether or not its key gets another request.
+    """
 
-    def serve(self, request_id: int, at: float, vector: np.ndarray) -> tuple[str, float, int | None]:
-        live = [k for k, c in enumerate(self.created) if at - c <= self.ttl]
-        # expired entries can't come back, times only grow
-        self.ids, self.created, self.vectors = ([x[k] for k in live] for x in (self.ids, self.created, self.vectors))
+    def __init__(self, threshold: float, ttl: float):
+        self.threshold, self.micros = threshold, int(ttl * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entries = handle.getMapState("entries", "request_id long", "created long, vector array<double>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        requests = pd.concat(list(rows)).sort_values(["ts", "request_id"], kind="stable")
+        known = sorted((created, i, vector) for (i,), (created, vector) in self.entries.iterator())
+        live = [(created, i, np.asarray(vector, float)) for created, i, vector in known]
+        out = [self._serve(int(r.request_id), r.ts, r.vector, live) for r in requests.itertuples()]
+        yield pd.DataFrame({"request_id": requests["request_id"].to_numpy(), "key": key[0], "cache": [o[0] for o in out], "similarity": [o[1] for o in out], "entry_id": pd.array([o[2] for o in out], dtype="Int64")})
+
+    def _serve(self, request_id: int, ts: pd.Timestamp, vector: object, live: list) -> tuple[str, float, int | None]:
+        v = np.asarray([] if vector is None else vector, float)
+        if ts is pd.NaT or not len(v) or not np.isfinite(v).all():
+            return "miss", 0.0, None
+        at = ts.value // 1000
+        near = [e for e in live if at - e[0] <= self.micros and len(e[2]) == len(v)]
         best, similarity = None, 0.0
-        if self.vectors:
-            m = np.stack(self.vectors)
-            length = np.linalg.norm(m, axis=1) * np.linalg.norm(vector)
-            scores = (m @ vector / np.where(length == 0, 1, length)).round(6)
-            k = int(scores.argmax())
+        if near:
+            m = np.stack([e[2] for e in near])
+            length = np.linalg.norm(m, axis=1) * np.linalg.norm(v)
+            scores = (m @ v / np.where(length == 0, 1, length)).round(6)
+            k = int(scores.argmax())  # the oldest of equals
             if scores[k] > 0:
-                best, similarity = self.ids[k], float(scores[k])
+                best, similarity = near[k][1], float(scores[k])
         if best is not None and similarity >= self.threshold:
             return "hit", similarity, best
-        self.ids.append(request_id)
-        self.created.append(at)
-        self.vectors.append(vector)
+        live.append((at, request_id, v))
+        self.entries.updateValue((request_id,), (at, v.tolist()))
+        self.handle.registerTimer(self._end(at))
         return "miss", similarity, None
 
-    def rows(self, key: str, requests: pd.DataFrame) -> pd.DataFrame:
-        requests = requests.sort_values(["ts", "request_id"], kind="stable")
-        served = [self.serve(int(r.request_id), r.ts.timestamp(), np.asarray(r.vector, float)) for r in requests.itertuples()]
-        return pd.DataFrame({"request_id": requests["request_id"].to_numpy(), "key": key, "cache": [s[0] for s in served], "similarity": [s[1] for s in served], "entry_id": pd.array([s[2] for s in served], dtype="Int64")})
+    def _end(self, created: int) -> int:
+        """The first millisecond at which an entry is surely dead."""
+        return (created + self.micros) // 1000 + 1
 
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for (i,), (created, _) in list(self.entries.iterator()):
+            if self._end(created) <= expiredTimerInfo.getExpiryTimeInMs():
+                self.entries.removeKey((i,))
+        yield from ()
 
-def replay(requests: DataFrame, threshold: float = 0.92, ttl: float = 3600) -> DataFrame:
-    """requests (request_id, key, ts, vector) in order of (ts, request_id), each key on its own: hit or miss, similarity, entry.
+    def close(self) -> None:
+        pass
 
-    A key is served in order, so by one task, but that holds only a batch of its requests and the live entries.
-    """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, now = Cache(threshold, ttl), None
-        for batch in batches:
-            for key, rows in batch.groupby("key", sort=False, dropna=False):
-                if key != now:
-                    cache, now = Cache(threshold, ttl), key
-                yield cache.rows(key, rows)
-
-    rows = requests.select("request_id", "key", "ts", "vector").filter("key is not null")
-    return rows.repartition("key").sortWithinPartitions("key", "ts", "request_id").mapInPandas(fold, REPLAYED)
-
-
-def replay_stream(requests: DataFrame, threshold: float = 0.92, ttl: float = 3600) -> DataFrame:
-    """The same over a stream: entries live in the state store by key, and leave it as they expire."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cache = Cache(threshold, ttl)
-        if state.exists:
-            ids, created, vectors, size = state.get
-            cache.ids, cache.created = list(ids), list(created)
-            cache.vectors = list(np.frombuffer(vectors, float).reshape(-1, size)) if size else []
-        out = cache.rows(key[0], pd.concat(list(batches)))
-        size = len(cache.vectors[0]) if cache.vectors else 0
-        state.update((cache.ids, cache.created, np.concatenate(cache.vectors).tobytes() if size else b"", size))
-        yield out
-
-    rows = requests.select("request_id", "key", "ts", "vector").groupBy("key")
-    return rows.applyInPandasWithState(fold, REPLAYED, STATE, "append", GroupStateTimeout.NoTimeout)
+def replay_stream(requests: DataFrame, threshold: float = 0.92, ttl: float = 3600, late: str = "10 minutes") -> DataFrame:
+    """semcache.replay over a stream of requests (request_id, key, ts, vector) that come in order of time, but for `late`.
+
+    Requests of a batch are served in order.  The session needs the settings of STORE.  Entries end by the watermark, so a
+    key that gets no more requests leaves nothing behind.
+    """
+    rows = requests.filter("key is not null").select("request_id", "key", "ts", "vector").withWatermark("ts", late).groupBy("key")
+    return rows.transformWithStateInPandas(CacheProcessor(threshold, ttl), REPLAYED, "append", "EventTime")
 
 
 def kpi_windows(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
