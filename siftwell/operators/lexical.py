@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import tokenize
@@ -83,38 +81,10 @@ def search(queries: DataFrame, chunks: DataFrame, k: int, where: Filter | None =
     """hits: the k best chunks of each query (qid, query) by BM25; chunks without a query term are no hits.
 
     Statistics are those of all chunks; the filter bears on candidates only, before the ranking.  Chunks are tokenised
-    on the fly; for many batches of queries over one corpus, see LexicalIndex.
+    on the fly; for many batches of queries over one corpus, see block_index.
     """
     asked = query_terms(queries)
     profiled = profile(chunks, asked)
     posted = postings(profiled)
     allowed = posted if where is None else posted.join(where(chunks).select("chunk_id"), "chunk_id", "left_semi")
     return ranked(scores(asked, allowed, term_stats(posted), corpus_stats(profiled)), k)
-
-
-@dataclass
-class LexicalIndex:
-    """Stored postings, document frequencies and statistics: a search reads the postings of its terms only."""
-
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-
-    @classmethod
-    def build(cls, chunks: DataFrame, path: str) -> LexicalIndex:
-        """Writes the index as three tables; postings lie in order of their terms, so files skip by their statistics."""
-        profiled = profile(chunks)
-        corpus_stats(profiled).write.mode("overwrite").parquet(f"{path}/stats")
-        postings(profiled).repartitionByRange("term", "chunk_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        spark = chunks.sparkSession
-        term_stats(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
-        return cls.load(spark, path)
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")))
-
-    def search(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-        """hits, of the chunks in `allowed` (chunk_id) only if given."""
-        posted = self.postings if allowed is None else self.postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-        return ranked(scores(query_terms(queries), posted, self.terms, self.stats), k)
