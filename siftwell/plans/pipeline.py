@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.vectors import hash_embed
 from siftwell.operators import context, dense, evaluate, fusion, lexical, monitor, rerank, transform
+from siftwell.operators.block_index import BlockIndex
 from siftwell.operators.filters import Filter
 from siftwell.sources.scratch import stored
 
@@ -54,7 +55,7 @@ class Index:
     chunks: DataFrame
     vectors: DataFrame | None = None
     parents: DataFrame | None = None
-    postings: lexical.LexicalIndex | None = None
+    postings: BlockIndex | None = None
     chat: transform.Chat = field(default=transform.offline)
     scorer: rerank.Scorer | str | None = None  # or the name of a registered one
 
@@ -67,7 +68,7 @@ class Index:
     def built(cls, chunks: DataFrame, path: str, **more) -> Index:
         """The same with vectors and postings written below `path`, a folder of the index's own, for many searches."""
         vectors = stored(hash_embed(chunks, "chunk_id", "text"), "vectors", f"{path}/vectors")
-        return cls(chunks, vectors, postings=lexical.LexicalIndex.build(chunks, f"{path}/postings"), **more)
+        return cls(chunks, vectors, postings=BlockIndex.build(chunks, f"{path}/postings"), **more)
 
     def count(self) -> int:
         return self.chunks.count()
@@ -168,12 +169,12 @@ def compare(configs: list[PipelineConfig], index: Index, golden: DataFrame, role
     return evaluate.summary(rows, "config")
 
 
-def run_golden(config: PipelineConfig, index: Index, golden: DataFrame, roles: tuple[str, ...] | None = None, judge: transform.Chat | None = transform.offline) -> DataFrame:
+def run_golden(config: PipelineConfig, index: Index, golden: DataFrame, roles: tuple[str, ...] | None = None, judge: transform.Chat | None = transform.offline, include_acl: bool = False) -> DataFrame:
     """Answers golden items, judges them (not at all if judge is None) and names each failure.
 
-    Items of type acl are left out: other roles ask them.  Ranks are those of the packed context.
+    Items of type acl are left out unless asked for: other roles ask them.  Ranks are those of the packed context.
     """
-    asked = golden.filter(F.col("type") != "acl")
+    asked = golden if include_acl else golden.filter(~F.col("type").eqNullSafe("acl"))
     answers, sources = run(config, index, asked.select(F.col("id").alias("qid"), F.col("question").alias("query")), roles)
     rows = evaluate.retrieval_rows(asked, sources, 1 << 30)
     seen = context.distinct_docs(sources).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("d"))
