@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # Patterns of instructions hidden in documents, and their labels.
 PATTERNS = [
@@ -20,21 +22,78 @@ PATTERNS = [
     (r"empfiehl\w*\s+.*\b(anbieter|produkt|shop)\b", "Produktempfehlung (Werbe-Injection)"),
 ]
 REQUIRED = ("doc_id", "department", "version", "access")
+#: For each pattern, groups of literals: a match holds one of each group, letters in either case.
+LITERALS = [
+    [("ignorier",)],
+    [("ignore",)],
+    [("system", "assistent", "assistant")],
+    [("wenn",), ("gefragt", "verwendest", "nutzt"), ("antworte",)],
+    [("erwaehne", "erwähne", "verrate"), ("anweisung",)],
+    [("<!--",), ("-->",)],
+    [("http://", "https://")],
+    [("passwort", "password"), ("eingeben", "erforderlich", "required")],
+    [("empfiehl",), ("anbieter", "produkt", "shop")],
+]
+
+
+def folded(text: str) -> str:
+    """Letters that a pattern takes for the same in either case become the same."""
+    return text.replace("\u0130", "i").upper().lower()
+
+
+def hints(texts: Iterable[str]) -> list[int]:
+    """Bits of the patterns that may match each text: one pass of an automaton over the literals of all patterns."""
+    import ahocorasick
+
+    groups = [(p, g) for p, pattern in enumerate(LITERALS) for g in range(len(pattern))]
+    bits: dict[str, int] = {}
+    for k, (p, g) in enumerate(groups):
+        for literal in LITERALS[p][g]:
+            bits[literal] = bits.get(literal, 0) | 1 << k
+    automaton = ahocorasick.Automaton()
+    for literal in bits:
+        automaton.add_word(literal, sum(b for other, b in bits.items() if other in literal))
+    automaton.make_automaton()
+    need = [sum(1 << k for k, (q, _) in enumerate(groups) if q == p) for p in range(len(LITERALS))]
+    out = []
+    for text in texts:
+        met = 0
+        for _, found in automaton.iter(folded(text)):
+            met |= found
+        out.append(sum(1 << p for p, n in enumerate(need) if met & n == n))
+    return out
 
 
-def matches(text: Column) -> Column:
-    """All findings of a text, in the order of the patterns: (pattern, snippet of up to 120 characters)."""
+@F.arrow_udf(IntegerType())
+def hinted(texts: pa.Array) -> pa.Array:
+    return pa.array(hints(t or "" for t in texts.to_pylist()), pa.int32())
 
-    def of(pattern: str, label: str) -> Column:
+
+def matches(text: Column, hint: Column | None = None) -> Column:
+    """All findings of a text, in the order of the patterns: (pattern, snippet of up to 120 characters).
+
+    With `hint`, only the patterns of its bits are tried.
+    """
+    none = F.array().cast("array<struct<pattern:string,snippet:string>>")
+
+    def of(k: int, pattern: str, label: str) -> Column:
         snippet = lambda m: F.substring(F.regexp_replace(m, r"(?U)\s+", " "), 1, 120)
-        return F.transform(F.regexp_extract_all(text, F.lit("(?isuU)" + pattern), F.lit(0)), lambda m: F.struct(F.lit(label).alias("pattern"), snippet(m).alias("snippet")))
+        found = F.transform(F.regexp_extract_all(text, F.lit("(?isuU)" + pattern), F.lit(0)), lambda m: F.struct(F.lit(label).alias("pattern"), snippet(m).alias("snippet")))
+        return found if hint is None else F.when(F.getbit(hint, F.lit(k)) == 1, found).otherwise(none)
+
+    return F.flatten(F.array(*(of(k, *p) for k, p in enumerate(PATTERNS))))
+
 
-    return F.flatten(F.array(*(of(*p) for p in PATTERNS)))
+def found(docs: DataFrame) -> DataFrame:
+    """docs with `_found`, the findings of the text: an automaton tells which patterns to try, most often none."""
+    rows = docs.withColumn("_hint", hinted(F.coalesce("text", F.lit(""))))
+    none = F.array().cast("array<struct<pattern:string,snippet:string>>")
+    return rows.withColumn("_found", F.when(F.col("_hint") == 0, none).otherwise(matches(F.coalesce("text", F.lit("")), F.col("_hint")))).drop("_hint")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, pattern, snippet), a row a finding."""
-    return docs.select("doc_id", F.inline(matches(F.coalesce("text", F.lit("")))))
+    return found(docs.select("doc_id", "text")).select("doc_id", F.inline("_found"))
 
 
 def gate(docs: DataFrame, trusted: Iterable[str] | None = None, required: Iterable[str] = REQUIRED, block: bool = True, max_findings: int = 0) -> DataFrame:
@@ -50,7 +109,7 @@ def gate(docs: DataFrame, trusted: Iterable[str] | None = None, required: Iterab
         reasons.append(F.when(~known, F.concat(F.lit("nicht vertrauenswuerdige Quelle: "), F.coalesce("department", F.lit("None")))))
     if block:
         reasons.append(F.when(F.size("_found") > max_findings, F.concat(F.lit("Injection-Verdacht: "), F.array_join(F.transform(F.slice("_found", 1, 3), lambda f: f["pattern"]), "; "))))
-    rows = docs.withColumn("_found", matches(F.coalesce("text", F.lit(""))))
+    rows = found(docs)
     rows = rows.withColumns({"n_findings": F.size("_found"), "_reasons": F.array_compact(F.array(*reasons))}).drop("_found")
     return rows.withColumns({"accepted": F.size("_reasons") == 0, "reasons": F.array_join("_reasons", " | ")}).drop("_reasons")
 

@@ -59,11 +59,11 @@ def _stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.meta)?\.[^./]+$", 1)
 
 
-def _documents(rows: DataFrame) -> DataFrame:
-    """(yaml, text, source_path, parser) to documents."""
+def _documents(rows: DataFrame, *more: str) -> DataFrame:
+    """(yaml, text, source_path, parser) to documents; columns in `more` stay."""
     parsed = rows.withColumn("m", parse_yaml(F.col("yaml")))
     columns = normalised(lambda k: F.col(f"m.{k}"), _stem(F.col("source_path")))
-    return parsed.select(*(c.alias(k) for k, c in columns.items()), F.trim(F.col("text"), F.lit(" \n\t\r")).alias("text"), F.col("m.extra").alias("extra"), "source_path", "parser")
+    return parsed.select(*(c.alias(k) for k, c in columns.items()), F.trim(F.col("text"), F.lit(" \n\t\r")).alias("text"), F.col("m.extra").alias("extra"), "source_path", "parser", *more)
 
 
 def read_markdown(spark: SparkSession, *folders: str) -> DataFrame:
@@ -124,6 +124,14 @@ def read_corpus(spark: SparkSession, *folders: str, include: Iterable[str] | Non
     return docs if include is None else docs.filter(F.col("doc_id").isin(list(include)))
 
 
+def parsed(raw: DataFrame) -> DataFrame:
+    """Rows of the source `siftwell_corpus`, of a batch or a stream, to documents, with the columns page, pages and error.
+
+    A file that can't be read has its error, and a null text.
+    """
+    return _documents(raw, "page", "pages", "error")
+
+
 def read_document(spark: SparkSession, path: str) -> DataFrame:
     """The document of one file, by its suffix; any but .md and .pdf is an error."""
     suffix = spark.range(1).select(checked_format(F.lit(path)).alias("s")).first()["s"]
@@ -156,16 +164,6 @@ def feedback_candidates(feedback: DataFrame, stamp: int) -> DataFrame:
     return feedback.select(F.concat(F.lit(f"c{stamp}"), n).alias("id"), F.lit("feedback").alias("type"), "question", F.col("expected").alias("ground_truth"), "source_docs", F.lit(True).alias("answerable"), F.lit(False).alias("reviewed"))
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """An embedding cache: (k, v), keys by model and text."""
-    return spark.read.schema("k string, v array<float>").parquet(path)
-
-
-def append_cache(fresh: DataFrame, path: str) -> None:
-    """New rows (k, v) of an embedding cache."""
-    fresh.write.mode("append").parquet(path)
-
-
 def write_index(path: str, **tables: DataFrame) -> None:
     """The tables of an index (chunks, postings, vectors, ...), each replaced as a whole."""
     for name, df in tables.items():

@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 import random
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as tx
 from siftwell.functions import vectors as vec
-from siftwell.operators import chunking, context, evaluate, fusion, lexical, metrics, monitor, rerank, security, transform
-from siftwell.operators.filters import Filter
+from siftwell.operators import chunking, context, dense, evaluate, fusion, lexical, metrics, monitor, rerank, security, semcache, transform
+from siftwell.operators.filters import Filter, golden
 from siftwell.plans.pipeline import Index, PipelineConfig, compare, retrieve, run, run_golden
 from siftwell.plans import catalogue
 from siftwell.sources import corpus
@@ -56,16 +58,6 @@ def test_hash_embedding_is_that_of_md5(spark):
     assert got[2] == [0.0] * 256
 
 
-def test_embedding_cache(spark):
-    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id int, text string")
-    cache = spark.createDataFrame([("x", [0.0])], "k string, v array<float>").limit(0)
-    got, fresh = vec.cached_embed(rows, cache, "m", "id", "text", lambda texts: np.array([[len(t), 1.0] for t in texts]))
-    assert fresh.count() == 2
-    assert {r["id"]: list(r["vector"]) for r in got.collect()} == {1: [1.0, 1.0], 2: [1.0, 1.0], 3: [1.0, 1.0]}
-    _, again = vec.cached_embed(rows, fresh, "m", "id", "text", lambda texts: np.zeros((len(texts), 2)))
-    assert again.count() == 0
-
-
 def hits(spark, rows):
     return spark.createDataFrame(rows, "qid int, chunk_id string, score double, rank int, source string")
 
@@ -283,27 +275,6 @@ def test_config_is_checked():
         PipelineConfig(retrieval="other")
 
 
-def test_cache_replay_on_a_stream_equals_batch(spark, tmp_path):
-    rng = np.random.default_rng(5)
-    base = rng.normal(size=(4, 8))
-    rows = [(k, f"r{k % 2}", float(k * 60), (base[k % 4] + rng.normal(size=8) * 0.01).tolist()) for k in range(40)]
-    df = spark.createDataFrame(rows, "request_id long, key string, s double, vector array<double>").selectExpr("request_id", "key", "timestamp_seconds(s) AS ts", "vector")
-    want = sorted(map(tuple, stateful.replay(df, 0.9, 600).collect()))
-    assert {r[2] for r in want} == {"hit", "miss"}
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        assert sorted(map(tuple, stateful.replay(df, 0.9, 600).collect())) == want
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    for part in range(2):
-        df.filter(f"request_id div 20 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = stateful.replay_stream(stream, 0.9, 600).writeStream.format("memory").queryName("replayed").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted(map(tuple, spark.table("replayed").collect()))
-    assert got == want
-
-
 def test_alerts_of_a_stream(spark, tmp_path):
     log = spark.range(40).selectExpr("id AS n", "id >= 30 AS no_answer", "100.0 AS t_total_ms", "0.5 AS top_score")
     log.write.parquet(str(tmp_path / "log"))
@@ -316,16 +287,7 @@ def test_alerts_of_a_stream(spark, tmp_path):
 
 def test_index_round_trip(spark, tmp_path):
     corpus.write_index(f"file://{tmp_path}", chunks=chunks(spark))
-    monitor.switch(spark, "live_chunks", f"file://{tmp_path}/chunks")
-    assert spark.table("live_chunks").count() == 3
-
-
-def test_stored_index_searches_alike(spark, tmp_path):
-    asked = spark.createDataFrame([(1, "Reisekosten und Urlaub"), (2, "Monate")], "qid int, query string")
-    index = lexical.LexicalIndex.build(chunks(spark), f"file://{tmp_path}/ix")
-    assert index.search(asked, 2).orderBy("qid", "rank").collect() == lexical.search(asked, chunks(spark), 2).orderBy("qid", "rank").collect()
-    only = index.search(asked, 2, Filter(roles=())(chunks(spark)))
-    assert only.orderBy("qid", "rank").collect() == lexical.search(asked, chunks(spark), 2, Filter(roles=())).orderBy("qid", "rank").collect()
+    assert spark.read.parquet(f"file://{tmp_path}/chunks").count() == 3
 
 
 def test_dense_scan_keeps_the_best_over_batches(spark):
@@ -411,7 +373,7 @@ def test_quantiles(spark, monkeypatch, most):
 
 
 def test_cached_run(spark):
-    replayed = spark.createDataFrame([(1, "k", "miss", 0.1234, None), (2, "k", "hit", 0.98765, 1), (3, "j", "miss", 0.0, None)], stateful.REPLAYED)
+    replayed = spark.createDataFrame([(1, "k", "miss", 0.1234, None), (2, "k", "hit", 0.98765, 1), (3, "j", "miss", 0.0, None)], semcache.REPLAYED)
     runs = spark.createDataFrame([(k, f"a{k}", 100.0 * k, 0.5 * k) for k in (1, 2, 3)], "request_id long, answer string, t_total_ms double, cost_usd double")
     rows = monitor.cached_run(replayed, runs)
     assert sorted(map(tuple, rows.collect())) == [(1, "miss", 0.123, "a1", 0.5, 0.0), (2, "hit", 0.988, "a1", 0.0, 100.0), (3, "miss", 0.0, "a3", 1.5, 0.0)]
@@ -456,3 +418,47 @@ def test_built_index_searches_alike(spark, tmp_path):
     for config in (PipelineConfig(), PipelineConfig(retrieval="sparse"), PipelineConfig(retrieval="dense")):
         rows = [sorted(map(tuple, retrieve(config, index, asked, ("hr",)).select("qid", "chunk_id", "score", "rank").collect())) for index in (plain, built)]
         assert rows[0] == rows[1]
+
+
+def test_bad_vectors_take_no_part_in_dense_search(spark):
+    rng = np.random.default_rng(1)
+    good = [(k, rng.normal(size=4).tolist()) for k in range(100)]
+    bad = [(200, None), (201, []), (202, [1.0, None, 0.0, 0.0]), *((210 + k, [float("nan"), 1.0, 1.0, 1.0]) for k in range(12)), (230, [float("inf")] * 4), (231, [1.0, 2.0])]
+    items = spark.createDataFrame(good + bad, "chunk_id long, vector array<double>")
+    asked = spark.createDataFrame([(1, good[0][1]), (2, None), (3, [float("nan")] * 4), (4, [1.0, None, 1.0, 1.0]), (5, [1.0, 1.0])], "qid long, vector array<double>")
+    got = dense.search(asked, items, 10).collect()
+    assert [r["qid"] for r in got].count(1) == 10 and all(r["chunk_id"] < 200 for r in got if r["qid"] == 1)
+    assert [(r["qid"], r["chunk_id"]) for r in got if r["qid"] != 1] == [(5, 231)]
+
+
+def test_bad_tokens_take_no_part_in_max_sim(spark):
+    hits = spark.createDataFrame([(1, "a", 1, 0.5), (1, "b", 2, 0.4)], "qid long, chunk_id string, rank int, score double")
+    asked = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [float("nan"), 1.0]), (1, 2, [1.0])], "qid long, token long, vector array<double>")
+    own = spark.createDataFrame([("a", [0.5, 0.0]), ("a", [float("nan"), 9.0]), ("b", [0.75, 0.0]), ("b", None), ("b", [0.125])], "chunk_id string, vector array<double>")
+    assert [(r["chunk_id"], r["score"]) for r in rerank.max_sim(hits, asked, own).orderBy("rank").collect()] == [("b", 0.875), ("a", 0.5)]
+
+
+def test_golden_lists_that_are_empty_filter_nothing(spark):
+    items = spark.createDataFrame([("g1", "fact", True), ("g2", None, False)], "id string, type string, answerable boolean")
+    assert golden(items, types=[], ids=[]).count() == 2 and golden(items, ids=["g2"]).count() == 1 and golden(items, types=["fact"], ids=[]).count() == 1
+
+
+def test_golden_runs_keep_null_types(spark):
+    items = spark.createDataFrame([("g1", None, "alpha beta?", "x", ["d1"], True), ("g2", "acl", "gamma?", "x", ["d2"], True)], "id string, type string, question string, ground_truth string, source_docs array<string>, answerable boolean")
+    config, index = PipelineConfig(retrieval="sparse"), Index(chunks(spark))
+    assert {r["id"] for r in run_golden(config, index, items, (), None).collect()} == {"g1"}
+    assert {r["id"] for r in run_golden(config, index, items, (), None, include_acl=True).collect()} == {"g1", "g2"}
+
+
+def test_scratch_tables_of_other_threads_stay(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from siftwell.sources.scratch import passing, stored
+
+    with ThreadPoolExecutor(1) as other, passing(spark):
+        own = stored(spark.range(3), "own")
+        theirs = other.submit(lambda: stored(spark.range(4), "theirs")).result()
+        assert own.count() == 3
+        path = Path(own.inputFiles()[0].removeprefix("file://"))
+        assert path.exists()
+    assert theirs.count() == 4 and not path.exists()

@@ -6,9 +6,8 @@ import numpy as np
 import pytest
 
 from siftwell.functions import vectors as vec
-from siftwell.operators import chunking, dense, evaluate, monitor
+from siftwell.operators import chunking, dense, evaluate, monitor, semcache
 from siftwell.plans import catalogue
-from siftwell.streaming import stateful
 
 N, DIM = 437, 6
 
@@ -40,7 +39,7 @@ def nearest(v, k, allowed=None):
 
 def test_dense_topk(spark, tables, vectors):
     v, label = vectors
-    for name, allowed in (("dense_topk_whole", None), ("dense_topk_filtered_whole", np.isin(label, (1, 3)))):
+    for name, allowed in (("dense_topk", None), ("dense_topk_filtered", np.isin(label, (1, 3)))):
         got = catalogue.QUERIES[name](spark, tables).collect()
         assert sorted((r["qid"], r["chunk_id"], r["rank"]) for r in got) == sorted(nearest(v, 10, allowed))
 
@@ -51,7 +50,7 @@ def test_average_precision(spark, tables, vectors):
     for q in range(0, N, 100):
         rel = [label[c] == label[q] for p, c, _ in nearest(v, 10) if p == q]
         want[q] = round(sum(sum(rel[: k + 1]) / (k + 1) for k, r in enumerate(rel) if r) / max(sum(rel), 1), 6)
-    assert dict(map(tuple, catalogue.QUERIES["average_precision_whole"](spark, tables).collect())) == pytest.approx(want)
+    assert dict(map(tuple, catalogue.QUERIES["average_precision"](spark, tables).collect())) == pytest.approx(want)
 
 
 def test_maxsim(spark, tables, vectors):
@@ -61,14 +60,14 @@ def test_maxsim(spark, tables, vectors):
         sums = [(v[q : q + 100] @ v[c // 10 * 10 : c // 10 * 10 + 10].T).max(1).sum().round(6) for c in found]
         for k, at in enumerate(sorted(range(20), key=lambda i: (-sums[i], i))[:5], 1):
             want[q, k] = (found[at], at + 1, pytest.approx(sums[at], abs=2e-6))
-    got = catalogue.QUERIES["maxsim_whole"](spark, tables).collect()
+    got = catalogue.QUERIES["maxsim"](spark, tables).collect()
     assert {(r["qid"], r["rank"]): (r["chunk_id"], r["pre_rank"], r["score"]) for r in got} == want
 
 
 def test_answer_relevancy(spark, tables, vectors):
     s = cosines(vectors[0])
     want = {q: round(s[q, q + 1 : q + 4].mean(), 6) if q + 1 < N else 0.0 for q in range(N)}
-    assert dict(map(tuple, catalogue.QUERIES["answer_relevancy_whole"](spark, tables).collect())) == pytest.approx(want, abs=2e-6)
+    assert dict(map(tuple, catalogue.QUERIES["answer_relevancy"](spark, tables).collect())) == pytest.approx(want, abs=2e-6)
 
 
 def test_answer_relevancy_of_refusals(spark):
@@ -79,7 +78,7 @@ def test_answer_relevancy_of_refusals(spark):
 
 @pytest.mark.parametrize("cell", [4096, 7])
 def test_cache_history(spark, vectors, monkeypatch, cell):
-    monkeypatch.setattr(monitor, "CELL", cell)
+    monkeypatch.setattr(semcache, "CELL", cell)
     v, rng = vectors[0][:150].copy(), np.random.default_rng(3)
     at, key = rng.integers(0, 300, 150), rng.integers(0, 2, 150)  # equal times occur
     v[100:120] = v[:20]  # equal similarities
@@ -90,7 +89,7 @@ def test_cache_history(spark, vectors, monkeypatch, cell):
         live = [e for e in range(150) if key[e] == key[q] and at[q] - 60 <= at[e] and (at[e], e) < (at[q], q) and scores[q, e] > 0]
         e = min(live, key=lambda e: (-scores[q, e], at[e], e), default=None)
         want[q] = (None, 0.0, False) if e is None else (e if scores[q, e] >= 0.8 else None, scores[q, e], scores[q, e] >= 0.8)
-    got = {r["request_id"]: (r["entry_id"], r["similarity"], r["hit"]) for r in monitor.cache_history(requests, threshold=0.8, ttl=60).collect()}
+    got = {r["request_id"]: (r["entry_id"], r["similarity"], r["hit"]) for r in semcache.history(requests, threshold=0.8, ttl=60).collect()}
     assert got == want
     # every event is looked up
     assert any(hit for _, _, hit in got.values()) and len(got) == 150
@@ -118,7 +117,7 @@ def test_cached_runs_against_a_plain_replay(spark, vectors):
         hit = best is not None and scores[q, best] >= 0.8
         want[q] = ("hit" if hit else "miss", int(best) if hit else None)
         live[key[q]] = entries if hit else [*entries, q]
-    replayed = stateful.replay(requests, 0.8, 90)
+    replayed = semcache.replay(requests, 0.8, 90)
     assert {r["request_id"]: (r["cache"], r["entry_id"]) for r in replayed.collect()} == want
     runs = requests.selectExpr("request_id", "concat('a', request_id) AS answer", "10.0D * request_id AS t_total_ms", "1.0D AS cost_usd")
     got = {r["request_id"]: (r["answer"], r["cost_usd"], r["saved_ms"]) for r in monitor.cached_run(replayed, runs).collect()}
