@@ -136,14 +136,15 @@ def packed(config: PipelineConfig, index: Index, hits: DataFrame) -> DataFrame:
     return context.pack(rows.join(texts, "chunk_id"), config.max_context_chars)
 
 
-def run(config: PipelineConfig, index: Index, queries: DataFrame, roles: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+def run(config: PipelineConfig, index: Index, queries: DataFrame, roles: tuple[str, ...] | None = None, system: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers, sources): answers with text, tokens, cost, is_no_answer and cited documents; sources as packed.
 
     Sources come after deduplication, reordering and the budget, so metrics on them differ from those on `retrieve`.
+    `system` replaces what the answering model is told, for variants of a prompt to be compared.
     """
     sources = stored(packed(config, index, retrieve(config, index, queries, roles)), "sources")
     contexts = queries.select("qid", "query").join(context.joined(sources), "qid", "left")
-    answers = context.refusals(stored(transform.answered(contexts, index.chat), "answers"))
+    answers = context.refusals(stored(transform.answered(contexts, index.chat, system), "answers"))
     answers = answers.withColumn("cost_usd", monitor.cost(F.col("input_tokens"), F.col("output_tokens")))
     return answers.join(context.cited(answers, sources), "qid"), sources
 
