@@ -265,6 +265,20 @@ def test_top_k_of_large_components(spark):
     assert got == sorted(want)
 
 
+def test_few_exact_vectors_are_read(spark):
+    """The cells alone rule out nearly all, and the first exact scores most of the others."""
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(4000)], "vec_id long, embedding array<double>").repartition(4)
+    cells = topk.approximation(rows)
+    assert sum(len(r["ids"]) // 8 for r in cells.collect()) == 4000 and cells.columns == ["size", "ids", "low", "width", "codes"]
+    queries = [next(topk.integers(b)) for b in rows.filter("vec_id % 400 = 0").toArrow().combine_chunks().to_batches()]
+    sent = spark.sparkContext.broadcast([(8, queries[0][1], queries[0][2])])
+    near = topk.candidates(cells, sent, 10)
+    assert 100 <= near.count() < 0.02 * 10 * 4000
+    read = topk._neighbours(rows, near, sent, 10).count()
+    assert 100 <= read <= near.count()
+
+
 # --- repeated passages ----------------------------------------------------------------------------------------------
 
 
