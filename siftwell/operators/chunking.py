@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import accumulate, chain, groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,10 +97,13 @@ def keep_tables(text: str, size: int) -> list[str]:
 def _cut_up(rows: DataFrame, cut: Callable[[str, str], list[tuple[str, str]]], title: Column, text: Column, index: str) -> DataFrame:
     """rows without text, for each piece that cut(title, text) gives, with its number, section and text."""
 
-    @F.pandas_udf("array<struct<section string, text string>>")
-    def pieces(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<section string, text string>>")
+    def pieces(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for titles, texts in batches:
-            yield pd.Series([[{"section": s, "text": t} for s, t in cut(*row)] for row in zip(titles.fillna(""), texts.fillna(""), strict=True)])
+            found = [cut(*row) for row in zip(titles.to_pylist(), texts.to_pylist(), strict=True)]
+            flat = [pa.array([x[k] for own in found for x in own], pa.string()) for k in (0, 1)]
+            ends = list(accumulate(map(len, found), initial=0))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, ["section", "text"]))
 
     rest = [c for c in rows.columns if c not in ("text", "section")]
     found = rows.select(*rest, pieces(F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))).alias("_pieces"))

@@ -9,11 +9,12 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.operators.evaluate import quantiles
+from siftwell.operators.evaluate import IN_MEMORY, quantiles
 
 # USD a million tokens (input, output, embedding), tokens of an embedded query; alert limits.
 PRICE_IN, PRICE_OUT, PRICE_EMBED, QUERY_TOKENS = 0.20, 1.20, 0.02, 20
 NO_ANSWER_RATE, P95_MS, LOW_SHARE, RECENT = 0.20, 4000, 0.30, 20
+KPIS = ("requests", "p50_total_ms", "p95_total_ms", "p95_retrieval_ms", "p95_generation_ms", "no_answer_rate", "avg_input_tokens", "cost_usd", "cost_per_request")
 #: Requests without a filter must not share answers with those of public access, so their key is no role's.
 UNFILTERED = "<unfiltered>"
 
@@ -28,11 +29,14 @@ def flattened(runs: DataFrame) -> DataFrame:
 def kpis(log: DataFrame) -> DataFrame:
     """One row of key figures of a request log."""
     avg = lambda c: F.round(F.avg(c), 4)
-    out = log.agg(F.count(F.lit(1)).alias("requests"), avg(F.col("no_answer").cast("double")).alias("no_answer_rate"), avg("input_tokens").alias("avg_input_tokens"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"), F.round(F.avg("cost_usd"), 6).alias("cost_per_request"))
-    times = (("t_total_ms", {"p50_total_ms": 0.5, "p95_total_ms": 0.95}), (F.col("t_retrieval_ms") + F.col("t_rerank_ms"), {"p95_retrieval_ms": 0.95}), ("t_generation_ms", {"p95_generation_ms": 0.95}))
+    times = ((F.col("t_total_ms"), {"p50_total_ms": 0.5, "p95_total_ms": 0.95}), (F.col("t_retrieval_ms") + F.col("t_rerank_ms"), {"p95_retrieval_ms": 0.95}), (F.col("t_generation_ms"), {"p95_generation_ms": 0.95}))
+    figures = [F.count(F.lit(1)).alias("requests"), avg(F.col("no_answer").cast("double")).alias("no_answer_rate"), avg("input_tokens").alias("avg_input_tokens"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"), F.round(F.avg("cost_usd"), 6).alias("cost_per_request")]
+    if log.count() <= IN_MEMORY:  # all in one pass
+        return log.agg(*figures, *(F.round(F.percentile(v.cast("double"), p), 4).alias(n) for v, shares in times for n, p in shares.items())).select(*KPIS)
+    out = log.agg(*figures)
     for value, shares in times:
         out = out.crossJoin(quantiles(log, value, shares))  # one row each
-    return out.select("requests", "p50_total_ms", "p95_total_ms", "p95_retrieval_ms", "p95_generation_ms", "no_answer_rate", "avg_input_tokens", "cost_usd", "cost_per_request")
+    return out.select(*KPIS)
 
 
 def alerts(log: DataFrame, order: list[str], baseline: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftwell.sources.scratch import stored
+
 #: Metadata that every document has after normalising; other keys go to `extra`.
 KEYS = ("doc_id", "title", "department", "access", "status", "version", "valid_from", "valid_until")
 META = "doc_id string, title string, department string, access array<string>, status string, version string, valid_from string, valid_until string, extra map<string,string>"
@@ -159,8 +161,15 @@ def write_golden(items: DataFrame, path: str, append: bool = False) -> None:
 
 
 def feedback_candidates(feedback: DataFrame, stamp: int) -> DataFrame:
-    """Feedback (question, expected, source_docs) as golden items to review, with ids `c<stamp><n>`, n from 1."""
-    n = F.row_number().over(Window.orderBy("question"))  # a day's feedback: few rows
+    """Feedback (question, expected, source_docs) as golden items to review, with ids `c<stamp><n>`, n from 1 by question.
+
+    Questions are numbered range by range, after the sizes of the ranges before.
+    """
+    ranged = stored(feedback.select("question", "expected", "source_docs").repartitionByRange("question").withColumn("_range", F.spark_partition_id()), "feedback")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row a range
+    feedback = ranged.join(sizes, "_range")
+    n = (F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy("question"))).cast("long")
     return feedback.select(F.concat(F.lit(f"c{stamp}"), n).alias("id"), F.lit("feedback").alias("type"), "question", F.col("expected").alias("ground_truth"), "source_docs", F.lit(True).alias("answerable"), F.lit(False).alias("reviewed"))
 
 
