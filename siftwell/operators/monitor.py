@@ -19,11 +19,11 @@ KPIS = ("requests", "p50_total_ms", "p95_total_ms", "p95_retrieval_ms", "p95_gen
 UNFILTERED = "<unfiltered>"
 
 
-def flattened(runs: DataFrame) -> DataFrame:
-    """The twelve columns of a request log, from runs with a trace struct; what a trace lacks is 0 or `-`."""
+def flattened(runs: DataFrame, *more: str) -> DataFrame:
+    """The twelve columns of a request log, from runs with a trace struct; what a trace lacks is 0 or `-`.  Columns in `more` come first."""
     t = lambda name: F.coalesce(F.col(f"trace.{name}"), F.lit(0))
     ms = [F.bround(t(c).cast("double")).cast("int").alias(c) for c in ("t_retrieval_ms", "t_rerank_ms", "t_generation_ms", "t_total_ms")]
-    return runs.select("query", "no_answer", "top_score", F.size(F.array_distinct("doc_ids")).alias("n_docs"), *ms, t("input_tokens").cast("int").alias("input_tokens"), t("output_tokens").cast("int").alias("output_tokens"), t("cost_usd").cast("double").alias("cost_usd"), F.coalesce("trace.cache", F.lit("-")).alias("cache"))
+    return runs.select(*more, "query", "no_answer", "top_score", F.size(F.array_distinct("doc_ids")).alias("n_docs"), *ms, t("input_tokens").cast("int").alias("input_tokens"), t("output_tokens").cast("int").alias("output_tokens"), t("cost_usd").cast("double").alias("cost_usd"), F.coalesce("trace.cache", F.lit("-")).alias("cache"))
 
 
 def kpis(log: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from typing import Literal
 
@@ -106,7 +107,11 @@ def candidates(config: PipelineConfig, index: Index, queries: DataFrame, roles:
 
 def retrieve(config: PipelineConfig, index: Index, queries: DataFrame, roles: tuple[str, ...] | None = None) -> DataFrame:
     """The k best hits of each query, with doc_id; reranking sees the original query."""
-    hits = candidates(config, index, queries, roles)
+    return reranked(config, index, queries, candidates(config, index, queries, roles))
+
+
+def reranked(config: PipelineConfig, index: Index, queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """The k best of candidates by the configured reranker, with doc_id, and as parents if asked for."""
     if config.rerank == "lexical" or (config.rerank == "pairs" and index.scorer is None):
         hits = rerank.lexical(hits, queries, index.chunks, config.k)
     elif config.rerank == "pairs":
@@ -143,10 +148,41 @@ def run(config: PipelineConfig, index: Index, queries: DataFrame, roles: tuple[s
     `system` replaces what the answering model is told, for variants of a prompt to be compared.
     """
     sources = stored(packed(config, index, retrieve(config, index, queries, roles)), "sources")
+    return _answers(index, queries, sources, system), sources
+
+
+def _answers(index: Index, queries: DataFrame, sources: DataFrame, system: str | None) -> DataFrame:
     contexts = queries.select("qid", "query").join(context.joined(sources), "qid", "left")
     answers = context.refusals(stored(transform.answered(contexts, index.chat, system), "answers"))
     answers = answers.withColumn("cost_usd", monitor.cost(F.col("input_tokens"), F.col("output_tokens")))
-    return answers.join(context.cited(answers, sources), "qid"), sources
+    return answers.join(context.cited(answers, sources), "qid")
+
+
+def logged_run(config: PipelineConfig, index: Index, queries: DataFrame, roles: tuple[str, ...] | None = None, system: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers, sources, log): a run with a row a query in the shape of a request log (see monitor.flattened), and qid.
+
+    A batch is one plan a stage, so each query has the stage's time, divided by the number of queries: retrieval, reranking
+    (0 without a reranker), generation (which packs the context too), and all of it.  The stages write their tables.
+    """
+    n, marks = max(1, queries.count()), [time.perf_counter()]
+
+    def timed(df: DataFrame, what: str) -> DataFrame:
+        out = stored(df, what)
+        marks.append(time.perf_counter())
+        return out
+
+    found = timed(candidates(config, index, queries, roles), "candidates")
+    hits = timed(reranked(config, index, queries, found), "hits")
+    sources = stored(packed(config, index, hits), "sources")
+    answers = timed(_answers(index, queries, sources, system), "answered")
+    retrieval, rerank_, generation = ((b - a) * 1000 / n for a, b in zip(marks, marks[1:], strict=False))
+    ms = {"t_retrieval_ms": retrieval, "t_rerank_ms": 0.0 if config.rerank == "none" else rerank_, "t_generation_ms": generation, "t_total_ms": (marks[-1] - marks[0]) * 1000 / n}
+    best = hits.groupBy("qid").agg(F.max("score").alias("top_score"))
+    docs = sources.groupBy("qid").agg(F.collect_set("doc_id").alias("doc_ids"))
+    rows = queries.select("qid", "query").join(answers, "qid").join(best, "qid", "left").join(docs, "qid", "left")
+    trace = F.struct(*(F.lit(v).alias(k) for k, v in ms.items()), "input_tokens", "output_tokens", "cost_usd", F.lit(None).cast("string").alias("cache"))
+    rows = rows.withColumns({"doc_ids": F.coalesce("doc_ids", F.array().cast(docs.schema["doc_ids"].dataType)), "no_answer": F.col("is_no_answer"), "trace": trace})
+    return answers, sources, monitor.flattened(rows, "qid")
 
 
 def evaluate_retrieval(config: PipelineConfig, index: Index, golden: DataFrame, roles: tuple[str, ...] | None = None, include_acl: bool = False) -> DataFrame:

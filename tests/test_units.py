@@ -15,7 +15,7 @@ from siftwell.functions import text as tx
 from siftwell.functions import vectors as vec
 from siftwell.operators import chunking, context, dense, evaluate, fusion, lexical, metrics, monitor, rerank, security, semcache, transform
 from siftwell.operators.filters import Filter, golden
-from siftwell.plans.pipeline import Index, PipelineConfig, compare, retrieve, run, run_golden
+from siftwell.plans.pipeline import Index, PipelineConfig, compare, logged_run, retrieve, run, run_golden
 from siftwell.plans import catalogue
 from siftwell.sources import corpus
 from siftwell.streaming import stateful
@@ -462,3 +462,35 @@ def test_scratch_tables_of_other_threads_stay(spark):
         path = Path(own.inputFiles()[0].removeprefix("file://"))
         assert path.exists()
     assert theirs.count() == 4 and not path.exists()
+
+
+def test_a_logged_run_has_the_times_of_its_stages(spark):
+    asked = spark.createDataFrame([(1, "Reisekosten erstattet"), (2, "Urlaub Tage"), (3, "xyz")], "qid int, query string")
+    for rerank_ in ("none", "lexical"):
+        config, index = PipelineConfig(retrieval="sparse", rerank=rerank_), Index(chunks(spark))
+        answers, sources, log = logged_run(config, index, asked, ("hr",))
+        plain, _ = run(config, index, asked, ("hr",))
+        assert sorted(map(str, answers.collect())) == sorted(map(str, plain.collect()))
+        rows = {r["qid"]: r for r in log.collect()}
+        assert set(rows) == {1, 2, 3} and rows[3]["no_answer"] and rows[3]["n_docs"] == 0 and rows[3]["top_score"] is None
+        assert all(r["t_retrieval_ms"] > 0 and r["t_total_ms"] >= r["t_retrieval_ms"] + r["t_generation_ms"] - 2 and (r["t_rerank_ms"] > 0) == (rerank_ == "lexical") for r in rows.values())
+        assert rows[1]["n_docs"] == sources.filter("qid = 1").select("doc_id").distinct().count() > 0 and rows[1]["cost_usd"] > 0
+        assert monitor.kpis(log).first()["requests"] == 3
+
+
+def test_answers_take_another_system_text(spark):
+    asked = spark.createDataFrame([(1, "Urlaub Tage")], "qid int, query string")
+    index = Index(chunks(spark), chat=lambda prompts: [p[:12] for p in prompts])
+    said = lambda **more: run(PipelineConfig(retrieval="sparse"), index, asked, ("hr",), **more)[0].first()["text"]
+    assert said(system="Sei knapp. Nur Zahlen.") == "Sei knapp. N" and said() == transform.INSTRUCTION[:12]
+
+
+def test_the_offline_provider_reads_its_prompt_back():
+    for kind, form in transform.PROMPTS.items():
+        places = {c: f"text of {c}: {{x}} \n." for c in "qradctsin" if "{" + c + "}" in form} | ({"n": "2"} if "{n}" in form else {})
+        text = form.replace("{{", "\0").replace("}}", "\1")
+        for c, v in places.items():
+            text = text.replace("{" + c + "}", v.replace("{", "\2").replace("}", "\3"))
+        text = text.replace("\0", "{").replace("\1", "}").replace("\2", "{").replace("\3", "}")
+        assert transform.read_back(text) == (kind, places)
+    assert len(set(transform.offline([f"Zerlege die Frage in Teilfragen, als JSON-Liste von Texten. Frage: {k}?" for k in range(5)]))) == 5
