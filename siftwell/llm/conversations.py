@@ -361,7 +361,7 @@ def repairs(rows: DataFrame) -> DataFrame:
     Rows go by turn, nulls first; rows of one turn by role, then by the SHA-256 of their texts, equal ones follow each
     other.  role and text must not be null; an empty text is blank, a role with another initial than s, u, a can only be
     given another or be deleted.  A null conv_id is a conversation too.  One without rows has zeros, an empty audit and
-    the hash of the empty string.  An empty table gives no rows.
+    the hash of the empty string.  An empty table gives no rows.  A text of more than BYTES is a chunk of its own.
 
     Texts move once, to their place in order; what an earlier row has said is found by a grouping of (conversation,
     role, SHA-256) that combines before the shuffle, and joins the sorted rows as rows of its own.  A conversation, however
