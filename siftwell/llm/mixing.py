@@ -79,8 +79,9 @@ class Mix:
     sources: one row a source (source_no, source, source_size, target, blocks, slots).  `placed`: one row per row of
     docs (doc_id, source_no, size, at), `at` counting the words of its source before it.  `slots`: one row per slot
     of the mix (shard, slot, source_no, block).  Null and empty texts have size 0 and are never taken; a null source
-    is a source, after all others; rows with one doc_id are separate documents.  The table of sources comes to the
-    driver, the rows don't.
+    is a source, after all others; rows with one doc_id, and repeated rows, are separate documents, in an order that a
+    hash gives.  A text of any length is only counted, and lies in as many blocks as its words fill.  An empty table has
+    no sources and no slots.  The table of sources comes to the driver, the rows don't.
     """
 
     def __init__(self, docs: DataFrame, seed: int = 0, block: int = BLOCK):
@@ -173,7 +174,10 @@ def _hypergeometric(draw: np.random.Generator, own: int, rest: int, n: int) -> i
 
 
 def report(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target (of its source) and taken (words, repeats counted)."""
+    """One row per row of docs: doc_id, size, source_size, target (of its source) and taken (words, repeats counted).
+
+    What becomes of odd rows is said in Mix; an empty table gives no rows.
+    """
     mix = Mix(docs, seed)
     sources = mix.sources.select("source_no", "source_size", "target")
     return mix.taken().join(sources, "source_no").select("doc_id", "size", "source_size", "target", "taken")

@@ -279,7 +279,9 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct shingles of `width` words,
     A-Z lower-cased; component_id is the smallest doc_id reachable over links, itself included, and kept means that
     it is the document's own.  Texts without a word (null, empty) have an empty set and are linked with nothing.
-    Rows with one doc_id are one vertex.  Rows with a null doc_id take no part: null component_id, kept true.
+    Rows with one doc_id are one vertex.  Rows with a null doc_id take no part: null component_id, kept true.  Repeated
+    rows give a row each; equal texts share a node, so ties between them don't arise; an empty table gives no rows.  A
+    very long text is held by one task as a whole, with the hashes of its shingles.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(signatures(rows, width), "signatures")

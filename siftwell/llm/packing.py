@@ -111,7 +111,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, sequence: int = SEQUENCE
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of docs (doc_id, text; other columns are ignored) is a document: its ids and the end id.  Null and
-    empty texts give a piece of length 1; rows with one doc_id are separate documents; an empty table gives no rows.
+    empty texts give a piece of length 1; rows with one doc_id are separate documents; an empty table gives no rows.  A
+    very long text is encoded by one task as a whole, and gives a piece for each sequence that it fills.
     Only counts by class come to the driver (at most sequence / UNIT), and the patterns go to all tasks: one a class
     from the program, and few from the rest.
     """
