@@ -26,7 +26,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret replaced by a mark; null texts stay null."""
+    """All documents, with each secret replaced by a mark; null texts stay null.
+
+    Repeated rows stay as often as they are; an empty table stays empty.
+    """
     return secrets.redacted(docs)
 
 
@@ -36,7 +39,10 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the rows, placed in sequences; a row with a null or empty text is a document of one token."""
+    """Pieces of the rows, placed in sequences; a row with a null or empty text is a document of one token.
+
+    Repeated rows are documents of their own; an empty table gives no pieces.
+    """
     return packing.pack(docs, tokenizer())
 
 
