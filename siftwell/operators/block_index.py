@@ -36,13 +36,12 @@ def weights(tf: np.ndarray, dl: np.ndarray, avgdl: float) -> np.ndarray:
 
 @dataclass
 class BlockIndex:
-    """blocks (window, term, places, tf, dl), bounds (term, group, windows, tf, dl), docs (chunk_id, window, place, dl), terms (term, df), forward (chunk_id, term)."""
+    """blocks (window, term, places, tf, dl), bounds (term, group, windows, tf, dl), docs (chunk_id, window, place, dl), terms (term, df)."""
 
     blocks: DataFrame
     bounds: DataFrame
     docs: DataFrame
     terms: DataFrame
-    forward: DataFrame
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str) -> BlockIndex:
@@ -67,18 +66,23 @@ class BlockIndex:
         most = most.groupBy("term", "group").agg(F.array_sort(F.collect_list("b")).alias("b"))  # GROUP at most
         out(most.select("term", "group", F.col("b.window").alias("windows"), F.col("b.tf").alias("tf"), F.col("b.dl").alias("dl"), F.aggregate("b.n", F.lit(0).cast("long"), lambda s, n: s + n).alias("df")).repartitionByRange("term", "group").sortWithinPartitions("term", "group"), "bounds")
         out(spark.read.parquet(f"{path}/bounds").groupBy("term").agg(F.sum("df").alias("df")), "terms")
-        out(rows.select("chunk_id", "term").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), "forward")
         return cls.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> BlockIndex:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("blocks", "bounds", "docs", "terms", "forward")))
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("blocks", "bounds", "docs", "terms")))
 
     @cached_property
     def stats(self) -> tuple[int, int, int]:
         """The number of chunks, the sum of their lengths, and the number of windows."""
         return tuple(self.docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0)), F.coalesce(F.max("window") + 1, F.lit(0))).first())
 
+    def frequencies(self, chunks: DataFrame) -> DataFrame:
+        """(term, df): in how many of chunks (chunk_id) a term occurs; blocks of other windows are not unpacked."""
+        own = self.docs.join(chunks.select("chunk_id"), "chunk_id", "left_semi").groupBy("window").agg(F.collect_list("place").alias("own"))
+        met = self.blocks.select("window", "term", "places").join(own, "window").select("term", F.size(F.array_intersect("places", "own")).alias("n"))
+        return met.filter("n > 0").groupBy("term").agg(F.sum("n").alias("df"))
+
     def search(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """hits: the k best chunks of each query (qid, query), of those in `allowed` (chunk_id) if given; as lexical.search."""
         n, total, _ = self.stats

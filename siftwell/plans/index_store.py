@@ -172,8 +172,8 @@ class IndexStore:
         counts = {r["segment"]: [r["n"], r["total"]] for r in dead.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).collect()}  # a row a segment
         if not counts:
             return []
-        words = [self.spark.read.parquet(f"{self.path}/segments/{s}/lexical/forward").join(dead.filter(F.col("segment") == s), "chunk_id", "left_semi") for s in counts]
-        reduce(DataFrame.union, words).groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{folder}/terms")
+        words = [BlockIndex.load(self.spark, f"{self.path}/segments/{s}/lexical").frequencies(dead.filter(F.col("segment") == s)) for s in counts]
+        reduce(DataFrame.union, words).groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{folder}/terms")
         return [{"id": name, "counts": counts}]
 
 
