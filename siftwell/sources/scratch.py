@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,7 +51,10 @@ def passing(spark: SparkSession) -> Iterator[None]:
 
 @cache
 def _local() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="siftwell-")
+    """A temporary folder of this process, which goes with it."""
+    folder = tempfile.mkdtemp(prefix="siftwell-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def qualified(spark: SparkSession, path: str) -> str:
