@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,21 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POWERS = np.ones(1, np.uint64)
 
 
+def _trimmer() -> Callable[[int], object]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return lambda _: None
+
+
+_trim = _trimmer()
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch whose texts have about `most` bytes; a longer single text is a part of its own.
 
-    After them, memory that Arrow has kept from earlier batches goes back to the machine: workers live on between stages.
+    After them, memory that Arrow and malloc have kept from earlier batches goes back to the machine: workers live on
+    between stages.
     """
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, at = np.cumsum(size), 0
@@ -37,6 +49,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Itera
         yield batch.slice(at, to - at)
         at = to
     pa.default_memory_pool().release_unused()
+    _trim(0)
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
