@@ -132,7 +132,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked = rows.filter(is_query)
-    passes, found, cells = max(1, -(-asked.count() // PASS)), None, approximation(rows)
+    passes, found = max(1, -(-asked.count() // PASS)), None
+    few = stored(_few_copies(rows, k), "vectors")
+    cells = approximation(few)
     for turn in range(passes):
         part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == turn).toArrow()  # some PASS rows
         queries: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -140,7 +142,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
             for _, ids, exact in integers(batch):
                 queries.setdefault((exact.shape[1], exact.dtype == object), []).append((ids, exact))
         sent = spark.sparkContext.broadcast([(d, np.concatenate([i for i, _ in q]), np.concatenate([x for _, x in q])) for (d, _), q in sorted(queries.items())])
-        got = stored(_neighbours(rows, candidates(cells, sent, k), sent, k).withColumn("turn", F.lit(turn)), "neighbours")
+        got = stored(_neighbours(few, candidates(cells, sent, k), sent, k).withColumn("turn", F.lit(turn)), "neighbours")
         sent.destroy()
         found = got if found is None else found.union(got)
     order = Window.partitionBy("turn", "query_no").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
@@ -148,6 +150,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _few_copies(rows: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors those of the k + 1 smallest ids: ties go to smaller ids, so no other one is among any query's k best.
+
+    Spark limits the ranks before the shuffle, so a vector that a third of all rows have costs a task k + 1 of them.
+    """
+    own = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
+    return rows.filter("vec_id is not null and embedding is not null").withColumn("n", F.dense_rank().over(own)).filter(F.col("n") <= k + 1).drop("n")
+
+
 def approximation(rows: DataFrame) -> DataFrame:
     """The stored table of CELLS of vectors (vec_id, embedding)."""
     return stored(rows.mapInArrow(_approximated, CELLS), "cells")

@@ -265,6 +265,19 @@ def test_top_k_of_large_components(spark):
     assert got == sorted(want)
 
 
+def test_copies_of_one_vector_do_not_meet_in_pairs(spark):
+    """A vector that most rows have is read k + 1 times; its copies' results are those with the smallest ids."""
+    rows = [(k, [1.0, 2.0] if k % 4 else [float(k), -1.0]) for k in range(1200)] + [(1, [1.0, 2.0])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    assert topk._few_copies(df, 10).count() == 11 + 3 + 300
+    got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 1).collect()))
+    cells, want = [(i, [topk.scaled(x) for x in e]) for i, e in rows], []
+    for q, c in [x for x in cells if x[0] % 50 == 1]:
+        best = sorted((-sum(a * b for a, b in zip(c, d, strict=True)), i) for i, d in cells if i != q)[:10]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_few_exact_vectors_are_read(spark):
     """The cells alone rule out nearly all, and the first exact scores most of the others."""
     rng = np.random.default_rng(2)
