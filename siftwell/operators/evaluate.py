@@ -124,11 +124,16 @@ def regressions(reference: DataFrame, candidate: DataFrame) -> DataFrame:
 
 
 def regression_gate(reference: DataFrame, candidate: DataFrame, drop: float = 0.05) -> DataFrame:
-    """Compares (id, hit) of two runs on ids in both: rates, how many ids are lost (see regressions) and missing, whether the candidate passes."""
-    both = reference.select("id", F.col("hit").alias("r")).join(candidate.select("id", F.col("hit").alias("c")), "id", "left")
+    """Compares (id, hit) of two runs on ids in both: rates, how many ids are lost (see regressions) and missing, whether the candidate passes.
+
+    A row per lost id, named in `regressed` and each with the same figures; one row with a null there if none is lost.
+    """
+    both = stored(reference.select("id", F.col("hit").alias("r")).join(candidate.select("id", F.col("hit").alias("c")), "id", "left"), "gate")
     rate = lambda c: F.avg(F.when(F.col("c").isNotNull(), F.col(c).cast("double")))
     rows = both.agg(F.round(rate("r"), 6).alias("ref_rate"), F.round(rate("c"), 6).alias("cand_rate"), F.count_if(F.col("r") & ~F.col("c")).alias("n_regressed"), F.count_if(F.col("c").isNull()).alias("n_missing"))
-    return rows.withColumn("passed", (F.col("ref_rate") - F.col("cand_rate") <= drop) & (F.col("n_regressed") == 0))
+    rows = rows.withColumn("passed", (F.col("ref_rate") - F.col("cand_rate") <= drop) & (F.col("n_regressed") == 0))
+    lost = both.filter("r AND NOT c").select(F.col("id").alias("regressed"))
+    return F.broadcast(rows).join(lost, F.lit(True), "left").select("ref_rate", "cand_rate", "n_regressed", "regressed", "n_missing", "passed")  # one row to all lost
 
 
 def grouped_latency(rows: DataFrame, by: str, value: str) -> DataFrame:

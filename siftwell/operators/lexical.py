@@ -67,8 +67,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def scores(asked: DataFrame, posted: DataFrame, spread: DataFrame, stats: DataFrame) -> DataFrame:
-    """(qid, chunk_id, score) from query terms, postings, document frequencies and the one row of statistics."""
-    rows = posted.join(asked, "term").join(spread, "term").crossJoin(F.broadcast(stats))  # one row
+    """(qid, chunk_id, score) from query terms, postings, document frequencies and the one row of statistics.
+
+    Postings are dealt by chunk, so that sums and the first cut of a ranking need no shuffle where Spark finds the
+    query terms small enough to send to all tasks.
+    """
+    known = stored(asked.join(spread, "term"), "asked")
+    dealt = posted.repartition(int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+    rows = dealt.join(known, "term").crossJoin(F.broadcast(stats))  # one row
     s = weight(F.col("tf"), F.col("dl"), F.col("avgdl")) * idf(F.col("n"), F.col("df"))
     return rows.groupBy("qid", "chunk_id").agg(F.round(F.sum(s), 6).alias("score"))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
+from compare import rows
 
 from siftwell.functions import vectors as vec
 from siftwell.operators import chunking, dense, evaluate, monitor, semcache
@@ -147,3 +149,42 @@ def test_chunks_cover_their_texts(spark):
                 at = max(a for a in range(max(0, upto - 120), upto + 1) if squeezed.startswith(piece, a))
                 upto = max(upto, at + len(piece))
             assert upto == len(squeezed)
+
+
+GATE = ["ref_rate", "cand_rate", "n_regressed", "regressed", "n_missing", "passed"]
+
+
+def test_regression_gate_names_each_lost_item(spark):
+    """Lost items come back as rows, each with the gate's figures; an item that the candidate lacks or wins isn't lost."""
+    runs = lambda hits: spark.createDataFrame(list(hits.items()), "id long, hit boolean")
+    reference = runs({1: True, 2: True, 3: False, 4: True, 5: True, 6: True})
+    got = evaluate.regression_gate(reference, runs({1: True, 2: False, 3: True, 4: False, 5: True}))
+    assert got.columns == GATE
+    assert sorted(map(tuple, got.collect())) == [(0.8, 0.6, 2, k, 1, False) for k in (2, 4)]
+    assert list(map(tuple, evaluate.regression_gate(reference, reference).collect())) == [(0.833333, 0.833333, 0, None, 0, True)]
+    many = {k: True for k in range(3000)}
+    assert {r["regressed"] for r in evaluate.regression_gate(runs(many), runs(dict.fromkeys(many, False))).collect()} == set(many)
+
+
+def test_regression_gate_query_names_lost_items(spark, tmp_path):
+    """Sources of items 0 and 20 are the fifth by words and the last by vectors, that of item 10 is near by both; item 30 has none."""
+    passages = {k: " ".join(f"{w}{'xyz'[k // 10]}" for w in ("amber", "birch", "cedar", "dune", "ember", "fjord", "grove")) for k in (0, 10, 20)}
+    at, texts, vectors = np.eye(4), {}, {}
+    for k in range(40):
+        own, nth = k // 10, k % 10
+        words = passages[k - nth].split() if own < 3 else ["nothing"]
+        texts[k] = f"filler{k} other{k}"
+        if 1 <= nth <= 4:
+            texts[k] = " ".join(words[::-1] * 2)
+        elif nth == 5 and own < 3:
+            texts[k] = passages[k - nth] + "".join(f" more{k}n{i}" for i in range(60))
+        vectors[k] = (-at[own] if nth == 5 and own != 1 else at[own] + (nth + 1) * 0.01 * at[(own + 1) % 4]).tolist()
+    spark.createDataFrame([(k, t, "en", "web") for k, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, v, 0) for k, v in vectors.items()], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([*passages.items(), (30, "no document has these seven plain words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalogue.regression_gate(spark, str(tmp_path))
+    assert sorted(map(tuple, got.select(GATE).collect())) == [(0.75, 0.25, 2, k, 0, False) for k in (0, 20)]
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "benchmark"):
+        con.sql(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    assert rows(got.toPandas()) == rows(con.sql(catalogue.ORACLE_SQL["regression_gate"]).df())
