@@ -1049,10 +1049,11 @@ def score_histogram(spark, sf_dir):
 
 
 def cache_requests(spark, sf_dir):
+    """Requests (request_id, key, ts, vec_id), and their vectors (vec_id, vector), which many of them share."""
     vectors = read(spark, sf_dir, "embeddings")
     n = vectors.agg(F.count(F.lit(1)).alias("n"))
     rows = read(spark, sf_dir, "events").crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("event_id") % F.col("n"))  # one row
-    return rows.join(vectors, "vec_id").selectExpr("event_id AS request_id", "concat('role', user_id % 4) AS key", "cast(ts as timestamp) AS ts", "embedding AS vector")
+    return rows.selectExpr("event_id AS request_id", "concat('role', user_id % 4) AS key", "cast(ts as timestamp) AS ts", "vec_id"), vectors.selectExpr("vec_id", "embedding AS vector")
 
 
 PAIRS = """n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT event_id, user_id % 4 AS key, CAST(epoch_us(ts) AS BIGINT) AS us, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM events, n, embeddings WHERE vec_id = event_id % n),
@@ -1062,7 +1063,8 @@ PAIRS = """n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT event_id, u
 @query(f"""WITH {PAIRS}, best AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, us, entry_id) AS r FROM pairs WHERE s > 0)
     SELECT e.event_id AS request_id, CASE WHEN s >= 0.3 THEN entry_id END AS entry_id, coalesce(s, 0) AS similarity, coalesce(s >= 0.3, FALSE) AS hit FROM e LEFT JOIN best ON e.event_id = request_id AND r = 1""")
 def semantic_cache_lookup(spark, sf_dir):
-    return semcache.history(cache_requests(spark, sf_dir), threshold=0.3, ttl=86400)
+    requests, vectors = cache_requests(spark, sf_dir)
+    return semcache.history(requests, threshold=0.3, ttl=86400, vectors=vectors)
 
 
 REPLAYED = f"""WITH {PAIRS}, alike AS (SELECT request_id, list(entry_id) AS n FROM pairs WHERE s >= 0.95 GROUP BY request_id),
@@ -1074,7 +1076,8 @@ REPLAYED = f"""WITH {PAIRS}, alike AS (SELECT request_id, list(entry_id) AS n FR
 
 
 def replayed(spark, sf_dir):
-    return semcache.replay(cache_requests(spark, sf_dir), threshold=0.95, ttl=86400)
+    requests, vectors = cache_requests(spark, sf_dir)
+    return semcache.replay(requests, threshold=0.95, ttl=86400, vectors=vectors)
 
 
 @query(f"{REPLAYED} SELECT * FROM replayed")

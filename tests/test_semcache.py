@@ -92,3 +92,51 @@ def test_a_hot_key_is_spread(spark, monkeypatch):
     met = semcache._cells(blocks, blocks, 50_000_000, lambda a, b: a[["request_id"]].assign(n=len(a), m=len(b)), "request_id long, n long, m long").agg(F.max("n"), F.max("m")).first()
     assert max(met) <= 16
     assert {r["request_id"] for r in kept.collect()} == {q for q, r in served(rows, 0.999, 50).items() if r[1] == "miss"}
+
+
+@pytest.fixture
+def shared_log(spark):
+    """Requests that share some fifty vectors, of which some are alike, some of another length, and some bad."""
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=(8, 6)).round(1)
+    vectors = [*((k, (near[k % 8] + rng.normal(size=6) * 0.1 * (k % 3)).tolist()) for k in range(48)), (48, [1.0, 2.0]), (49, [2.0, 4.1]), (50, [0.0] * 6), *((60 + k, v) for k, v in enumerate(BAD))]
+    byid = dict(vectors)
+    rows = [(k, None if k % 41 == 40 else "hot" if k % 9 else "cold", int(rng.choice(list(byid))), None if k % 53 == 52 else int(rng.integers(0, 300))) for k in range(500)]
+    requests = spark.createDataFrame([*rows, (500, "hot", 99, 5)], "request_id long, key string, vec_id long, s long").selectExpr("request_id", "key", "vec_id", "timestamp_seconds(s) AS ts").repartition(5)
+    return [(q, key, byid[v], s) for q, key, v, s in rows], requests, spark.createDataFrame(vectors, "vec_id long, vector array<double>").repartition(3)
+
+
+@pytest.mark.parametrize(("cell", "step", "kept", "turn"), [(16384, 1024, 1 << 17, 16), (40, 7, 5, 2)])
+def test_requests_that_share_vectors(spark, shared_log, monkeypatch, cell, step, kept, turn):
+    for name, value in (("CELL", cell), ("SCAN", step), ("STEP", step), ("KEPT", kept), ("TURN", turn)):
+        monkeypatch.setattr(semcache, name, value)
+    rows, requests, vectors = shared_log
+    want = served(rows, 0.97, 80)
+    assert got(semcache.replay(requests, 0.97, 80, vectors)) == want
+    assert len({e for _, _, _, e in want.values()}) > 20
+    everything = {q: (s, e) for q, (_, _, s, e) in served_by_all(rows, 0.97, 80).items()}
+    assert {r["request_id"]: (round(r["similarity"], 6), r["entry_id"]) for r in semcache.history(requests, 0.97, 80, vectors).collect()} == everything
+
+
+def served_by_all(rows, threshold, ttl):
+    """The same, where every request is an entry."""
+    out = {}
+    for q, key, v, s in rows:
+        best = (0.0, 0, None)
+        if key is not None and s is not None and sound(v):
+            for e, other, w, t in rows:
+                if other == key and t is not None and sound(w) and len(w) == len(v) and (t, e) < (s, q) and s - t <= ttl:
+                    length = np.linalg.norm(v) * np.linalg.norm(w)
+                    score = round(float(np.dot(v, w) / (length or 1.0)), 6)
+                    best = max(best, (score, -t, -e)) if best[2] is not None or score > 0 else best
+        out[q] = (key, "", best[0], -best[2] if best[2] is not None and best[0] >= threshold else None)
+    return out
+
+
+def test_no_request_is_copied_to_meet_another(spark, monkeypatch):
+    """All are live for each other in many blocks; nothing is shuffled after they are stored in order, with or without vectors of their own."""
+    monkeypatch.setattr(semcache, "CELL", 16)
+    rows = [(k, "hot", turned(0.01 * (k % 50)), k) for k in range(400)]
+    own = semcache.history(table(spark, rows), 0.9, 1000)
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    assert own.filter("hit").count() == 399
