@@ -27,7 +27,7 @@ ROW = [*KEY, "request_id", "at", "vec", "block"]
 CELL, SCAN, STEP = 16384, 256, 1024
 #: Vectors that a task keeps from one piece to the next, if it needs no more at once.
 KEPT = 1 << 17
-#: Blocks that a replay takes up in its first turn, and in any.
+#: Full blocks that a replay takes up in its first turn, and in any.
 TURN, TURNS = 16, 4096
 
 Compare = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
@@ -89,6 +89,11 @@ class Vectors:
         return self.held[np.searchsorted(self.known, numbers)]
 
 
+def _tasks(df: DataFrame) -> int:
+    """Partitions by number, not by their bytes: these are few for the work on them."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _log(requests: DataFrame, vectors: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """All requests, stored in order of key and time, as ROW; and the stored table of their vectors (vec, vector).
 
@@ -105,7 +110,7 @@ def _log(requests: DataFrame, vectors: DataFrame | None) -> tuple[DataFrame, Dat
     size = F.when(fine, size).otherwise(0)
     at = F.when(size > 0, F.unix_micros(F.col("ts").cast("timestamp"))).otherwise(0)
     rows = requests.select("request_id", "key", size.alias("size"), at.alias("at"), *held)
-    ordered = rows.repartitionByRange(*KEY, "at", "request_id").sortWithinPartitions(*KEY, "at", "request_id").withColumn("block", F.expr(f"monotonically_increasing_id() div {CELL}"))
+    ordered = rows.repartitionByRange(_tasks(requests), *KEY, "at", "request_id").sortWithinPartitions(*KEY, "at", "request_id").withColumn("block", F.expr(f"monotonically_increasing_id() div {CELL}"))
     log = stored(ordered if vectors is not None else ordered.withColumn("vec", number), "requests")
     return log.select(ROW), (known if vectors is not None else log).select("vec", "vector")
 
@@ -205,8 +210,7 @@ class Nearest:
     @staticmethod
     def _best(scores: np.ndarray, margin: float, sides: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best exact score of each row, and the least of the places that have it; -2 marks what doesn't count."""
-        most = scores.max(1)
-        r, c = np.nonzero((scores >= (most - margin)[:, None]) & (scores > -1.5))
+        r, c = np.divmod(np.flatnonzero(scores >= np.maximum(scores.max(1) - margin, -1.5)[:, None]), scores.shape[1])
         pairs, back = np.unique(left[r] * len(sides[1]) + right[c], return_inverse=True)
         exact = np.concatenate([np.einsum("ij,ij->i", sides[0][p // len(sides[1])], sides[1][p % len(sides[1])]) for p in np.array_split(pairs, 1 + len(pairs) // 4096)]).round(6)[back]
         order = np.lexsort((places[c], -exact, r))
@@ -310,11 +314,12 @@ def _entries(rows: DataFrame, vectors: DataFrame, threshold: float, micros: int)
 
         return run
 
-    begins = sorted(r["at"] for r in rows.groupBy(*KEY, "block").agg(F.min("at").alias("at")).collect())  # a row a block
+    blocks = sorted((r["at"], r["n"]) for r in rows.groupBy(*KEY, "block").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")).collect())  # a row a block
+    begins, ends = [at for at, _ in blocks], np.cumsum([n for _, n in blocks])
     kept: list[tuple[int, DataFrame]] = []
-    undecided, a, take = None, 0, TURN
+    undecided, a, take = None, 0, TURN * CELL
     while a < len(begins) or undecided is not None:
-        b, turn = min(a + take, len(begins)), len(kept)
+        b, turn = max(min(a + 1, len(begins)), int(np.searchsorted(ends, take + (ends[a - 1] if a else 0), "right"))), len(kept)
         paths = [scratch(spark, f"{what}{turn}") for what in ("states", "undecided")]
         with passing(spark):
             tables = [undecided] if undecided is not None else []
@@ -323,14 +328,15 @@ def _entries(rows: DataFrame, vectors: DataFrame, threshold: float, micros: int)
                 recent = [table for last, table in kept if last >= begins[a] - micros]
                 tables.append(stored(unserved(new, recent) if recent else new, "new"))
             asked = tables[0] if len(tables) == 1 else tables[0].union(tables[1])
-            states = stored(asked.groupBy(*KEY, "block").applyInPandas(settled(Table(*tables)), f"{row}, fresh boolean"), "states", paths[0])
+            states = stored(asked.repartition(_tasks(rows), *KEY, "block").groupBy(*KEY, "block").applyInPandas(settled(Table(*tables)), f"{row}, fresh boolean"), "states", paths[0])
         n, n_open, last = states.agg(F.count(F.lit(1)), F.count_if(~F.col("fresh")), F.max("at")).first()
         kept.append((last if n > n_open else begins[0] - micros - 1, states))
         undecided = None
         if n_open:
             undecided = stored(unserved(states.filter("NOT fresh").select(ROW), [states] if n > n_open else []), "undecided", paths[1])
             undecided = None if undecided.isEmpty() else undecided
-        a, take = b, max(1, take // 2) if 4 * n_open > n else min(2 * take, TURNS)
+        took = (ends[b - 1] if b else 0) - (ends[a - 1] if a else 0)
+        a, take = b, max(CELL, take // 2) if 4 * n_open > took else min(2 * take, TURNS * CELL)
     out = rows.filter("false")
     for _, states in kept:
         out = out.union(states.filter("fresh").select(ROW))

@@ -140,3 +140,6 @@ def test_no_request_is_copied_to_meet_another(spark, monkeypatch):
     own = semcache.history(table(spark, rows), 0.9, 1000)
     assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
     assert own.filter("hit").count() == 399
+    replayed = semcache.replay(table(spark, rows), 0.9, 1000)
+    assert "Exchange" not in replayed._jdf.queryExecution().executedPlan().toString()
+    assert got(replayed) == served(rows, 0.9, 1000)
