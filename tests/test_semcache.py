@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.operators import semcache
+from siftwell.operators import monitor, semcache
 
 SCHEMA = "request_id long, key string, vector array<double>, s long"
 NAN, INF = float("nan"), float("inf")
@@ -143,3 +143,13 @@ def test_no_request_is_copied_to_meet_another(spark, monkeypatch):
     replayed = semcache.replay(table(spark, rows), 0.9, 1000)
     assert "Exchange" not in replayed._jdf.queryExecution().executedPlan().toString()
     assert got(replayed) == served(rows, 0.9, 1000)
+
+
+def test_a_cached_run_shuffles_for_its_own_join_alone(spark, monkeypatch):
+    monkeypatch.setattr(semcache, "CELL", 16)
+    rows = [(k, "hot", turned(0.01 * (k % 50)), k) for k in range(200)]
+    runs = spark.createDataFrame([(k, f"a{k}", 10.0 * k, 1.0) for k in range(200)], "request_id long, answer string, t_total_ms double, cost_usd double")
+    run = monitor.cached_run(semcache.replay(table(spark, rows), 0.9, 100), runs)
+    assert run._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    want = {q: (c, f"a{e if c == 'hit' else q}", 10.0 * e if c == "hit" else 0.0) for q, (_, c, _, e) in served(rows, 0.9, 100).items()}
+    assert {r["request_id"]: (r["cache"], r["answer"], r["saved_ms"]) for r in run.collect()} == want
