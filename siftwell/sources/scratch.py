@@ -65,8 +65,8 @@ def qualified(spark: SparkSession, path: str) -> str:
     return re.sub(r"^file:/(?!/)", "file:///", full)
 
 
-def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, what: str, path: str | None = None, codec: str | None = None) -> DataFrame:
     """Writes df to a shared table and reads it back: lineage ends there, and a lost executor costs no recomputation."""
     path = path or scratch(df.sparkSession, what)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
